@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; longer texts are passes of their own.
 SLICE_BYTES = 1 << 20
@@ -69,3 +70,50 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
     data, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
     for i, j in slices(np.diff(offsets)):
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+
+
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df plus `name`: each row's place, from 0, in the order of the columns `by`.
+
+    Rows are dealt to partitions by range; only one count a partition reaches the
+    driver. Rows equal in `by` are numbered in any order.
+    """
+    dealt = staged(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = {r[0]: r[1] for r in dealt.groupBy("_range").count().collect()}
+    before, starts = 0, []
+    for part in sorted(counts):
+        starts.append((part, before))
+        before += counts[part]
+    offsets = df.sparkSession.createDataFrame(starts, "_range int, _before long")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    return dealt.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + within - 1).drop("_range", "_before")
+
+
+#: Rows up to which a table of a few numbers and keys is broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def looked_up(df: DataFrame, known: DataFrame, key: str, spread: str, most: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
+    """Left join with a table of one row a key (null matches null), safe for hot keys.
+
+    known is counted first: up to `most` rows it is broadcast; beyond that its rows
+    are repeated for `salts` salts, and df's rows of a key are spread over them by
+    a hash of the column `spread`.
+    """
+    other = known.withColumnRenamed(key, "_key")
+    if known.limit(most + 1).count() <= most:
+        return df.join(F.broadcast(other), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    other = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = df.withColumn("_own", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return dealt.join(other, (F.col("_own") == F.col("_salt")) & F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key", "_own", "_salt")
+
+
+def kept_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", most: int = 200_000) -> DataFrame:
+    """The rows of docs whose id isn't in `decided` (one column of that name: ids to leave out).
+
+    The ids are counted first: up to `most` of them are broadcast, more are joined
+    by a shuffle on the id. Rows with a null id stay.
+    """
+    decided = decided.select(F.col(id_col).alias("_out")).where("_out IS NOT NULL").distinct()
+    few = decided.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(decided) if few else decided, F.col(id_col) == F.col("_out"), "left_anti")
