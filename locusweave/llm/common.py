@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +54,11 @@ def slices(sizes: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
+def byte_lengths(column: pa.Array) -> np.ndarray:
+    """Bytes of each text; nulls have none."""
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and its row offsets; nulls are empty."""
     column = column.cast(pa.large_string())

@@ -15,11 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, table
+from .common import byte_lengths, slices, staged, table
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples a row of the images that hold payloads.
@@ -151,7 +150,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in slices(_lengths(batch.column(1))):
+            for i, j in slices(byte_lengths(batch.column(1))):
                 part = batch.slice(i, j - i)
                 texts = part.column(1).to_pylist()
                 payloads = [payload_of(t) for t in texts]
@@ -162,10 +161,6 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "id long, n_bytes long, media binary")
 
 
-def _lengths(column: pa.Array) -> np.ndarray:
-    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 FEATURES = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 

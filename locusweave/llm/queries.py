@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import media, mixing, warc
+from . import media, mixing, packing, warc
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
     "op5_mixing": mixing.op5_mixing,
     "op7_warc": warc.op7_warc,
     "op10_media_columns": media.op10_media_columns,
