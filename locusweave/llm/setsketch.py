@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, text_slices
+from .common import slices, staged, table, text_slices
 from .graph import components
 from .words import mix, shingle_hashes, spans, word_hashes
 
@@ -366,3 +366,32 @@ def block_links(mixed: DataFrame, texts: DataFrame, p: SetSketch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return met.select("band", "x", "y", "id", "component", "own", "text").mapInArrow(work, "a long, b long")
+
+
+def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    """Contract query: all documents, 3-word shingles, 85 of 100."""
+    found = near_duplicates(table(spark, sf_dir, "documents"), SetSketch(k=3, percent=85))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) >= 3 THEN w[i:i+2] ELSE w END AS s
+  FROM words, unnest(range(1, greatest(len(w) - 1, 2))) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+-- documents of one set are one class; classes are compared by their rarer shingles
+sets AS (SELECT doc_id, md5(string_agg(array_to_string(s, ' '), chr(10) ORDER BY array_to_string(s, ' '))) AS m FROM shingles GROUP BY doc_id),
+class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY m) AS c FROM sets),
+reps AS (SELECT s.doc_id, s.s FROM shingles s JOIN class USING (doc_id) WHERE doc_id = c),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM reps a JOIN reps b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common >= 85 * (x.n + y.n - common)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+least AS (SELECT a, least(a, min(b)) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, c, d.doc_id) AS component_id, coalesce(m, c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN class USING (doc_id) LEFT JOIN least ON least.a = class.c
+"""
