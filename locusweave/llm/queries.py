@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, neighbours, packing, setsketch, warc
+from . import media, mixing, neighbours, packing, setsketch, surrogates, warc
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_nearest": neighbours.op4_nearest,
     "op5_mixing": mixing.op5_mixing,
     "op7_warc": warc.op7_warc,
+    "op8_surrogates": surrogates.op8_surrogates,
     "op9_near_duplicates": setsketch.op9_near_duplicates,
     "op10_media_columns": media.op10_media_columns,
 }
