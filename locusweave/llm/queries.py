@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import media, mixing, neighbours, packing, setsketch, surrogates, warc
+from . import media, mixing, neighbours, packing, quality, setsketch, surrogates, warc
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op3_packing": packing.op3_packing,
     "op4_nearest": neighbours.op4_nearest,
     "op5_mixing": mixing.op5_mixing,
