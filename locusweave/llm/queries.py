@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import media, mixing, neighbours, packing, quality, setsketch, surrogates, warc
+from . import language, media, mixing, neighbours, packing, quality, setsketch, surrogates, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_language_id": language.op2_language_id,
     "op3_packing": packing.op3_packing,
     "op4_nearest": neighbours.op4_nearest,
     "op5_mixing": mixing.op5_mixing,
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_surrogates": surrogates.op8_surrogates,
     "op9_near_duplicates": setsketch.op9_near_duplicates,
     "op10_media_columns": media.op10_media_columns,
+    "language_id_pages": language.page_language_id,
 }
 
 ORACLE_SQL = {"op7_warc": warc.OP7_SQL, "op9_near_duplicates": setsketch.OP9_SQL}
