@@ -9,9 +9,9 @@ import unicodedata
 import numpy as np
 
 #: Words whose ids a Python worker keeps, and bytes of the longest such word.
-CACHED, LONGEST = 300_000, 64
+CACHED, LONGEST = 1_000_000, 64
 #: New words that are encoded as one text.
-JOINED = 4096
+JOINED = 512
 
 
 #: What may follow a word's letters without changing how they are split.
@@ -31,28 +31,29 @@ class Words:
             self.ends[i] = token.endswith("</w>")
 
     def learn(self, words: list[str]) -> None:
-        """Add ids of new words; those of letters, or of letters and marks after them, are encoded in one text."""
-        plain, groups, other = [], [], []
+        """Add ids of new words; a word of letters and marks after them has the ids of the two, and letters those of lower case."""
+        known, plain, other = self.known, [], []
         for w in words:
             core = w.rstrip(TRAILING)
-            if core.isascii() and core.isalpha() or unicodedata.normalize("NFC", core).lower().isalpha():
-                plain.append(w)
-                groups.append(1 + (core != w))
+            if core.isascii() and core.isalpha() or "Σ" not in core and unicodedata.normalize("NFC", core).lower().isalpha():
+                plain.append((w, core.lower(), w[len(core) :]))
             else:
                 other.append(w)
-        for i in range(0, len(plain), JOINED):
-            part = plain[i : i + JOINED]
+        fresh = list({x for _, core, tail in plain for x in (core, tail)}.difference(known))
+        for i in range(0, len(fresh), JOINED):
+            part = fresh[i : i + JOINED]
             ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            stops, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(groups[i : i + JOINED])
-            if len(stops) != last[-1]:
-                other += part
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, stop in zip(part, (4 * stops[last - 1]).tolist(), strict=True):
-                self.known[w] = raw[at:stop]
-                at = stop
-        for w in other:
-            self.known[w] = np.array(self.model.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(part):
+                raw = ids.tobytes()
+                known.update(zip(part, (raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
+            else:
+                known.update((w, self.encoded(w)) for w in part)
+        known.update((w, known[core] + known[tail]) for w, core, tail in plain)
+        known.update((w, self.encoded(w)) for w in other)
+
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _loaded = functools.cache(Words)
