@@ -7,7 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from locusweave.llm import stages
 from locusweave.llm.common import staged, table
 
-STAGES = []
+STAGES = [
+    ("language_id", stages.language_id),
+    ("near_dedup", stages.near_dedup),
+    ("pii", stages.pii),
+    ("mixing", stages.mixing),
+    ("packing", stages.packing),
+]
 
 #: Language models, sketches and surrogates are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

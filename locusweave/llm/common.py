@@ -114,12 +114,13 @@ def looked_up(df: DataFrame, known: DataFrame, key: str, spread: str, most: int
     return dealt.join(other, (F.col("_own") == F.col("_salt")) & F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key", "_own", "_salt")
 
 
-def kept_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", most: int = 200_000) -> DataFrame:
-    """The rows of docs whose id isn't in `decided` (one column of that name: ids to leave out).
+def kept_rows(docs: DataFrame, out: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 100_000) -> DataFrame:
+    """The rows of docs but for those of `out` (id, key), key being the hash of a row's text.
 
-    The ids are counted first: up to `most` of them are broadcast, more are joined
-    by a shuffle on the id. Rows with a null id stay.
+    What goes is counted first: up to `most` ids are broadcast, more are joined by
+    a shuffle on the id. Rows with a null id stay.
     """
-    decided = decided.select(F.col(id_col).alias("_out")).where("_out IS NOT NULL").distinct()
-    few = decided.limit(most + 1).count() <= most
-    return docs.join(F.broadcast(decided) if few else decided, F.col(id_col) == F.col("_out"), "left_anti")
+    out = out.select(F.col("id").alias("_id"), F.col("key").alias("_key")).where("_id IS NOT NULL").distinct()
+    few = out.limit(most + 1).count() <= most
+    same = (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_key"))
+    return docs.join(F.broadcast(out) if few else out, same, "left_anti")

@@ -29,14 +29,15 @@ UNKNOWN = "und"
 class Languages:
     """languages: the candidates. evidence: trigrams that a text counts as, at most,
     as they depend on each other; strength: rows that a smoothing prior counts as;
-    unknown: prior of none of the languages; least: probability with which a text
-    is kept."""
+    unknown: prior of none of the languages, whose trigrams are as likely as one of
+    `odd` times the buckets; least: probability with which a text is kept."""
 
     languages: tuple[str, ...] = ("de", "en", "es", "fr")
     buckets: int = 4096
     evidence: float = 60.0
     strength: float = 20.0
     unknown: float = 1e-6
+    odd: float = 8.0
     least: float = 0.5
 
 
@@ -90,7 +91,7 @@ def trigram_counts(texts: DataFrame, p: Languages) -> np.ndarray:
 def likelihoods(rows: DataFrame, counts: np.ndarray, p: Languages) -> DataFrame:
     """rows plus `n`, its trigrams, and `ll`, log-likelihoods of the text by language and of none; without the text."""
     smooth = counts + 0.5
-    model = np.concatenate([np.log(smooth / smooth.sum(1, keepdims=True)), np.full((1, p.buckets), -math.log(p.buckets))]).T.copy()
+    model = np.concatenate([np.log(smooth / smooth.sum(1, keepdims=True)), np.full((1, p.buckets), -math.log(p.odd * p.buckets))]).T.copy()
     shared = rows.sparkSession.sparkContext.broadcast(model)
     columns = [c for c in rows.columns if c != "text"]
     width = model.shape[1]
@@ -180,8 +181,7 @@ def identified(rows: DataFrame, p: Languages = Languages()) -> DataFrame:
     less = lambda x: F.zip_with(x, "own", lambda a, b: F.greatest(a - b, F.lit(0.0)))
     found = found.withColumns({"level": less(total), "of_domain": less("of_domain"), "of_host": less("of_host")})
     scale = lambda sums, above: F.zip_with(sums, above, lambda a, b: (a + p.strength * b) / (F.aggregate(sums, F.lit(0.0), lambda x, y: x + y) + p.strength))
-    even = F.array(*[F.lit(1.0 / width)] * width)
-    found = found.withColumn("level", scale("level", even))
+    found = found.withColumn("level", scale("level", F.transform(flat, F.exp)))
     found = found.withColumn("level", scale("of_domain", "level"))
     found = found.withColumn("level", scale("of_host", "level"))
     logs = F.zip_with("text_log", "level", lambda a, b: a + F.log(b))

@@ -123,7 +123,7 @@ def fingerprints(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tuple((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
 
 
-SKETCH_SCHEMA = "id long, n long, hi long, lo long, registers binary"
+SKETCH_SCHEMA = "id long, key long, n long, hi long, lo long, registers binary"
 
 
 def sketches(docs: DataFrame, p: SetSketch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,9 +141,11 @@ def sketches(docs: DataFrame, p: SetSketch, id_col: str = "doc_id", text_col: st
                     values = register_values(sets, np.append(at[full], at[-1]), p)
                     for row, x in zip(full, values, strict=True):
                         packed[row] = x.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(hi), pa.array(lo), pa.array(packed, pa.binary())], ["id", "n", "hi", "lo", "registers"])
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(hi), pa.array(lo), pa.array(packed, pa.binary())], ["id", "key", "n", "hi", "lo", "registers"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, SKETCH_SCHEMA)
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(work, SKETCH_SCHEMA)
 
 
 def band_keys(registers: np.ndarray, p: SetSketch) -> np.ndarray:
@@ -231,7 +233,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, p: SetSketch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, p: SetSketch = SetSketch(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of docs.
+    """(id, key, n_shingles, component_id, kept) for every row of docs; key is a hash of its text.
 
     Documents of equal sets form a class at once, by its fingerprint. Classes
     that share a band are candidates. Each class is first confirmed against its
@@ -269,9 +271,9 @@ def near_duplicates(docs: DataFrame, p: SetSketch = SetSketch(), id_col: str = "
     parts = staged(extended(parts, links), "parts")
 
     of_set = reps.select("n", "hi", "lo", F.col("id").alias("rep")).join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    found = all_.select("id", "n", "hi", "lo").join(of_set.select("n", "hi", "lo", F.coalesce("component", "rep").alias("found")), ["n", "hi", "lo"], "left")
+    found = all_.select("id", "key", "n", "hi", "lo").join(of_set.select("n", "hi", "lo", F.coalesce("component", "rep").alias("found")), ["n", "hi", "lo"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))
-    return found.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
+    return found.select("id", "key", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, p: SetSketch, id_col: str, text_col: str) -> DataFrame:
@@ -371,7 +373,7 @@ def block_links(mixed: DataFrame, texts: DataFrame, p: SetSketch) -> DataFrame:
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Contract query: all documents, 3-word shingles, 85 of 100."""
     found = near_duplicates(table(spark, sf_dir, "documents"), SetSketch(k=3, percent=85))
-    return found.withColumnRenamed("id", "doc_id")
+    return found.drop("key").withColumnRenamed("id", "doc_id")
 
 
 OP9_SQL = r"""

@@ -1 +1,45 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns the documents that go on."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import kept_rows, staged
+from .language import document_rows, identified
+from .mixing import mixed_texts
+from .packing import packed
+from .setsketch import near_duplicates
+from .surrogates import replaced
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages; texts without letters and in no known language go."""
+    found = identified(document_rows(docs))
+    return kept_rows(docs, staged(found.where("NOT kept").select("id", "key"), "rejected"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, 0.8), and of repeated rows, the document of the smallest id."""
+    found = staged(near_duplicates(docs).select("id", "key", "kept"), "groups")
+    left = kept_rows(docs, staged(found.where("NOT kept").select("id", "key"), "copies"))
+    again = staged(found.where("id IS NOT NULL").groupBy("id", "key").count().where("count > 1").select("id", "key"), "repeated")
+    if again.isEmpty():
+        return left
+    same = (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("key"))
+    return kept_rows(left, again).unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data."""
+    return replaced(docs).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: a row for each copy of what it takes of a document; n_chars as before."""
+    return mixed_texts(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences."""
+    return packed(docs).withColumnRenamed("id", "doc_id")
