@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, media, mixing, neighbours, packing, quality, setsketch, surrogates, warc
+from . import entropy, language, media, mixing, neighbours, packing, quality, setsketch, surrogates, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_nearest": neighbours.op4_nearest,
     "op5_mixing": mixing.op5_mixing,
+    "op6_cross_entropy": entropy.op6_cross_entropy,
     "op7_warc": warc.op7_warc,
     "op8_surrogates": surrogates.op8_surrogates,
     "op9_near_duplicates": setsketch.op9_near_duplicates,
