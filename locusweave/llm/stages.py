@@ -15,7 +15,7 @@ from .surrogates import replaced
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages; texts without letters and in no known language go."""
-    found = identified(document_rows(docs))
+    found = staged(identified(document_rows(docs)), "languages")
     return kept_rows(docs, staged(found.where("NOT kept").select("id", "key"), "rejected"))
 
 
@@ -26,6 +26,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = staged(found.where("id IS NOT NULL").groupBy("id", "key").count().where("count > 1").select("id", "key"), "repeated")
     if again.isEmpty():
         return left
+    left = staged(left, "left")
     same = (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("key"))
     return kept_rows(left, again).unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
