@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Rows of a batch that Python gets, at most; texts can be long.
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs the re-reading of a file, not
-    the work before it.
+    the work before it. From here on, batches for Python have BATCH_ROWS rows at
+    most in this session.
     """
     spark = df.sparkSession
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict = {}
+
+
+def kept(name: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks under a name; it keeps one thing at a time."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def slices(sizes: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [i, j) whose sizes add up to at most `most`, one row at least."""
     i, ends = 0, np.cumsum(sizes)
@@ -72,7 +91,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row range, bytes and row offsets for slices of a batch's text column."""
+    """Row range, bytes and row offsets for slices of a batch's text column. What the worker kept for another operator goes."""
+    _kept.clear()
     data, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
     for i, j in slices(np.diff(offsets)):
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]

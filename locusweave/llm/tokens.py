@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import unicodedata
 
 import numpy as np
 
+from .common import kept
+
 #: Words whose ids a Python worker keeps, and bytes of the longest such word.
 CACHED, LONGEST = 1_000_000, 64
 #: New words that are encoded as one text.
@@ -56,9 +57,6 @@ class Words:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_loaded = functools.cache(Words)
-
-
 def document_ids(path: str, texts: list[str | None]) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers; a null text has none.
 
@@ -66,7 +64,7 @@ def document_ids(path: str, texts: list[str | None]) -> list[bytes]:
     token, as one of words with word ends does: then the ids of a text are those
     of its parts between them, and frequent parts are encoded once a worker.
     """
-    model = _loaded(path)
+    model = kept(("words", path), lambda: Words(path))
     if len(model.known) > CACHED:
         model.known = {"": b""}
     parts = [[] if t is None else t.replace("\n", " ").split(" ") for t in texts]
