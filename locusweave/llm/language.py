@@ -37,7 +37,7 @@ class Languages:
     evidence: float = 60.0
     strength: float = 20.0
     unknown: float = 1e-6
-    odd: float = 8.0
+    odd: float = 3.0
     least: float = 0.5
 
 
@@ -90,7 +90,7 @@ def trigram_counts(texts: DataFrame, p: Languages) -> np.ndarray:
 
 def likelihoods(rows: DataFrame, counts: np.ndarray, p: Languages) -> DataFrame:
     """rows plus `n`, its trigrams, and `ll`, log-likelihoods of the text by language and of none; without the text."""
-    smooth = counts + 0.5
+    smooth = counts + 0.05
     model = np.concatenate([np.log(smooth / smooth.sum(1, keepdims=True)), np.full((1, p.buckets), -math.log(p.odd * p.buckets))]).T.copy()
     shared = rows.sparkSession.sparkContext.broadcast(model)
     columns = [c for c in rows.columns if c != "text"]
@@ -100,7 +100,7 @@ def likelihoods(rows: DataFrame, counts: np.ndarray, p: Languages) -> DataFrame:
         for batch in batches:
             for i, j, data, offsets in text_slices(batch, "text"):
                 bucket, row = trigrams(data, offsets, p.buckets)
-                ll = np.stack([np.bincount(row, shared.value[bucket, k], j - i) for k in range(width)], 1)
+                ll = np.stack([np.bincount(row, shared.value[bucket, k], j - i) for k in range(width)], 1).astype(float)
                 part = batch.slice(i, j - i)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * width, pa.int32()), pa.array(ll.ravel()))
                 rest = [part.column(part.schema.get_field_index(c)) for c in columns]
