@@ -17,27 +17,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_slices
+from .common import slices, staged, table, text_slices
 from .words import spans, word_hashes
 
 
 @dataclass(frozen=True)
 class Difference:
     """vocabulary: words that have a number of their own, at most; mass: weight of
-    the unigram model in each bigram estimate; block: words of a block."""
+    the unigram model in each bigram estimate; block: words of a block, and of what
+    a task counts at once; part: words that it scores at once; ids_broadcast: ids
+    of the target that are broadcast, at most."""
 
     vocabulary: int = 16384
     mass: float = 8.0
-    block: int = 4_000_000
+    block: int = 2_000_000
+    part: int = 200_000
     ids_broadcast: int = 1_000_000
 
 
-def word_totals(texts: DataFrame) -> DataFrame:
-    """(word, n): how often each word, by its hash, stands in the texts (text)."""
+def word_totals(texts: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """(word, n): how often each word, by its hash, stands in the texts (text); a task counts about `most` words at once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -51,7 +55,7 @@ def word_totals(texts: DataFrame) -> DataFrame:
                 starts, ends, _ = spans(data, offsets)
                 held.append(word_hashes(data, starts, ends))
                 size += len(starts)
-                if size > 4_000_000:
+                if size > most:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -232,27 +236,31 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, p: Differen
     answers = requests.select("key", "block").join(totals, "key").select("block", "key", "all", "of_target")
 
     def score(block: pa.Table, answer: pa.Table) -> pa.Table:
-        tokens, at = flat(block.column("tokens").combine_chunks())
-        target = block.column("target").to_numpy().astype(bool)
         key = answer.column("key").to_numpy()
         order = np.argsort(key)
-        key = key[order]
+        key, sums = key[order], {c: answer.column(c).to_numpy()[order] for c in ("of_target", "all")}
+        rows = block.combine_chunks()
+        sizes = pc.binary_length(rows.column("tokens")).to_numpy() // 4
+        parts = [rows.slice(i, j - i) for i, j in slices(sizes, p.part)]
+        return pa.concat_tables([score_part(x, key, sums) for x in parts]) if parts else score_part(rows, key, sums)
+
+    def score_part(rows: pa.Table, key: np.ndarray, sums: dict[str, np.ndarray]) -> pa.Table:
+        tokens, at = flat(rows.column("tokens"))
+        target = rows.column("target").to_numpy().astype(bool)
         own = bigrams(tokens, at, size)
         k = np.searchsorted(key, own)
         k[k == len(key)] = 0
         met = key[k] == own if len(key) else np.zeros(len(own), bool)
         n = np.diff(at)
         means = []
-        for column, counts, out, lone in (("of_target", singles.value[1], target, target), ("all", singles.value[0], np.ones(len(n), bool), np.ones(len(n), bool))):
-            sums = answer.column(column).to_numpy()[order]
+        for column, counts, out in (("of_target", singles.value[1], target), ("all", singles.value[0], np.ones(len(n), bool))):
             # what has no answer was met once, by the row itself
-            together = np.where(met, sums[k] if len(sums) else 0, np.repeat(lone, n).astype(np.int64))
-            each = losses(tokens, at, out, together, counts, size, p.mass)
-            total = np.concatenate([[0.0], np.cumsum(each)])
+            together = np.where(met, sums[column][k] if len(key) else 0, np.repeat(out, n).astype(np.int64))
+            total = np.concatenate([[0.0], np.cumsum(losses(tokens, at, out, together, counts, size, p.mass))])
             means.append((total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1))
         empty = n == 0
         columns = [pa.array(x, mask=empty) for x in (*means, means[0] - means[1])]
-        return pa.Table.from_arrays([block.column("id"), pa.array(n), *columns], ["id", "tokens", "target_loss", "background_loss", "score"])
+        return pa.Table.from_arrays([rows.column("id"), pa.array(n), *columns], ["id", "tokens", "target_loss", "background_loss", "score"])
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORE)
 
