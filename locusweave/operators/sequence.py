@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusweave.schemas import TOP_LEVEL
+from locusweave.storage import written
 
 # The standard genetic code, bases in the order T, C, A, G.
 CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -101,7 +102,7 @@ def exon_residues(proteins_: DataFrame, segments: DataFrame, genome: str, observ
 
 def running_total(rows: DataFrame, key: str, count: str) -> DataFrame:
     """(key, before): the sum of `count` over all smaller keys; keys are dealt by range, one sum a range is gathered."""
-    dealt = rows.repartitionByRange(key).withColumn("range", F.spark_partition_id()).persist()
+    dealt = written(rows.repartitionByRange(key).withColumn("range", F.spark_partition_id()), "ranges")
     within = F.sum(count).over(Window.partitionBy("range").orderBy(key)) - F.col(count)
     ranges = dealt.groupBy("range").agg(F.sum(count).alias("all"))
     before = F.coalesce(F.sum("all").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -124,7 +125,7 @@ def top_level(features: DataFrame, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         above = now.select(F.col("id").alias("up"), F.col("up").alias("next"))
         step = now.join(above, "up").select("id", F.col("next").alias("up"), (F.col("up") != F.col("next")).alias("moved"))
-        step = step.checkpoint() if step.sparkSession.sparkContext.getCheckpointDir() else step.persist()
+        step = written(step, "parents")
         now = step.select("id", "up")
         if step.where("moved").isEmpty():
             break

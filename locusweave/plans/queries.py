@@ -12,6 +12,7 @@ from locusweave.plans import surrogate as data
 from locusweave.plans.surrogate import sql
 from locusweave.schemas import GENOME_1
 from locusweave.sources import readers, writers
+from locusweave.storage import written
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -243,8 +244,8 @@ def block_clt_z(spark, sf_dir):
 
 
 def _tree(spark, sf_dir, observed=True):
-    placed = data.mutual(spark, sf_dir, observed)
-    leaves = tree.numbered_leaves(placed, observed)
+    placed = written(data.mutual(spark, sf_dir, observed), "hits")
+    leaves = written(tree.numbered_leaves(placed, observed), "leaves")
     exons = data.exons(spark, sf_dir)
     return placed, exons, tree.scored_nodes(leaves, exons, hits.best_hits(placed, "K"))
 
@@ -284,9 +285,10 @@ def tree_nodes(spark, sf_dir):
 
 def _tests(spark, sf_dir, observed=True, threshold=1.0):
     placed, exons, nodes = _tree(spark, sf_dir, observed)
+    nodes = written(nodes, "nodes")
     best = hits.best_hits(placed, "K")
     pools = None if observed else testing.null_pools(placed, best, exons, GENOME_1)
-    return placed, exons, testing.tested(nodes, hits.null_moments(placed, best, exons), threshold, observed, pools).persist()
+    return placed, exons, written(testing.tested(nodes, hits.null_moments(placed, best, exons), threshold, observed, pools), "tests")
 
 
 @query()

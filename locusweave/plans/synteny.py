@@ -11,11 +11,12 @@ from locusweave.config import Config
 from locusweave.operators import alignment, hits, sequence, testing, tracks, tree
 from locusweave.schemas import GENOME_1, GENOME_2
 from locusweave.sources import readers
+from locusweave.storage import written
 
 
 @dataclass(frozen=True)
 class Analysis:
-    """Lazy tables of an analysis, in order."""
+    """Tables of an analysis, in order; hits, nodes and tests are written where executors share a folder."""
 
     exons: DataFrame
     hits: DataFrame
@@ -47,26 +48,26 @@ def clusters(exons: DataFrame, ab: DataFrame, ba: DataFrame, alpha: float = 0.05
     """Significant clusters from exons and both directions of alignments; ba has the queries of genome 1."""
     info = exons.select("exonid", "proteinid", "genome", "seqid", "start", "end", "strand")
     mutual = hits.in_file_order(hits.reciprocal(ba, ab, both=True, crossed=observed), ab)
-    placed = hits.genomic(hits.scored(mutual), info, observed).persist()
-    leaves = tree.numbered_leaves(placed, observed)
-    best = hits.best_hits(placed, "K")
-    nodes = tree.scored_nodes(leaves, info, best).persist()
+    placed = written(hits.genomic(hits.scored(mutual), info, observed), "hits")
+    leaves = written(tree.numbered_leaves(placed, observed), "leaves")
+    best = written(hits.best_hits(placed, "K"), "best")
+    nodes = written(tree.scored_nodes(leaves, info, best), "nodes")
     moments = hits.null_moments(placed, best, info)
     pools = None if observed else testing.null_pools(placed, best, info, GENOME_1)
-    tested = testing.tested(nodes, moments, threshold, observed, pools, alpha).persist()
+    tested = written(testing.tested(nodes, moments, threshold, observed, pools, alpha), "tests")
     chosen = testing.significant(tested, alpha, observed)
     return Analysis(exons, placed, leaves, nodes, tested, tracks.cluster_table(chosen, tested, placed, info, observed))
 
 
 def run(spark: SparkSession, config: Config, observed: bool = True, tables: tuple[str, str] | None = None) -> Analysis:
     """The whole analysis; tables: files of alignments (queries of genome 2, queries of genome 1) instead of aligning here."""
-    exons = exons_of(spark, config, observed).persist()
+    exons = written(exons_of(spark, config, observed), "exons")
     if tables:
         ab, ba = (readers.hits(spark, path) for path in tables)
     else:
         one, two = (exons.where(F.col("genome") == g).select(F.col("exonid").alias("id"), "seq") for g in (GENOME_1, GENOME_2))
         order = lambda df: df.withColumn("row_idx", F.xxhash64("qseqid", "sseqid"))
-        ab, ba = order(alignment.aligned(two, one)), order(alignment.aligned(one, two))
+        ab, ba = (written(order(alignment.aligned(a, b)), "alignments") for a, b in ((two, one), (one, two)))
     return clusters(exons, ab, ba, config.p, config.cons_thresh, observed)
 
 

@@ -26,13 +26,13 @@ def write_table(rows: DataFrame, path: str, header: str | None = None) -> None:
     if header is not None:
         first, *rest = out.columns
         out = out.toDF(f"#{first}", *rest)
-    out.write.option("sep", "\t").option("header", header is not None).option("quote", "").csv(path)
+    out.write.option("sep", "\t").option("header", header is not None).option("quote", "").option("comment", "\u0001").csv(path)
 
 
 def write_tree(nodes: DataFrame, path: str) -> None:
     """child1, child2 and comma-joined leaves, in order of node ids."""
     rows = nodes.orderBy("node_id").select(F.col("child1").alias("#child1"), "child2", F.array_join("leaves", ",").alias("leaves"))
-    rows.write.option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    rows.write.option("sep", "\t").option("header", True).option("quote", "").option("comment", "\u0001").csv(path)
 
 
 def write_pairs(genomic: DataFrame, path: str) -> None:
