@@ -198,3 +198,13 @@ def test_too_many_nodes_raise(spark):
     df = spark.createDataFrame([("a", "b", k, -1, -1, 0.0, 1.0, False, k, k + 1) for k in range(5)], "g1chr string, g2chr string, node_id long, child1 long, child2 long, z double, p double, eligible boolean, leaf_lo long, leaf_hi long")
     with pytest.raises(ValueError, match="intended"):
         testing.significant(df, most=4)
+
+
+def test_permutations_draw_what_is_asked(spark):
+    """Counts are drawn without replacement, and the share of draws that reach a score is right."""
+    pools = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0], [0.5] * 30, [0.25])], "a array<double>, u1 array<double>, u2 array<double>")
+    asked = [(4, 2, 1, 18.75), (4, 2, 1, 18.8), (1, 0, 0, 8.0), (1, 0, 0, 5.0), (1, 5, 3, -9.0)]
+    nodes = spark.createDataFrame(asked, "n_a long, n_u1 long, n_u2 long, score double")
+    p = {tuple(r)[:4]: r.p for r in testing.permuted(nodes, pools, tests=200, stop=10**9).collect()}
+    assert p[asked[0]] == 1 and p[asked[1]] == 0 and p[asked[4]] == 1
+    assert p[asked[2]] == pytest.approx(0.25, abs=0.05) and p[asked[3]] == pytest.approx(0.5, abs=0.05)
