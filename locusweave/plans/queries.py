@@ -261,7 +261,7 @@ def linkage_heights(spark, sf_dir):
     "WITH RECURSIVE " + sql(
         "SELECT block, g1chr, g2chr, h AS height, n - parts AS merges FROM (SELECT block, g1chr, g2chr, h, count(*) AS n, count(DISTINCT m) AS parts FROM (SELECT block, g1chr, g2chr, h, a, min(b) AS m FROM reach GROUP BY ALL) GROUP BY ALL)",
         "gi AS (SELECT *, row_number() OVER (ORDER BY qseqid, sseqid, qstart, qend, sstart, send, evalue) AS n FROM gh WHERE block % 5 = 0)",
-        "cut AS (SELECT unnest([100, 300, 1000]) AS h)",
+        "cut AS (SELECT CAST(unnest([100, 300, 1000]) AS BIGINT) AS h)",
         f"near AS (SELECT i.block, i.g1chr, i.g2chr, h, i.n AS a, j.n AS b FROM gi i JOIN gi j ON i.block = j.block AND i.g1chr = j.g1chr AND i.g2chr = j.g2chr JOIN cut ON {DISTANCE} <= h)",
         "reach AS (SELECT * FROM near UNION SELECT r.block, r.g1chr, r.g2chr, r.h, r.a, n.b FROM reach r JOIN near n ON r.block = n.block AND r.g1chr = n.g1chr AND r.g2chr = n.g2chr AND r.h = n.h AND r.b = n.a)",
     ).removeprefix("WITH ")

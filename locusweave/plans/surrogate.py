@@ -99,7 +99,7 @@ p AS (
 def _directed_sql(name: str, odd: int, q: str, s: str, a: str, b: str) -> str:
     return f"""
 {name} AS (
-  SELECT x.exonid AS qseqid, y.exonid AS sseqid, 100.0 AS pident, CAST({a}2 - {a}1 + 1 AS BIGINT) AS length, 0 AS mismatch, 0 AS gapopen,
+  SELECT x.exonid AS qseqid, y.exonid AS sseqid, CAST(100 AS DOUBLE) AS pident, CAST({a}2 - {a}1 + 1 AS BIGINT) AS length, CAST(0 AS BIGINT) AS mismatch, CAST(0 AS BIGINT) AS gapopen,
     CAST({a}1 AS BIGINT) AS qstart, CAST({a}2 AS BIGINT) AS qend, CAST({b}1 AS BIGINT) AS sstart, CAST({b}2 AS BIGINT) AS send, evalue, bitscore,
     CAST(floor((y.end_ - y.start_) / 3) AS BIGINT) AS slen, CAST(floor((x.end_ - x.start_) / 3) AS BIGINT) AS qlen
   FROM p JOIN ex x ON x.okey = {q} JOIN ex y ON y.okey = {s} WHERE ln % 2 = {odd})"""
