@@ -4,7 +4,7 @@ One pattern finds the mentions of a text. A mention stands for one entity key
 (kind and canonical value; a titled full name for two), so differently written
 mentions of an entity share it. The surrogate of a key is drawn from an HMAC-like
 stream of sha2(secret, key, attempt), shaped by its kind: phone numbers keep
-their country code, cards their network digit and a valid check digit, IBANs
+their country code, cards their issuer and a valid check digit, IBANs
 their country and check digits, secrets their alphabet, names their gender and
 script, and punctuation and letter case are put back as they stood.
 
@@ -52,6 +52,8 @@ KINDS = {
     "phone": r"(?<![\p{L}\p{N}+.-])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,5}(?![\p{L}\p{N}])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? {NAME}(?: {NAME})?(?![\p{{L}}\p{{N}}])",
 }
+# Numbers of card issuers, by leading digits and length.
+ISSUERS = r"^(?:4[0-9]{12}(?:[0-9]{3}){0,2}|(?:5[1-5]|35)[0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}|3(?:0[0-5]|[68][0-9])[0-9]{11}|6(?:011|5[0-9]{2})[0-9]{12})$"
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Texts without any of these hold no mention.
 GUARD = rf"[0-9@]|(?:{TITLES})\.? \p{{Lu}}|(?i:password|passwd|pwd|token|secret|api_?key)\s{{0,3}}[=:]"
@@ -96,14 +98,14 @@ def mod97(text: Column) -> Column:
 
 
 def kind_of(surface: Column) -> Column:
-    """The first kind that the whole mention looks like; numbers that fail their check digits are none."""
+    """The first kind that the whole mention looks like; numbers of no card issuer, or that fail their check digits, are none."""
     found = F.lit(None).cast("string")
     for kind, pattern in reversed(KINDS.items()):
         # the borders around a mention held where it was found
         whole = "^(?:" + pattern + ")$"
         is_ = surface.rlike(whole)
         if kind == "card":
-            is_ = is_ & (luhn(_digits(surface)) % 10 == 0)
+            is_ = is_ & _digits(surface).rlike(ISSUERS) & (luhn(_digits(surface)) % 10 == 0)
         if kind == "iban":
             plain = F.regexp_replace(surface, " ", "")
             is_ = is_ & (mod97(F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))) == 1)
@@ -178,7 +180,8 @@ def surrogate(kind: Column, value: Column, attempt: Column, stream: Column, doma
     drawn = _mapped(value, stream)
     national = n - 10
     phone = F.when(national >= 0, F.concat(F.substr(value, F.lit(1), national), _pick("23456789", _byte(stream, 40)), F.substr(drawn, national + 2, F.lit(2)), _pick("23456789", _byte(stream, 41)), F.substr(drawn, national + 5))).otherwise(F.concat(F.substr(value, F.lit(1), F.lit(2)), F.substr(drawn, F.lit(3))))
-    body = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(drawn, F.lit(2), n - 2))
+    issuer = F.when(value.startswith("4"), 1).otherwise(4)
+    body = F.concat(F.substr(value, F.lit(1), issuer), F.substr(drawn, issuer + 1, n - 1 - issuer))
     card = F.concat(body, ((10 - luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
     ssn = F.concat(F.lit("9"), F.substr(drawn, F.lit(2)))
     octet = lambda i, low, count: (low + F.pmod(_byte(stream, i) + 256 * _byte(stream, i + 60), F.lit(count))).cast("string")

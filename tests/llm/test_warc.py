@@ -51,7 +51,7 @@ def test_round_trip(spark, tmp_path):
         assert any(r.url == "http://a.example/%20y%0D%0AX:%20z" for r in found)
         for row in archives.collect():  # any reader of several gzip members sees the same records
             data = open(row.path.removeprefix("file://"), "rb").read()
-            lines = [json.loads(x) for x in open(row.index.removeprefix("file://"))]
+            lines = [json.loads(x) for x in open(row["index"].removeprefix("file://"))]
             assert len(lines) == row.records and lines[0]["offset"] == 0
             assert sum(x["length"] for x in lines) == len(data)
             joined = b"".join(zlib.decompress(data[x["offset"] : x["offset"] + x["length"]], 31) for x in lines)
