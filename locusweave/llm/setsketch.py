@@ -254,7 +254,8 @@ def near_duplicates(docs: DataFrame, p: SetSketch = SetSketch(), id_col: str = "
     reps = staged(classes.select("n", "hi", "lo", "x.id", "x.registers"), "classes")
 
     bands = staged(banded(reps, p), "bands")
-    centres = bands.groupBy("band").agg(F.min("id").alias("c"), F.count("*").alias("m")).where("m > 1").drop("m")
+    # written, so that both sides of the join are shuffled and Spark can split a crowded band
+    centres = staged(bands.groupBy("band").agg(F.min("id").alias("c"), F.count("*").alias("m")).where("m > 1").drop("m"), "centres")
     mates = staged(bands.join(centres, "band"), "mates")  # of bands with two members or more
     star = likely(mates.where("id != c").select(F.col("id").alias("a"), F.col("c").alias("b")).distinct(), reps, p)
     star = staged(star, "stars")
@@ -306,7 +307,7 @@ def extended(parts: DataFrame, more: DataFrame) -> DataFrame:
 def mixed_bands(labelled: DataFrame) -> DataFrame:
     """The rows (band, id, n, component) of bands with several components, with the band's members m and shingles."""
     several = labelled.groupBy("band").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("component").alias("x"), F.max("component").alias("y"))
-    return labelled.join(several.where("x < y").drop("x", "y"), "band")
+    return labelled.join(staged(several.where("x < y").drop("x", "y"), "several"), "band")
 
 
 def few_mates(mixed: DataFrame, p: SetSketch) -> DataFrame:
