@@ -36,7 +36,7 @@ class Packing:
     gap: float = 2e-4
     end_id: int = 1
     pad_id: int = 0
-    ranked: int = 20_000
+    ranked: int = 2_000
 
 
 def best_pattern(values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
