@@ -25,10 +25,11 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     Text before the first header is dropped, blank lines are skipped; an empty
     file gives no rows. A record is one row, so it must fit a task's memory.
     """
-    records = _in_order(spark.read.option("lineSep", "\n>").text(path))
-    # only the file's first record still has its own mark; what precedes a mark there is no record
-    first = F.row_number().over(Window.partitionBy(F.input_file_name()).orderBy("row_idx")) == 1
-    marked = records.withColumn("record", F.when(F.col("value").startswith(">"), F.substr("value", F.lit(2))).when(~first, F.col("value")))
+    records = _in_order(spark.read.option("lineSep", "\n>").text(path)).withColumn("file", F.input_file_name())
+    # only a file's first record still has its own mark; what precedes a mark there is no record
+    firsts = records.groupBy("file").agg(F.min("row_idx").alias("row_idx")).withColumn("first", F.lit(True))
+    marked = records.join(firsts, ["file", "row_idx"], "left")
+    marked = marked.withColumn("record", F.when(F.col("first").isNull(), F.col("value")).when(F.col("value").startswith(">"), F.substr("value", F.lit(2))))
     lines = F.split("record", "\r?\n")
     seq = F.array_join(F.transform(F.slice(lines, 2, F.size(lines)), F.trim), "")
     found = marked.where("record IS NOT NULL").select(F.split(F.trim(lines[0]), " ")[0].alias("id"), seq.alias("seq"), "row_idx")
@@ -77,9 +78,14 @@ def exon_info(spark: SparkSession, path: str) -> DataFrame:
 def tree(spark: SparkSession, path: str) -> DataFrame:
     """(node_id, child1, child2, leaves) of a written tree; node ids are row numbers from 0."""
     rows = table(spark, path, "child1 long, child2 long, leaves string")
-    number = F.row_number().over(Window.orderBy("row_idx")) - 1
+    # row_idx holds the partition above 33 bits of the place in it: one count a partition makes places running numbers
+    placed = rows.withColumns({"part": F.shiftright("row_idx", 33), "place": F.col("row_idx").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = F.col("before") + F.col("place")
     leaves = F.transform(F.filter(F.split("leaves", ","), lambda x: x != ""), lambda x: x.cast("long"))
-    return rows.select(number.alias("node_id"), "child1", "child2", leaves.alias("leaves"))
+    numbered = placed.join(F.broadcast(counts.select("part", before.alias("before"))), "part")
+    return numbered.select(number.alias("node_id"), "child1", "child2", leaves.alias("leaves"))
 
 
 def clusters(spark: SparkSession, path: str) -> DataFrame:
