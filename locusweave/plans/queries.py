@@ -267,8 +267,19 @@ def linkage_heights(spark, sf_dir):
     ).removeprefix("WITH ")
 )
 def block_linkage(spark, sf_dir):
-    """Merges below given heights in trees of every fifth run of 100 exons."""
-    rows = blocks(spark, sf_dir).where("block % 5 = 0").withColumn("g1chr", F.concat_ws("|", F.col("block").cast("string"), "g1chr"))
+    """Merges below given heights in trees of every fifth run of 100 exons, as its SQL has it; block_linkage_all has all runs."""
+    return merges_below(blocks(spark, sf_dir).where("block % 5 = 0"))
+
+
+@query()
+def block_linkage_all(spark, sf_dir):
+    """Merges below given heights in trees of all runs of 100 exons."""
+    return merges_below(blocks(spark, sf_dir))
+
+
+def merges_below(placed: DataFrame) -> DataFrame:
+    """(block, g1chr, g2chr, height, merges) of the genomic hits of blocks."""
+    rows = placed.withColumn("g1chr", F.concat_ws("|", F.col("block").cast("string"), "g1chr"))
     leaves = tree.numbered_leaves(rows, observed=False)
     n = leaves.groupBy("g1chr", "g2chr").agg(F.lit(0).alias("extra"))
     edges = tree.linkage(leaves)
