@@ -1,6 +1,10 @@
 """PII replaced by keyed surrogates of the same type, gender, script and format; DataFrame functions only.
 
-One pattern finds the mentions of a text. A mention stands for one entity key
+One pattern finds the mentions of a text. Numbers of cards and accounts enter it
+as they stand in the text, after all that could be one, overlapping or not, were
+tried by their check digits, so one that fails takes nothing of its neighbours
+along. Words of titled names are replaced where they stand without title, too.
+A mention stands for one entity key
 (kind and canonical value; a titled full name for two), so differently written
 mentions of an entity share it. The surrogate of a key is drawn from an HMAC-like
 stream of sha2(secret, key, attempt), shaped by its kind: phone numbers keep
@@ -24,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import looked_up, staged, table
 
 # Forms of address by gender.
-FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Mademoiselle", "Señora", "Sra", "Госпожа", "Κυρία")
-MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Mademoiselle", "Señora", "Sra", "Госпожа", "Κυρία", "Lady", "Dame", "Fräulein", "Mlle", "Señorita", "Srta", "Doña", "Δεσποινίς")
+MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος", "Lord", "Herrn", "Don", "Κύριο", "Κυρίου")
+NEUTRAL = ("Dr", "Prof", "Professor", "Doctor", "Doktor", "Docteur", "Professeur", "Profesor", "Mx", "Доктор", "Профессор")
 # Syllables that surrogate names are made of, by script.
 SYLLABLES = {
     "latin": ("ba", "de", "fi", "go", "ka", "le", "mi", "no", "pa", "re", "sa", "te", "vi", "lo", "ra", "ne"),
@@ -34,12 +39,21 @@ SYLLABLES = {
 }
 # Endings of given names by gender, and of family names.
 ENDINGS = {
-    "latin": {"f": "lia", "m": "ton", "": "ner"},
-    "cyrillic": {"f": "лия", "m": "тон", "": "нер"},
-    "greek": {"f": "λια", "m": "τος", "": "νης"},
+    "latin": {"f": "lia", "m": "ton", "n": "den", "": "ner"},
+    "cyrillic": {"f": "лия", "m": "тон", "n": "ден", "": "нер"},
+    "greek": {"f": "λια", "m": "τος", "n": "δης", "": "νης"},
 }
-NAME = r"\p{Lu}[\p{Ll}'’-]{1,24}"
-TITLES = "|".join(sorted(FEMALE + MALE, key=len, reverse=True))
+# Lengths of account numbers by country.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+NAME = r"(?:\p{Lu}(?:\p{Ll}|-(?=\p{L})|['’](?!s(?!\p{L}))(?=\p{L})|(?<=[\p{Ll}'’-])\p{Lu}(?=\p{Ll})){1,24}|\p{Lu}{2,25})(?!\p{L})"
+# What may stand before a family name.
+LEAD = r"(?:\p{Lu}\. ?|(?:van|von|vom|zu|der|den|de|del|della|di|da|dos|du|la|le|bin|ibn|al) ){0,3}"
+TITLES = "|".join(sorted(FEMALE + MALE + NEUTRAL, key=len, reverse=True))
+TITLE = rf"(?:(?:{TITLES})\.? )+"
 #: The kinds of mentions and how they look, in order of precedence.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}+\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
@@ -48,15 +62,23 @@ KINDS = {
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])",
-    "card": r"(?<![\p{L}\p{N}.-])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}+.-])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,5}(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? {NAME}(?: {NAME})?(?![\p{{L}}\p{{N}}])",
+    "card": r"(?<![\p{L}\p{N}.-])[0-9](?:[ -]?[0-9]){11,18}(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}+.-])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])|\+[0-9](?:[ .-]?\(?[0-9]\)?){2,14}(?![\p{L}\p{N}]|[.-][0-9])|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,5}(?![\p{L}\p{N}])",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){TITLE}{LEAD}{NAME}(?: {LEAD}{NAME})?(?![\p{{L}}\p{{N}}])",
 }
 # Numbers of card issuers, by leading digits and length.
-ISSUERS = r"^(?:4[0-9]{12}(?:[0-9]{3}){0,2}|(?:5[1-5]|35)[0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}|3(?:0[0-5]|[68][0-9])[0-9]{11}|6(?:011|5[0-9]{2})[0-9]{12})$"
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+ISSUERS = (
+    r"^(?:4[0-9]{12}(?:[0-9]{3}){0,2}|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}"
+    r"|35[0-9]{14,17}|3(?:0[0-59]|[689][0-9])(?:[0-9]{11}|[0-9]{13,16})|(?:6011|64[4-9][0-9]|65[0-9]{2}|62[0-9]{2}|81[0-9]{2})[0-9]{12,15}"
+    r"|(?:50|5[6-9]|6[0-9])[0-9]{10,17})$"
+)
+#: Cards and accounts are tried by their check digits before they are sought.
+CHECKED = ("iban", "card")
+BEFORE = {k: p for k, p in list(KINDS.items())[:3]}
+AFTER = {k: p for k, p in KINDS.items() if k not in BEFORE and k not in CHECKED}
+NOT_IN_WORD, AFTER_NUMBER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: Texts without any of these hold no mention.
-GUARD = rf"[0-9@]|(?:{TITLES})\.? \p{{Lu}}|(?i:password|passwd|pwd|token|secret|api_?key)\s{{0,3}}[=:]"
+GUARD = rf"[0-9@]|(?:{TITLES})\.? \p{{L}}|(?i:password|passwd|pwd|token|secret|api_?key)\s{{0,3}}[=:]"
 
 
 @dataclass(frozen=True)
@@ -97,33 +119,76 @@ def mod97(text: Column) -> Column:
     return F.aggregate(_chars(text), F.lit(0), add)
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _is_card(surface: Column) -> Column:
+    return _digits(surface).rlike(ISSUERS) & (luhn(_digits(surface)) % 10 == 0)
+
+
+def _is_iban(surface: Column) -> Column:
+    plain = F.regexp_replace(surface, " ", "")
+    return mod97(F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))) == 1
+
+
 def kind_of(surface: Column) -> Column:
     """The first kind that the whole mention looks like; numbers of no card issuer, or that fail their check digits, are none."""
     found = F.lit(None).cast("string")
     for kind, pattern in reversed(KINDS.items()):
         # the borders around a mention held where it was found
-        whole = "^(?:" + pattern + ")$"
-        is_ = surface.rlike(whole)
-        if kind == "card":
-            is_ = is_ & _digits(surface).rlike(ISSUERS) & (luhn(_digits(surface)) % 10 == 0)
-        if kind == "iban":
-            plain = F.regexp_replace(surface, " ", "")
-            is_ = is_ & (mod97(F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))) == 1)
+        is_ = surface.rlike("^(?:" + pattern + ")$")
+        if kind in CHECKED:
+            is_ = is_ & (_is_card(surface) if kind == "card" else _is_iban(surface))
         found = F.when(is_, F.lit(kind)).otherwise(found)
     return found
 
 
+def _candidates(text: Column, shape: str, border: str = NOT_IN_WORD) -> Column:
+    """All places of a shape, overlapping ones too."""
+    return F.regexp_extract_all(text, F.lit(f"{border}(?=({shape}){AFTER_NUMBER})"), F.lit(1))
+
+
+def pattern_of(text: Column) -> Column:
+    """The pattern of a text's mentions; its valid numbers of cards (longer ones first) and accounts are alternatives as they stand."""
+    none = F.array().cast("array<string>")
+    sized = []
+    for n, countries in IBANS.items():
+        full, rest = divmod(n - 4, 4)
+        sized.append(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{full}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    other = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+    ibans = F.concat(_candidates(text, "|".join(sized)), _candidates(text, other))
+    ibans = F.when(text.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), F.filter(F.array_distinct(ibans), _is_iban)).otherwise(none)
+    border = r"(?<![\p{L}\p{N}.-])"
+    cards = F.concat(*[_candidates(text, rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}", border) for n in range(19, 11, -1)])
+    cards = F.when(text.rlike(r"[0-9](?:[ -]?[0-9]){11}"), F.filter(F.array_distinct(cards), _is_card)).otherwise(none)
+
+    def among(numbers: Column, border: str) -> Column:
+        return F.when(F.size(numbers) > 0, F.concat(F.lit(f"(?:{border}(?:"), F.array_join(numbers, "|"), F.lit(f"){AFTER_NUMBER})|"))).otherwise(F.lit(""))
+
+    joined = lambda kinds: "|".join(f"(?:{p})" for p in kinds.values())
+    return F.concat(F.lit(joined(BEFORE) + "|"), _let(ibans, lambda x: among(x, NOT_IN_WORD)), _let(cards, lambda x: among(x, border)), F.lit(joined(AFTER)))
+
+
 def _script(name: Column) -> Column:
     return F.when(name.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
 
 
+def name_words(surface: Column) -> Column:
+    """The given and family name of a mention, or the family name only; no titles, initials and particles."""
+    return F.regexp_extract_all(F.regexp_replace(surface, f"^{TITLE}", ""), F.lit(NAME), F.lit(0))
+
+
 SECRET_LEAD = r"^([^=:]*[=:]\s*[\"']?)"
 
 
 def keys_of(surface: Column, kind: Column) -> Column:
     """The entity keys of a mention, kind and value joined by a colon."""
-    words = F.split(F.regexp_replace(surface, rf"^(?:{TITLES})\.? ", ""), " ")
-    gender = F.when(surface.rlike(rf"^(?:{'|'.join(FEMALE)})\b"), "f").otherwise("m")
+    words = name_words(surface)
+    title = F.regexp_extract(surface, f"^{TITLE}", 0)
+    of = lambda titles: title.rlike(rf"(?:^| )(?:{'|'.join(titles)})[. ]")
+    gender = F.when(of(FEMALE), "f").when(of(MALE), "m").otherwise("n")
     given = F.concat(F.lit("given/"), gender, F.lit("/"), _script(words[0]), F.lit(":"), F.lower(words[0]))
     family = lambda w: F.concat(F.lit("family//"), _script(w), F.lit(":"), F.lower(w))
     value = F.regexp_replace(surface, SECRET_LEAD, "")
@@ -222,10 +287,39 @@ def with_surrogates(keys: DataFrame, p: Surrogates) -> DataFrame:
     return streams.withColumn("new", F.concat(_kind(F.col("key")), F.lit(":"), new)).drop("stream", "domain")
 
 
+PIECE = "struct<surface:string,kind:string,keys:array<string>>"
+
+
+def _cut(text: Column, pattern: Column, mention: Callable[[Column], Column]) -> Column:
+    """The pieces of a text, mentions made by `mention` and what lies between."""
+    none = F.array().cast("array<string>")
+    plain = lambda s: F.struct(s.alias("surface"), F.lit(None).cast("string").alias("kind"), none.alias("keys"))
+    made = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), mention)
+    pairs = F.zip_with(F.split(text, pattern, -1), made, lambda a, b: F.array(plain(a), b))
+    return F.filter(F.flatten(pairs), lambda x: F.coalesce(x["surface"], F.lit("")) != "")
+
+
 def mentions(text: Column) -> Column:
-    """array<struct<surface, kind, keys>> of a text, in order."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda s: F.struct(s.alias("surface"), kind_of(s).alias("kind")))
-    return F.transform(found, lambda x: F.struct(x["surface"].alias("surface"), x["kind"].alias("kind"), keys_of(x["surface"], x["kind"]).alias("keys")))
+    """array<struct<surface, kind, keys>> of the pieces of a text, in order; what is no mention has kind null and no keys."""
+    keyed = lambda s, kind: F.struct(s.alias("surface"), kind.alias("kind"), keys_of(s, kind).alias("keys"))
+    pieces = _let(pattern_of(text), lambda pattern: _cut(text, pattern, lambda s: _let(kind_of(s), lambda kind: keyed(s, kind))))
+    return _let(pieces, _untitled)
+
+
+def _untitled(pieces: Column) -> Column:
+    """pieces with the words of titled names found where they stand alone."""
+    words = lambda x: F.zip_with(name_words(x["surface"]), x["keys"], lambda w, k: F.struct(w.alias("word"), k.alias("key")))
+    known = F.array_distinct(F.flatten(F.transform(F.filter(pieces, lambda x: x["kind"] == "name"), words)))
+
+    def found(names: Column) -> Column:
+        longest = F.reverse(F.array_sort(F.array_distinct(F.transform(names, lambda n: n["word"]))))  # a word before its beginnings
+        pattern = F.concat(F.lit(f"{NOT_IN_WORD}(?:"), F.array_join(longest, "|"), F.lit(f"){AFTER_NUMBER}"))
+        key = lambda s: F.element_at(F.filter(names, lambda n: n["word"] == s), 1)["key"]
+        name = lambda s: F.struct(s.alias("surface"), F.lit("name").alias("kind"), F.array(key(s)).alias("keys"))
+        each = lambda pattern: F.flatten(F.transform(pieces, lambda x: F.when(x["kind"].isNull(), _cut(x["surface"], pattern, name)).otherwise(F.array(x))))
+        return F.when(F.size(names) > 0, _let(pattern, each)).otherwise(pieces)
+
+    return _let(known, found)
 
 
 def redrawn(keys: DataFrame, p: Surrogates) -> DataFrame:
@@ -264,31 +358,33 @@ def _written(x: Column) -> Column:
     new = F.transform(x["new"], _value)
     upper = (surface == F.upper(surface)) & surface.rlike(r"\p{Lu}")
     cased = F.when(upper, F.upper(new[0])).otherwise(new[0])
-    lead, title = F.regexp_extract(surface, SECRET_LEAD, 1), F.regexp_extract(surface, rf"^((?:{TITLES})\.? )", 1)
+    lead, title = F.regexp_extract(surface, SECRET_LEAD, 1), F.regexp_extract(surface, f"^{TITLE}", 0)
+    rest = F.substr(surface, F.length(title) + 1)
+    initial = F.upper(F.substr(new[0], F.lit(1), F.lit(1)))
+    between = F.transform(F.split(rest, NAME, -1), lambda x: F.regexp_replace(x, F.lit(r"\p{Lu}(?=\.)"), initial))
+    names = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(F.initcap(b), F.lit("")))), "")
     held = F.regexp_replace(surface, SECRET_LEAD, "")
     secret = F.when((held == F.upper(held)) & held.rlike("^[0-9A-F]+$"), F.upper(new[0])).otherwise(new[0])
     return (
-        F.when(kind.isin("card", "ssn", "iban"), _woven(surface, new[0]))
+        F.when(kind.isNull(), surface)
+        .when(kind.isin("card", "ssn", "iban"), _woven(surface, new[0]))
         .when(kind == "phone", _woven(surface, F.concat(F.repeat(F.lit("1"), F.length(_digits(surface)) - F.length(new[0])), new[0])))
         .when(kind == "email", cased)
         .when(kind == "secret", F.concat(lead, secret))
-        .when(kind == "name", F.concat(title, F.array_join(F.transform(new, F.initcap), " ")))
-        .when(kind.isNull(), surface)
+        .when(kind == "name", F.concat(title, names))
         .otherwise(new[0])
     )
 
 
-def _rewritten(text: Column, found: Column, attempt_of: Callable[[Column], Column], p: Surrogates) -> Column:
-    """text with its mentions replaced; each step of the work is one transform, so nothing is computed twice."""
+def _rewritten(found: Column, attempt_of: Callable[[Column], Column], p: Surrogates) -> Column:
+    """The text of pieces with its mentions replaced; each step of the work is one transform, so nothing is computed twice."""
     nothing = F.lit("0")
     drawn = F.transform(found, lambda x: F.struct(x["surface"].alias("surface"), x["kind"].alias("kind"), F.transform(x["keys"], lambda k: F.struct(k.alias("key"), attempt_of(k).alias("attempt"))).alias("keys")))
     streams = lambda k: F.struct(k["key"].alias("key"), k["attempt"].alias("attempt"), _stream(k["key"], k["attempt"], p.secret).alias("stream"), F.when(_kind(k["key"]) == "email", _stream(F.substring_index(k["key"], "@", -1), F.lit(0), p.secret)).otherwise(nothing).alias("domain"))
     drawn = F.transform(drawn, lambda x: F.struct(x["surface"].alias("surface"), x["kind"].alias("kind"), F.transform(x["keys"], streams).alias("keys")))
     new = lambda k: F.concat(_kind(k["key"]), F.lit(":"), surrogate(_kind(k["key"]), _value(k["key"]), k["attempt"], k["stream"], k["domain"]))
     drawn = F.transform(drawn, lambda x: F.struct(x["surface"].alias("surface"), x["kind"].alias("kind"), F.transform(x["keys"], new).alias("new")))
-    between = F.split(text, PATTERN, -1)
-    parts = F.zip_with(between, F.transform(drawn, _written), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.array_join(parts, "")
+    return F.array_join(F.transform(drawn, _written), "")
 
 
 def replaced(docs: DataFrame, p: Surrogates = Surrogates(), text_col: str = "text") -> DataFrame:
@@ -302,8 +398,7 @@ def replaced(docs: DataFrame, p: Surrogates = Surrogates(), text_col: str = "tex
     text = F.col(f"`{text_col}`").cast("string")
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"))
     guarded = F.when(F.col("text").rlike(GUARD), mentions(F.col("text")))
-    kind = "array<struct<surface:string,kind:string,keys:array<string>>>"
-    found = held.withColumn("found", F.coalesce(guarded, F.array().cast(kind)))
+    found = held.withColumn("found", F.coalesce(guarded, F.array().cast(f"array<{PIECE}>")))
     keys = found.select(F.explode(F.flatten("found.keys")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).select("key")
     again = staged(redrawn(staged(keys, "keys"), p), "redrawn")
     n = again.limit(p.most + 1).count()
@@ -314,7 +409,7 @@ def replaced(docs: DataFrame, p: Surrogates = Surrogates(), text_col: str = "tex
         attempt_of = lambda k: F.coalesce(F.element_at(known, k), F.lit(0))
     else:
         found, attempt_of = _with_attempts(found, again), lambda k: F.coalesce(F.element_at(F.col("attempts"), k), F.lit(0))
-    done = F.when(F.size("found") > 0, _rewritten(F.col("text"), F.col("found"), attempt_of, p)).otherwise(F.col("text"))
+    done = F.when(F.size("found") > 0, _rewritten(F.col("found"), attempt_of, p)).otherwise(F.col("text"))
     pii = F.transform(F.filter("found", lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["keys"].alias("keys")))
     columns = [done.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "pii"]
     return found.select(*columns, pii.alias("pii"))

@@ -109,3 +109,33 @@ def test_odd_rows(documents):
 
 def test_empty_table(documents):
     assert replaced(documents([])).count() == 0
+
+
+def test_neighbours_do_not_hide_numbers(spark):
+    phone, card, iban = "337-555-7349", "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    texts = [f"{card} 12/27", "4111111111111111 123", f"6011 {card} 99", f"call {phone} 337-555-7350", f"{phone} {card} 123-45-6789", f"{iban} BIC", f"DE12 3456 {iban} DE", f"{card} 10.20.30.40", f"+44 20 7946 0958 {card}", f"{card} 99@mail.org"]
+    for text, row in zip(texts, replaced(spark.createDataFrame([(t,) for t in texts], "text string")).collect()):
+        for private in (phone, card, iban, "4111111111111111", "337-555-7350", "123-45-6789", "10.20.30.40", "7946", "99@mail.org"):
+            assert private not in row.text, (text, row.text)
+        assert all(x.kind for x in row.pii)
+
+
+def test_cards_of_all_issuers(spark):
+    heads = {"622126": (16, 19), "6759": (12, 16, 19), "5018": (13,), "6445": (16,), "3095": (14,), "39": (14,), "36": (14, 16), "4": (13, 19)}
+    cards = []
+    for head, sizes in heads.items():
+        for n in sizes:
+            body = head.ljust(n - 1, "7")
+            cards.append(next(body + str(d) for d in range(10) if luhn(body + str(d)) % 10 == 0))
+    rows = replaced(spark.createDataFrame([(c,) for c in cards], "text string")).collect()
+    for card, row in zip(cards, rows):
+        assert [x.kind for x in row.pii] == ["card"] and row.text != card and len(row.text) == len(card) and luhn(row.text) % 10 == 0
+
+
+def test_names_of_all_shapes_and_without_title(spark):
+    text = "Dr. Jean-Luc O'Brien and Herr Prof. Müller met Mr. J. van McDonald. Jean-Luc said O'Brien's and McDonald left, MÜLLER and Mülleria stayed with Müller."
+    out = one(spark, text).text
+    for private in ("Jean", "Luc", "Brien", "McDonald", "Müller.", "J. van"):
+        assert private not in out, out
+    said = re.fullmatch(r"Dr\. (\w+) (\w+) and Herr Prof\. (\w+) met Mr\. \w\. van (\w+)\. (\w+) said (\w+)'s and (\w+) left, MÜLLER and Mülleria stayed with (\w+)\.", out)
+    assert said and said[1] == said[5] and said[2] == said[6] and said[4] == said[7] and said[3] == said[8]
