@@ -1,7 +1,8 @@
 """Language identification by Bayesian fusion of evidence.
 
 Text likelihoods come from letter trigram models, counted over all texts that
-declare their language. The declared language (of a column or of markup), the
+declare their language and short built-in profiles, which tell languages apart
+that no text declares. The declared language (of a column or of markup), the
 address suffix and the host are further evidence: how often texts of a language
 declare each language or lie under each suffix, and a host's prior, which is
 smoothed by its domain's and that by the whole's, are grouped aggregations over
@@ -41,6 +42,13 @@ class Languages:
     least: float = 0.5
 
 
+# Common words of languages, as a text that declares each.
+PROFILES = {
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei kann gegen vom können schon wenn habe seine ihre dann unter wir soll ich eines jahr zwei jahren diese dieser wieder keine uhr seiner worden will zwischen immer was sagte gibt alle seit muss wurden beim doch jetzt waren drei neue damit bereits da ab ohne sondern selbst ersten nun etwa heute ihren weil ihm menschen groß straße schön möglich lassen zeit gemacht weiter unser leben wurde am ende der stadt die arbeit des mannes und seiner freunde in dem kleinen haus an dem fluss",
+    "en": "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must well back through years much where your way down should because long each just those people how too little state good very make world still see own work life men being here between both under never know same last another while us might great go come since against right came take three states himself few house use during without again place around however home small found thought went say part once high general upon school every the end of the city and the work of the old man with his friends in the little house by the river",
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo han yo hay vez puede todos así nos ni parte tiene él uno donde bien tiempo mismo ese ahora cada vida otro después te otros aunque esa eso hace otra gobierno tan durante siempre día tanto ella tres sí dijo sido gran país según menos mundo año antes estado contra sino forma caso nada hacer general estaba poco estos presidente mayor ante unos les algo hacia casa ellos ayer hecho primera mucho mientras además quien momento millones esto hombre están pues hoy lugar nacional trabajo otras mejor nuevo decir algunos entonces todas días debe política cómo casi toda tal luego pasado medio niño señor el final de la ciudad y la obra de su viejo amigo en la pequeña casa junto al río",
+    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec son aux mais comme ou si leur y dont elle deux ces été cette tout nous sa ont même fait ses aussi bien peut on entre sans être encore temps autres ans après depuis lui était avoir faire très sous ainsi moins où donc avant contre leurs plusieurs là faut vers tous toujours autre non chez toute premier pays celui rien dit quand alors notre monde vous jour trois vie cela beaucoup peu part grand quelque années dire jamais moment année homme toutes je leur étaient avait trop prix fois chaque lors point mieux pendant ils grande selon nouvelle français mois aujourd'hui jusque travail place car voir fin sera ville politique nos cas enfants hommes elles mon quelques seulement certains celle marché société parce façon votre pourquoi assez ensuite déjà c'est n'est qu'il d'un d'une l'on s'est la fin de la ville et le travail du vieil homme avec ses amis dans la petite maison au bord de l'eau",
+}
 LETTER = np.zeros(256, bool)
 LETTER[[*range(97, 123), *range(128, 256)]] = True
 FOLD = np.arange(256, dtype=np.uint8)
@@ -88,6 +96,16 @@ def trigram_counts(texts: DataFrame, p: Languages) -> np.ndarray:
     return counts
 
 
+def profile_counts(p: Languages) -> np.ndarray:
+    """Trigrams of the built-in profiles by language and bucket; none for languages without a profile."""
+    counts = np.zeros((len(p.languages), p.buckets))
+    for k, name in enumerate(p.languages):
+        raw = PROFILES.get(name, "").encode()
+        bucket, _ = trigrams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), p.buckets)
+        counts[k] = np.bincount(bucket, minlength=p.buckets)
+    return counts
+
+
 def likelihoods(rows: DataFrame, counts: np.ndarray, p: Languages) -> DataFrame:
     """rows plus `n`, its trigrams, and `ll`, log-likelihoods of the text by language and of none; without the text."""
     smooth = counts + 0.05
@@ -143,14 +161,16 @@ def identified(rows: DataFrame, p: Languages = Languages()) -> DataFrame:
     or null. Its last label is the address suffix, the last two are its domain; a
     name without a dot has no suffix. A text without letters (null, empty, marks
     only) has language null and isn't kept. key is a hash of the text: rows of one
-    id and text are alike but for their other evidence. An empty table gives none.
+    id and text are alike but for their other evidence. Where no row declares a
+    language, or none of them declares one of the candidates, its profile is all
+    that its text model knows; a candidate without profile is then flat. An empty table gives none.
     """
     names = [*p.languages, UNKNOWN]
     width = len(names)
     declared = F.when(F.col("declared").isin(*p.languages), F.col("declared")).otherwise(F.when(F.col("declared").isNotNull(), "other").otherwise("none"))
     host = F.coalesce(F.col("host"), F.lit(""))
     rows = rows.select("id", F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"), declared.alias("declared"), host.alias("host"))
-    seen = staged(likelihoods(rows, trigram_counts(rows, p), p), "likelihoods")
+    seen = staged(likelihoods(rows, trigram_counts(rows, p) + profile_counts(p), p), "likelihoods")
 
     prior = math.log((1 - p.unknown) / len(p.languages))
     flat = F.array(*[F.lit(prior)] * len(p.languages), F.lit(math.log(p.unknown)))

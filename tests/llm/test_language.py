@@ -83,3 +83,23 @@ def test_counts_are_of_declared_languages(spark):
     df = spark.createDataFrame([("en", "ab"), ("en", "ab"), ("xx", "ab"), (None, "ab"), ("fr", None)], "declared string, text string").select(F.lit(1).alias("id"), "declared", "text")
     counts = language.trigram_counts(df, P)
     assert counts.sum(1).tolist() == [0, 4, 0, 0]
+
+
+PROSE = {
+    "de": "Am nächsten Morgen ging das Mädchen in den Garten, weil die Sonne schien und die Vögel sangen. Ihre Mutter kochte Kaffee und sprach mit dem Nachbarn über das Wetter.",
+    "en": "The next morning the girl walked into the garden because the sun was shining and the birds were singing. Her mother made coffee and talked with a neighbour about the weather.",
+    "es": "A la mañana siguiente la niña salió al jardín porque brillaba el sol y cantaban los pájaros. Su madre preparaba café y hablaba con el vecino sobre el tiempo.",
+    "fr": "Le lendemain matin, la fille sortit dans le jardin parce que le soleil brillait et que les oiseaux chantaient. Sa mère préparait du café et parlait du temps avec le voisin.",
+}
+
+
+def test_no_row_declares_a_language(spark):
+    rows = [(i, text, None, None) for i, text in enumerate(PROSE.values())]
+    found = {r.id: r for r in identified(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [(found[i].language, found[i].kept) for i in range(4)] == [(k, True) for k in PROSE]
+
+
+def test_one_language_is_never_declared(spark):
+    rows = [(i, text, None if lang == "es" else lang, None) for i, (lang, text) in enumerate(list(PROSE.items()) * 20)]
+    found = {r.id: r for r in identified(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all((found[i].language, found[i].kept) == (lang, True) for i, lang in enumerate(list(PROSE) * 20))
