@@ -9,18 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, our own only where it is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Where that is unset a local session gets a temporary folder of its own; any
+    other raises, as its executors would each write to a disk of their own.
+    """
     context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if found:
         return found
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the shared folder, read again; a lost executor costs the re-reading of a file."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as Parquet in the application's folder, read again; a lost executor costs the re-reading of a file.
+
+    The files stay until `clear`, as results that are computed later read them.
+    """
+    path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has written; call it once no result is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
