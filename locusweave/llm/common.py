@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusweave.storage import shared_dir
+from locusweave.storage import written
 
 #: Bytes of text that one numpy pass works on; longer texts are passes of their own.
 SLICE_BYTES = 1 << 20
@@ -27,19 +26,32 @@ BATCH_ROWS = 1024
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def small_batches(spark: SparkSession) -> str | None:
+    """Set batches for Python to BATCH_ROWS rows at most; the setting that was changed, if any.
+
+    Queries and stages do this for their session, as their results are computed
+    after they return; operators set nothing but for their own writing.
+    """
+    before = spark.conf.get(_BATCH)
+    if 0 < int(before) <= BATCH_ROWS:
+        return None
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return before
+
+
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs the re-reading of a file, not
-    the work before it. From here on, batches for Python have BATCH_ROWS rows at
-    most in this session.
+    the work before it. Batches for Python are small while it writes.
     """
     spark = df.sparkSession
-    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = small_batches(spark)
+    try:
+        return written(df, name, **options)
+    finally:
+        if before is not None:
+            spark.conf.set(_BATCH, before)
 
 
 _kept: dict = {}
@@ -109,18 +121,24 @@ def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
 BROADCAST_ROWS = 50_000
 
 
-def looked_up(df: DataFrame, known: DataFrame, key: str, spread: str, most: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
+def looked_up(df: DataFrame, known: DataFrame, key: str, spread: str, most: int = BROADCAST_ROWS, salts: int = 64, share: int = 256) -> DataFrame:
     """Left join with a table of one row a key (null matches null), safe for hot keys.
 
-    known is counted first: up to `most` rows it is broadcast; beyond that its rows
-    are repeated for `salts` salts, and df's rows of a key are spread over them by
-    a hash of the column `spread`.
+    known is counted first: up to `most` rows it is broadcast. Beyond that, keys
+    with more than one of `share` of df's rows are hot (fewer than `share` are):
+    their rows in known are repeated for `salts` salts, and df's are spread over
+    them by a hash of the column `spread`; other keys are joined plainly.
     """
     other = known.withColumnRenamed(key, "_key")
     if known.limit(most + 1).count() <= most:
         return df.join(F.broadcast(other), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-    other = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = df.withColumn("_own", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    counts = staged(df.groupBy(F.col(key).alias("_hot")).count(), "counts")
+    least = (counts.agg(F.sum("count")).first()[0] or 0) / share
+    hot = counts.where(F.col("count") > least).select("_hot", F.lit(True).alias("_is"))
+    own = F.when(F.col("_is"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
+    dealt = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn("_own", own).drop("_hot", "_is")
+    all_ = F.when(F.col("_is"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    other = other.join(F.broadcast(hot), F.col("_key").eqNullSafe(F.col("_hot")), "left").withColumn("_salt", F.explode(all_)).drop("_hot", "_is")
     return dealt.join(other, (F.col("_own") == F.col("_salt")) & F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key", "_own", "_salt")
 
 

@@ -15,11 +15,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import looked_up, numbered, staged, table
+from .common import byte_lengths, looked_up, numbered, slices, staged, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A prime that deals block numbers out evenly.
@@ -149,39 +150,36 @@ def mixed_texts(docs: DataFrame, p: Mix = Mix(), id_col: str = "doc_id", text_co
     words = re.compile(WORD)
     columns = docs.columns
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for text, first, end, times in zip(part["_text"], part["_first"], part["_end"], part["_times"], strict=True):
-                copies, spans = [], None
-                for r in range(1, int(max(times, default=0)) + 1):
-                    if min(times) >= r:
-                        copies.append(text)
-                        continue
-                    spans = spans or [m.span() for m in words.finditer(text)]
-                    runs = []
-                    for a, b, t in zip(first, end, times, strict=True):
-                        if t >= r:
-                            if runs and runs[-1][1] == a:
-                                runs[-1][1] = b
-                            else:
-                                runs.append([a, b])
-                    copies.append("\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in runs))
-                out.append(copies)
-            part["_copies"] = out
-            yield part[["_row", "_copies"]]
+    def copies(text: str, first: list[int], end: list[int], times: list[int]) -> Iterator[str]:
+        spans = None
+        for r in range(1, max(times, default=0) + 1):
+            if min(times) >= r:
+                yield text
+                continue
+            spans = spans or [m.span() for m in words.finditer(text)]
+            runs: list[list[int]] = []
+            for a, b, t in zip(first, end, times, strict=True):
+                if t >= r:
+                    if runs and runs[-1][1] == a:
+                        runs[-1][1] = b
+                    else:
+                        runs.append([a, b])
+            yield "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in runs)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in slices(byte_lengths(batch.column(1))):
+                part = batch.slice(i, j - i)
+                made = [list(copies(*row)) for row in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True)]
+                of = np.repeat(np.arange(j - i), [len(x) for x in made])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array([x for row in made for x in row], pa.string())], ["_row", "_text"])
 
     found = mixed(docs, p, id_col, text_col, source_col).where(F.size("blocks") > 0)
-    rest = F.struct(*[F.col(f"row.`{c}`").alias(c) for c in columns if c != text_col])
-    slim = found.select(F.to_json(F.struct(rest.alias("r"))).alias("_row"), F.col(f"row.`{text_col}`").alias("_text"), *[F.col(f"blocks.{x}").alias(f"_{x}") for x in ("first", "end", "times")])
-    kind = docs.select(rest_of(docs, text_col)).schema
-    cut = slim.mapInPandas(work, "_row string, _copies array<string>")
-    read = cut.select(F.from_json("_row", kind).alias("s"), F.explode("_copies").alias("_text"))
-    return read.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"s.r.`{c}`").alias(c) for c in columns])
-
-
-def rest_of(docs: DataFrame, text_col: str) -> Column:
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("r")
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"row.`{c}`").alias(c) for c in columns if c != text_col])
+    slim = found.select(rest.alias("_row"), F.col(f"row.`{text_col}`").alias("_text"), *[F.col(f"blocks.{x}").alias(f"_{x}") for x in ("first", "end", "times")])
+    schema = StructType([StructField("_row", slim.schema["_row"].dataType), StructField("_text", StringType())])
+    cut = slim.mapInArrow(work, schema)
+    return cut.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in columns])
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from . import entropy, language, media, mixing, neighbours, packing, quality, setsketch, surrogates, warc
+from .common import small_batches
+
+
+def prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query in a session whose batches for Python are small."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
-QUERIES = {
+FOUND = {
     "op1_quality": quality.op1_quality,
     "op2_language_id": language.op2_language_id,
     "op3_packing": packing.op3_packing,
@@ -17,5 +35,6 @@ QUERIES = {
     "op10_media_columns": media.op10_media_columns,
     "language_id_pages": language.page_language_id,
 }
+QUERIES = {name: prepared(query) for name, query in FOUND.items()}
 
 ORACLE_SQL = {"op7_warc": warc.OP7_SQL, "op9_near_duplicates": setsketch.OP9_SQL}

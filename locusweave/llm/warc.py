@@ -25,7 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import looked_up, shared_dir, staged, table
+from locusweave.storage import own_dir
+
+from .common import looked_up, staged, table
 
 GZIP = 31
 READ_BYTES = 1 << 20
@@ -258,7 +260,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
     """Contract query: all pages written, normalised and read back."""
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = f"{own_dir(spark)}/warc-{uuid.uuid4().hex}"
     archives = normalised(written(table(spark, sf_dir, "pages"), f"{folder}/whole"), f"{folder}/members")
     return read_back(archives).drop("url", "payload")
 
