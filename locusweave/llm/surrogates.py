@@ -6,23 +6,27 @@ tried by their check digits, so one that fails takes nothing of its neighbours
 along. Words of titled names are replaced where they stand without title, too.
 A mention stands for one entity key
 (kind and canonical value; a titled full name for two), so differently written
-mentions of an entity share it. The surrogate of a key is drawn from an HMAC-like
-stream of sha2(secret, key, attempt), shaped by its kind: phone numbers keep
+mentions of an entity share it. The surrogate of a key is drawn from the stream
+HMAC-SHA-512(secret, key, attempt), shaped by its kind: phone numbers keep
 their country code, cards their issuer and a valid check digit, IBANs
 their country and check digits, secrets their alphabet, names their gender and
 script, and punctuation and letter case are put back as they stood.
 
 Collision check: the distinct keys of all texts are aggregated; a surrogate that
 equals another's or a value met in the texts is drawn anew, until none is left.
-Only keys drawn more than once are looked up when texts are rewritten.
+Where the values of a format run out, later attempts are longer, so there always
+is a free one. Only keys drawn more than once are looked up when texts are
+rewritten. Mentions are found once: the pieces of all texts are written.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import looked_up, staged, table
@@ -39,9 +43,9 @@ SYLLABLES = {
 }
 # Endings of given names by gender, and of family names.
 ENDINGS = {
-    "latin": {"f": "lia", "m": "ton", "n": "den", "": "ner"},
-    "cyrillic": {"f": "лия", "m": "тон", "n": "ден", "": "нер"},
-    "greek": {"f": "λια", "m": "τος", "n": "δης", "": "νης"},
+    "latin": {"f": ("lia", "nna", "ella", "ika", "ora", "ine", "etta", "eah"), "m": ("ton", "rik", "mas", "bert", "vin", "rus", "dan", "lof"), "n": ("den", "ley", "ren", "kai"), "": ("ner", "man", "son", "berg", "wood", "feld", "ard", "sky")},
+    "cyrillic": {"f": ("лия", "нна", "рина", "ша"), "m": ("тон", "рик", "мир", "слав"), "n": ("ден", "рен"), "": ("нер", "ман", "берг", "ник")},
+    "greek": {"f": ("λια", "ννα", "ρινη", "ω"), "m": ("τος", "νιος", "ρης", "κης"), "n": ("δης", "ρεν"), "": ("νης", "πουλος", "ιδης", "ακης")},
 }
 # Lengths of account numbers by country.
 IBANS = {
@@ -52,6 +56,15 @@ IBANS = {
 NAME = r"(?:\p{Lu}(?:\p{Ll}|-(?=\p{L})|['’](?!s(?!\p{L}))(?=\p{L})|(?<=[\p{Ll}'’-])\p{Lu}(?=\p{Ll})){1,24}|\p{Lu}{2,25})(?!\p{L})"
 # What may stand before a family name.
 LEAD = r"(?:\p{Lu}\. ?|(?:van|von|vom|zu|der|den|de|del|della|di|da|dos|du|la|le|bin|ibn|al) ){0,3}"
+#: Seven digits or more after a plus sign; three groups; a trunk prefix, in brackets or not, and six to eight digits after the area's.
+SEVEN = r"(?=(?:[ .()-]{0,3}[0-9]){7})"
+PHONE = "|".join((
+    r"(?<![\p{L}\p{N}+.-])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])",
+    rf"\+{SEVEN}[0-9](?:[ .-]?\(?[0-9]\)?){{6,14}}(?![\p{{L}}\p{{N}}]|[.-][0-9])",
+    rf"\+{SEVEN}[0-9]{{1,3}}(?:[ .-]?\(?[0-9]{{1,5}}\)?){{2,5}}(?![\p{{L}}\p{{N}}])",
+    r"(?<![\p{L}\p{N}])\(0\) ?[0-9]{2,5}[ .-]?[0-9]{4,8}(?![\p{L}\p{N}]|[.-][0-9])",
+    r"(?<![\p{L}\p{N}+.,/-])0[1-9][0-9]{1,3}[ /-](?=(?:[ -]?[0-9]){6,8}(?![ -]?[0-9]))[0-9]{2,8}(?:[ -][0-9]{2,4}){0,3}(?![\p{L}\p{N}]|[.,/-][0-9])",
+))
 TITLES = "|".join(sorted(FEMALE + MALE + NEUTRAL, key=len, reverse=True))
 TITLE = rf"(?:(?:{TITLES})\.? )+"
 #: The kinds of mentions and how they look, in order of precedence.
@@ -63,7 +76,8 @@ KINDS = {
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])",
     "card": r"(?<![\p{L}\p{N}.-])[0-9](?:[ -]?[0-9]){11,18}(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}+.-])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])|\+[0-9](?:[ .-]?\(?[0-9]\)?){2,14}(?![\p{L}\p{N}]|[.-][0-9])|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,5}(?![\p{L}\p{N}])",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    "phone": PHONE,
     "name": rf"(?<![\p{{L}}\p{{N}}]){TITLE}{LEAD}{NAME}(?: {LEAD}{NAME})?(?![\p{{L}}\p{{N}}])",
 }
 # Numbers of card issuers, by leading digits and length.
@@ -83,13 +97,28 @@ GUARD = rf"[0-9@]|(?:{TITLES})\.? \p{{L}}|(?i:password|passwd|pwd|token|secret|a
 
 @dataclass(frozen=True)
 class Surrogates:
-    """secret: what surrogates are keyed by; most: redrawn keys up to which they
-    are looked up in one map; attempts: draws after which a key's failure to find
-    a free surrogate raises."""
+    """secret: what surrogates are keyed by, known to nobody who reads them; most:
+    redrawn keys up to which they are looked up in one map; longer: draws after
+    which surrogates of a fixed length grow."""
 
-    secret: str = "surrogates"
+    secret: str
     most: int = 10_000
-    attempts: int = 50
+    longer: int = 6
+
+    def __post_init__(self) -> None:
+        if not self.secret:
+            raise ValueError("surrogates need a secret")
+
+
+#: The setting that holds the secret of a session's surrogates.
+SECRET = "spark.locusweave.surrogates.secret"
+
+
+def of_session(spark: SparkSession) -> Surrogates:
+    """With the secret of the session's setting; where that is unset, it is set to a random one, which the session keeps."""
+    if not spark.conf.get(SECRET, None):
+        spark.conf.set(SECRET, secrets.token_hex(32))
+    return Surrogates(spark.conf.get(SECRET))
 
 
 def _chars(x: Column) -> Column:
@@ -195,7 +224,7 @@ def keys_of(surface: Column, kind: Column) -> Column:
     one = (
         F.when(kind.isin("card", "ssn"), _digits(surface))
         .when(kind == "phone", F.regexp_replace(_digits(surface), "^1(?=[0-9]{10}$)", ""))  # with or without country code
-        .when(kind == "email", F.lower(surface))
+        .when(kind.isin("email", "ip6"), F.lower(surface))
         .when(kind == "iban", F.regexp_replace(surface, " ", ""))
         .when(kind == "secret", F.when(value.rlike("^[0-9a-fA-F]+$"), F.lower(value)).otherwise(value))
         .otherwise(surface)
@@ -204,9 +233,17 @@ def keys_of(surface: Column, kind: Column) -> Column:
     return F.when(kind.isNull(), F.array().cast("array<string>")).when(kind == "name", names).otherwise(F.array(F.concat(kind, F.lit(":"), one)))
 
 
+def hmac(message: Column, secret: str) -> Column:
+    """HMAC-SHA-512 in hex digits."""
+    key = secret.encode()
+    key = (hashlib.sha512(key).digest() if len(key) > 128 else key).ljust(128, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 512))), 512)
+
+
 def _stream(key: Column, attempt: Column, secret: str) -> Column:
     """512 hex digits."""
-    return F.concat(*[F.sha2(F.concat_ws("\x1f", F.lit(secret), key, attempt.cast("string"), F.lit(str(i)), F.lit(secret)), 512) for i in range(4)])
+    return F.concat(*[hmac(F.concat_ws("\x1f", key, attempt.cast("string"), F.lit(str(i))), secret) for i in range(4)])
 
 
 def _byte(stream: Column, i: Column | int) -> Column:
@@ -239,20 +276,26 @@ def _spelt(syllables: tuple[str, ...], stream: Column, last: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.element_at(known, _byte(stream, i) % len(syllables) + 1)), "")
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, stream: Column, domain_stream: Column) -> Column:
-    """The surrogate value of a key. A later attempt may be longer where values can be short."""
+def surrogate(kind: Column, value: Column, attempt: Column, stream: Column, domain_stream: Column, longer: int) -> Column:
+    """The surrogate value of a key. Later attempts are longer: at once where values can be short, from `longer` on elsewhere."""
     n = F.length(value)
     drawn = _mapped(value, stream)
+    late = F.greatest(attempt - (longer - 1), F.lit(0))
+    digits = F.substr(_mapped(F.repeat(F.lit("0"), 200), F.reverse(stream)), F.lit(1), late)
     national = n - 10
     phone = F.when(national >= 0, F.concat(F.substr(value, F.lit(1), national), _pick("23456789", _byte(stream, 40)), F.substr(drawn, national + 2, F.lit(2)), _pick("23456789", _byte(stream, 41)), F.substr(drawn, national + 5))).otherwise(F.concat(F.substr(value, F.lit(1), F.lit(2)), F.substr(drawn, F.lit(3))))
+    phone = F.concat(phone, digits)
     issuer = F.when(value.startswith("4"), 1).otherwise(4)
-    body = F.concat(F.substr(value, F.lit(1), issuer), F.substr(drawn, issuer + 1, n - 1 - issuer))
+    body = F.concat(F.substr(value, F.lit(1), issuer), F.substr(drawn, issuer + 1, n - 1 - issuer), digits)
     card = F.concat(body, ((10 - luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
-    ssn = F.concat(F.lit("9"), F.substr(drawn, F.lit(2)))
+    ssn = F.concat(F.lit("9"), F.substr(drawn, F.lit(2)), digits)
     octet = lambda i, low, count: (low + F.pmod(_byte(stream, i) + 256 * _byte(stream, i + 60), F.lit(count))).cast("string")
     ip = F.concat_ws(".", octet(0, 1, 223), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254))
+    hex_ = _mapped(value, stream, "abcdef")
+    ip6 = F.when(late > 0, F.concat(F.lit("2001:db8"), F.regexp_replace(F.substr(stream, F.lit(200), F.lit(24)), "(.{4})", ":$1"))).otherwise(hex_)
+    ip = F.when(late > 0, ip6).otherwise(ip)
     country = F.substr(value, F.lit(1), F.lit(2))
-    bban = _mapped(F.substr(value, F.lit(5)), stream)
+    bban = F.concat(_mapped(F.substr(value, F.lit(5)), stream), digits)
     iban = F.concat(country, F.lpad((98 - mod97(F.concat(bban, country, F.lit("00")))).cast("string"), 2, "0"), bban)
     more = F.substr(_mapped(F.repeat(F.lit("a"), 200), F.reverse(stream)), F.lit(1), 4 * attempt)
     domain = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: _pick(LOWER, _byte(domain_stream, i))), ""), F.lit(".example"))
@@ -264,8 +307,9 @@ def surrogate(kind: Column, value: Column, attempt: Column, stream: Column, doma
         made = _spelt(syllables, stream, 4 + attempt)
         for gender, ending in ENDINGS[script].items():
             of = f"given/{gender}/{script}" if gender else f"family//{script}"
-            name = F.when(kind == of, F.concat(made, F.lit(ending))).otherwise(name)
-    chosen = {"phone": phone, "card": card, "ssn": ssn, "ip": ip, "iban": iban, "email": email, "secret": secret, "key": key}
+            endings = F.array(*[F.lit(x) for x in ending])
+            name = F.when(kind == of, F.concat(made, F.element_at(endings, _byte(stream, 70) % len(ending) + 1))).otherwise(name)
+    chosen = {"phone": phone, "ip6": ip6, "card": card, "ssn": ssn, "ip": ip, "iban": iban, "email": email, "secret": secret, "key": key}
     out = name
     for k, made in chosen.items():
         out = F.when(kind == k, made).otherwise(out)
@@ -283,7 +327,7 @@ def _value(key: Column) -> Column:
 def with_surrogates(keys: DataFrame, p: Surrogates) -> DataFrame:
     """keys (key, attempt) plus the surrogate's own key, `new`."""
     streams = keys.withColumn("stream", _stream(F.col("key"), F.col("attempt"), p.secret)).withColumn("domain", _stream(F.substring_index("key", "@", -1), F.lit(0), p.secret))
-    new = surrogate(_kind(F.col("key")), _value(F.col("key")), F.col("attempt"), F.col("stream"), F.col("domain"))
+    new = surrogate(_kind(F.col("key")), _value(F.col("key")), F.col("attempt"), F.col("stream"), F.col("domain"), p.longer)
     return streams.withColumn("new", F.concat(_kind(F.col("key")), F.lit(":"), new)).drop("stream", "domain")
 
 
@@ -307,8 +351,10 @@ def mentions(text: Column) -> Column:
 
 
 def _untitled(pieces: Column) -> Column:
-    """pieces with the words of titled names found where they stand alone."""
-    words = lambda x: F.zip_with(name_words(x["surface"]), x["keys"], lambda w, k: F.struct(w.alias("word"), k.alias("key")))
+    """pieces with the words of titled names, in capitals too, found where they stand alone."""
+    spelt = lambda x: F.zip_with(name_words(x["surface"]), x["keys"], lambda w, k: F.struct(w.alias("word"), k.alias("key")))
+    capitals = lambda x: F.transform(F.filter(x, lambda n: F.length(n["word"]) > 2), lambda n: F.struct(F.upper(n["word"]).alias("word"), n["key"].alias("key")))
+    words = lambda x: _let(spelt(x), lambda found: F.concat(found, capitals(found)))
     known = F.array_distinct(F.flatten(F.transform(F.filter(pieces, lambda x: x["kind"] == "name"), words)))
 
     def found(names: Column) -> Column:
@@ -328,28 +374,29 @@ def redrawn(keys: DataFrame, p: Surrogates) -> DataFrame:
     Of keys with one surrogate the one drawn earliest keeps it, then the smallest;
     a surrogate that equals a value of the texts is nobody's.
     """
-    now = staged(with_surrogates(keys.withColumn("attempt", F.lit(0)), p), "drawn")
-    for _ in range(p.attempts):
+    parts = keys.sparkSession.sparkContext.defaultParallelism  # few bytes, but much work a row
+    now = staged(with_surrogates(keys.withColumn("attempt", F.lit(0)).repartition(parts, "key"), p), "drawn")
+    while True:
         first = F.row_number().over(Window.partitionBy("new").orderBy("attempt", "key"))
         met = keys.select(F.col("key").alias("new"), F.lit(True).alias("met"))
         judged = now.withColumn("place", first).join(met, "new", "left")
         clash = (F.col("place") > 1) | F.coalesce("met", F.lit(False))
-        judged = staged(judged.select("key", "attempt", clash.alias("clash")), "judged")
-        if judged.where("clash").isEmpty():
+        judged = staged(judged.select("key", "attempt", "new", clash.alias("clash")), "judged")
+        again = judged.where("clash").select("key", (F.col("attempt") + 1).alias("attempt"))
+        if again.isEmpty():
             return judged.where("attempt > 0").select("key", "attempt")
-        now = staged(with_surrogates(judged.select("key", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt")), p), "drawn")
-    raise RuntimeError(f"some surrogate still clashes after {p.attempts} attempts")
+        now = staged(judged.where("NOT clash").select("key", "attempt", "new").unionByName(with_surrogates(again.repartition(parts, "key"), p)), "drawn")
 
 
 def _woven(surface: Column, new: Column) -> Column:
-    """new's letters and digits in the places of surface's."""
+    """new's letters and digits in the places of surface's, and what is left of new after them."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def step(state: Column, c: Column) -> Column:
         takes = c.rlike(r"[\p{L}\p{N}]")
         return F.struct(F.concat(state["out"], F.when(takes, F.substr(new, state["at"], F.lit(1))).otherwise(c)).alias("out"), (state["at"] + takes.cast("int")).alias("at"))
 
-    return F.aggregate(_chars(surface), start, step, lambda state: state["out"])
+    return F.aggregate(_chars(surface), start, step, lambda state: F.concat(state["out"], F.substr(new, state["at"])))
 
 
 def _written(x: Column) -> Column:
@@ -368,10 +415,10 @@ def _written(x: Column) -> Column:
     return (
         F.when(kind.isNull(), surface)
         .when(kind.isin("card", "ssn", "iban"), _woven(surface, new[0]))
-        .when(kind == "phone", _woven(surface, F.concat(F.repeat(F.lit("1"), F.length(_digits(surface)) - F.length(new[0])), new[0])))
-        .when(kind == "email", cased)
+        .when(kind == "phone", _woven(surface, F.concat(F.when(_digits(surface).rlike("^1[0-9]{10}$"), "1").otherwise(""), new[0])))
+        .when(kind.isin("email", "ip6"), cased)
         .when(kind == "secret", F.concat(lead, secret))
-        .when(kind == "name", F.concat(title, names))
+        .when(kind == "name", F.concat(title, F.when(rest.rlike(r"^\p{Lu}{3,}$"), F.upper(names)).otherwise(names)))
         .otherwise(new[0])
     )
 
@@ -382,24 +429,30 @@ def _rewritten(found: Column, attempt_of: Callable[[Column], Column], p: Surroga
     drawn = F.transform(found, lambda x: F.struct(x["surface"].alias("surface"), x["kind"].alias("kind"), F.transform(x["keys"], lambda k: F.struct(k.alias("key"), attempt_of(k).alias("attempt"))).alias("keys")))
     streams = lambda k: F.struct(k["key"].alias("key"), k["attempt"].alias("attempt"), _stream(k["key"], k["attempt"], p.secret).alias("stream"), F.when(_kind(k["key"]) == "email", _stream(F.substring_index(k["key"], "@", -1), F.lit(0), p.secret)).otherwise(nothing).alias("domain"))
     drawn = F.transform(drawn, lambda x: F.struct(x["surface"].alias("surface"), x["kind"].alias("kind"), F.transform(x["keys"], streams).alias("keys")))
-    new = lambda k: F.concat(_kind(k["key"]), F.lit(":"), surrogate(_kind(k["key"]), _value(k["key"]), k["attempt"], k["stream"], k["domain"]))
+    new = lambda k: F.concat(_kind(k["key"]), F.lit(":"), surrogate(_kind(k["key"]), _value(k["key"]), k["attempt"], k["stream"], k["domain"], p.longer))
     drawn = F.transform(drawn, lambda x: F.struct(x["surface"].alias("surface"), x["kind"].alias("kind"), F.transform(x["keys"], new).alias("new")))
     return F.array_join(F.transform(drawn, _written), "")
 
 
-def replaced(docs: DataFrame, p: Surrogates = Surrogates(), text_col: str = "text") -> DataFrame:
+def replaced(docs: DataFrame, p: Surrogates, text_col: str = "text") -> DataFrame:
     """docs with surrogates in the text column, and as last column `pii`, array<struct<kind, keys>> of what was replaced.
 
     All columns of docs stay, but for one named like `pii`, which is replaced. A
     null text stays null and has no mentions, nor has an empty one. Equal texts
     become equal texts, so repeated rows stay repeated. An empty table gives no
-    rows. Order and number of rows don't change surrogates, unless they clash.
+    rows. Order and number of rows don't change surrogates, unless they clash;
+    then the smaller key keeps its first one.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"))
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "pii")])
+    held = docs.select(rest.alias("row"), text.alias("text"))
     guarded = F.when(F.col("text").rlike(GUARD), mentions(F.col("text")))
-    found = held.withColumn("found", F.coalesce(guarded, F.array().cast(f"array<{PIECE}>")))
-    keys = found.select(F.explode(F.flatten("found.keys")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).select("key")
+    held = held.withColumn("found", F.coalesce(guarded, F.array().cast(f"array<{PIECE}>")))
+    some = F.exists("found", lambda x: x["kind"].isNotNull())
+    # a text with mentions is in its pieces
+    slim = held.select("row", F.when(~some, F.col("text")).alias("text"), F.when(some, F.col("found")).otherwise(F.array().cast(f"array<{PIECE}>")).alias("found"))
+    found = staged(slim.withColumn("at", F.monotonically_increasing_id()), "pieces", compression="zstd")
+    keys = found.select(F.explode(F.flatten("found.keys")).alias("key")).distinct()
     again = staged(redrawn(staged(keys, "keys"), p), "redrawn")
     n = again.limit(p.most + 1).count()
     if n == 0:
@@ -417,14 +470,13 @@ def replaced(docs: DataFrame, p: Surrogates = Surrogates(), text_col: str = "tex
 
 def _with_attempts(found: DataFrame, again: DataFrame) -> DataFrame:
     """found plus `attempts`, a map of the redrawn keys of each text, by joins for any number of them."""
-    marked = found.withColumn("digest", F.sha2("text", 256))
-    used = marked.select("digest", F.explode(F.array_distinct(F.flatten("found.keys"))).alias("key"))
-    met = looked_up(used.distinct(), again, "key", "digest").where("attempt IS NOT NULL")
-    maps = met.groupBy("digest").agg(F.map_from_entries(F.collect_set(F.struct("key", "attempt"))).alias("attempts"))
-    return looked_up(marked.withColumn("spread", F.xxhash64("row")), staged(maps, "attempts"), "digest", "spread").withColumn("attempts", F.coalesce("attempts", F.create_map().cast("map<string,int>")))
+    used = found.select("at", F.explode(F.array_distinct(F.flatten("found.keys"))).alias("key"))
+    met = looked_up(used, again, "key", "at").where("attempt IS NOT NULL")
+    maps = met.groupBy("at").agg(F.map_from_entries(F.collect_set(F.struct("key", "attempt"))).alias("attempts"))
+    return found.join(maps, "at", "left").withColumn("attempts", F.coalesce("attempts", F.create_map().cast("map<string,int>")))
 
 
 def op8_surrogates(spark, sf_dir: str) -> DataFrame:
     """All documents with surrogates, and how many mentions of each were replaced."""
-    done = replaced(table(spark, sf_dir, "documents"))
+    done = replaced(table(spark, sf_dir, "documents"), of_session(spark))
     return done.select("doc_id", "text", F.size("pii").alias("mentions"), F.transform("pii", lambda x: x["kind"]).alias("kinds"))
