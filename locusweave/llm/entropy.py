@@ -1,13 +1,17 @@
 """Cross-entropy difference of documents under matched target and background models.
 
-Both models are bigram models over one vocabulary: the most frequent words of all
-documents, every other word being the same unknown word. They are smoothed alike,
-a document's own counts are left out of both, and a document's score is the mean
-over its words of target loss minus background loss; lower is nearer the target.
-
-Counts are exact and cover all documents. Bigrams are counted in a distributed
-table that grows with the corpus; documents lie in blocks, each block asks for
-its own distinct bigrams, and the totals are sent to the blocks that asked.
+Both are trigram models over one vocabulary, every word of all documents: a
+trigram's estimate is smoothed by the bigram's, that by the word's and that by an
+even share. They are smoothed alike, a document's own counts are left out of
+both, and a document's score is the mean over its words of target loss minus
+background loss; lower is nearer the target.
+
+Counts cover all documents. Documents lie in blocks of bounded size. Each block
+lists its distinct words, bigrams and trigrams with their counts by hash (`BITS`
+bits) and sends them to buckets, ranges of hashes whose number grows with the
+corpus. A bucket adds up what its blocks have and tells each block how often its
+keys stand elsewhere, so all that travels are sorted hashes and small counts,
+and no table of all n-grams is gathered anywhere.
 """
 
 from __future__ import annotations
@@ -17,202 +21,221 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, table, text_slices
-from .words import spans, word_hashes
+from .common import slices, staged, table, utf8
+from .words import mix, spans, word_hashes
+
+#: Bits of the hashes of words, bigrams and trigrams; the lowest one marks words.
+BITS = 52
 
 
 @dataclass(frozen=True)
 class Difference:
-    """vocabulary: words that have a number of their own, at most; mass: weight of
-    the unigram model in each bigram estimate; block: words of a block, and of what
-    a task counts at once; part: words that it scores at once; ids_broadcast: ids
-    of the target that are broadcast, at most."""
-
-    vocabulary: int = 16384
-    mass: float = 8.0
-    block: int = 2_000_000
-    part: int = 200_000
+    """bigram_mass, trigram_mass: weights of the estimate below in that of a bigram
+    and a trigram; part: how many times a word more than it is met each word
+    counts; block: bytes of text of a block, on average, unless one text is longer;
+    bucket: distinct keys that blocks send to a bucket, on average; ids_broadcast:
+    ids of the target that are broadcast, at most."""
+
+    bigram_mass: float = 4.0
+    trigram_mass: float = 1.0
+    part: float = 0.5
+    block: int = 6 << 20
+    bucket: int = 1_000_000
     ids_broadcast: int = 1_000_000
 
 
-def word_totals(texts: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """(word, n): how often each word, by its hash, stands in the texts (text); a task counts about `most` words at once."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            words, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
-
-        for batch in batches:
-            for _, _, data, offsets in text_slices(batch, "text"):
-                starts, ends, _ = spans(data, offsets)
-                held.append(word_hashes(data, starts, ends))
-                size += len(starts)
-                if size > most:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+def planes(x: np.ndarray) -> bytes:
+    """Unsigned numbers byte by byte, all lowest bytes first; the number of bytes that are used leads."""
+    raw = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    used = (int(x.max(initial=0)).bit_length() + 7) // 8
+    return bytes([used]) + raw[:, :used].T.tobytes()
 
-    return texts.select("text").mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def numbers(raw: bytes, n: int) -> np.ndarray:
+    """What `planes` was given, n numbers."""
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : raw[0]] = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], n).T if raw[0] else 0
+    return out.view("<u8").ravel()
 
-def vocabulary(totals: DataFrame, p: Difference) -> np.ndarray:
-    """Sorted hashes of the most frequent words: all that are as frequent as the least one that fits."""
-    by_count = totals.groupBy("n").count().orderBy(F.desc("n")).limit(p.vocabulary + 1).collect()  # counts, not words
-    room, least = p.vocabulary, None
-    for n, words in by_count:
-        if words > room:
-            break
-        room, least = room - words, n
-    if least is None:
-        return np.zeros(0, np.uint64)
-    found = totals.where(F.col("n") >= least).select("word").collect()
-    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
-
-def encoded(docs: DataFrame, words: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(id, tokens): word numbers of each text, 0 for unknown ones, as little-endian unsigned 32-bit numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            for i, j, data, offsets in text_slices(batch, "text"):
-                starts, ends, rows = spans(data, offsets)
-                hashes = word_hashes(data, starts, ends)
-                k = np.searchsorted(known, hashes)
-                k[k == len(known)] = 0
-                numbers = np.where(known[k] == hashes, k + 1, 0).astype("<u4") if len(known) else np.zeros(len(hashes), "<u4")
-                raw = numbers.tobytes()
-                packed = [raw[4 * a : 4 * b] for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(packed, pa.binary())], ["id", "tokens"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, "id long, tokens binary")
+BLOCKS = "block long, ids array<long>, targets binary, ends binary, size long, body binary"
 
 
 def blocked(rows: DataFrame, p: Difference) -> DataFrame:
-    """rows (id, tokens, target) plus `block`: runs of about p.block words within a partition."""
+    """rows (id, text, target) in blocks, a row each: runs of about p.block bytes within a partition, compressed."""
+
+    def packed(block: int, held: list[tuple]) -> pa.RecordBatch:
+        body = b"".join(h[2].tobytes() for h in held)
+        ends = np.cumsum(np.concatenate([h[3] for h in held]))
+        ids = pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), pa.concat_arrays([h[0] for h in held]))
+        targets = np.concatenate([h[1] for h in held]).astype(np.uint8).tobytes()
+        columns = [pa.array([block]), ids, *(pa.array([x], pa.binary()) for x in (targets, ends.astype("<i8").tobytes())), pa.array([len(body)]), pa.array([pa.compress(body, "zstd", asbytes=True)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in BLOCKS.split(", ")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = TaskContext.get().partitionId() << 24, 0
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            own = []
-            for n in (len(x) // 4 for x in batch.column(1).to_pylist()):
-                if size and size + n > p.block:
-                    block, size = block + 1, 0
-                size += n
-                own.append(block)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], [*batch.schema.names, "block"])
-
-    return staged(rows.mapInArrow(work, "id long, tokens binary, target boolean, block long"), "blocks")
-
-
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of rows, joined, and where each row begins."""
-    parts = column.to_pylist()
-    return np.frombuffer(b"".join(parts), "<u4").astype(np.int64), np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts])]).astype(np.int64)
-
-
-def bigrams(tokens: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """A key for each word and the one before it; a row's first word follows the number `size` + 1."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[at[:-1][at[:-1] < at[1:]]] = size + 1
-    return before * (size + 2) + tokens
+            data, offsets = utf8(batch.column(1))
+            target = batch.column(2).to_numpy(zero_copy_only=False)
+            for i, j in slices(np.diff(offsets), p.block // 4):
+                if held and size + offsets[j] - offsets[i] > p.block:
+                    yield packed(block, held)
+                    block, held, size = block + 1, [], 0
+                # copies, so that the batch can go
+                held.append((pa.array(batch.column(0).slice(i, j - i).to_pylist(), pa.int64()), target[i:j].copy(), data[offsets[i] : offsets[j]].copy(), np.diff(offsets[i : j + 1])))
+                size += int(offsets[j] - offsets[i])
+        if held:
+            yield packed(block, held)
 
+    return staged(rows.select("id", "text", "target").mapInArrow(work, BLOCKS), "blocks")
 
-def asked(blocks: DataFrame, size: int, p: Difference) -> DataFrame:
-    """(key, block, n, t): how often each block has each of its bigrams, in all documents and in those of the target."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        n = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for block, parts in held.items():
-                both, count = np.unique(np.concatenate(parts), return_counts=True)
-                key, first = np.unique(both >> 1, return_index=True)
-                of_target = (both & 1) == 1
-                all_ = np.add.reduceat(count, first)
-                t = np.add.reduceat(np.where(of_target, count, 0), first)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), block)), pa.array(all_.astype(np.int32)), pa.array(t.astype(np.int32))], ["key", "block", "n", "t"])
-            held.clear()
+def grams(body: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of words, bigrams and trigrams (in this order, each by place), their rows, and the word offsets of rows."""
+    data, offsets = np.frombuffer(body, np.uint8), np.concatenate([[0], ends])
+    starts, stops, at = spans(data, offsets)
+    w = word_hashes(data, starts, stops)
+    row = np.repeat(np.arange(len(ends)), np.diff(at))
+    two, three = row[1:] == row[:-1], row[2:] == row[:-2]
+    factor, shift = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(64 - BITS)
+    pair = mix(w[:-1] * factor + w[1:])
+    triple = mix(pair[:-1] * factor + w[2:])
+    one = np.uint64(1)
+    keys = np.concatenate([(mix(w) >> shift) | one, (pair[two] >> shift) & ~one, (triple[three] >> shift) & ~one])
+    return keys, np.concatenate([row, row[1:][two], row[2:][three]]), at
 
-        for batch in batches:
-            own, target = batch.column(2).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for block in np.unique(own).tolist():
-                rows = np.flatnonzero(own == block)
-                tokens, at = flat(batch.column(0).take(pa.array(rows)))
-                if len(tokens):
-                    held.setdefault(block, []).append(2 * bigrams(tokens, at, size) + np.repeat(target[rows], np.diff(at)))
-                    n += len(tokens)
-            if n > p.block:
-                yield from flush()
-                n = 0
-        yield from flush()
 
-    return blocks.select("tokens", "target", "block").mapInArrow(work, "key long, block long, n int, t int")
+REQUESTS = "bucket long, block long, m long, keys binary, n binary, t binary"
 
 
-def word_counts(blocks: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """How often each number stands in all documents and in those of the target; `size` + 1 counts the documents."""
+def asked(blocks: DataFrame, buckets: int) -> DataFrame:
+    """A row for each block and bucket: the block's distinct keys in it, sorted, as steps from the bucket's edge, and their counts in all and in target documents."""
+    edges = np.array([(b << BITS) // buckets & ~1 for b in range(buckets)], np.uint64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, size + 2), np.int64)
+        names = [c.split()[0] for c in REQUESTS.split(", ")]
         for batch in batches:
-            target = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            tokens, at = flat(batch.column(0))
-            for k, of in enumerate((np.ones(len(tokens), bool), np.repeat(target, np.diff(at)) == 1)):
-                total[k] += np.bincount(tokens[of], minlength=size + 2)
-            full = np.diff(at) > 0
-            total[:, size + 1] += [full.sum(), (full & (target == 1)).sum()]
-        number = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(number), *(pa.array(x[number]) for x in total)], ["number", "n", "t"])
-
-    found = blocks.select("tokens", "target").mapInArrow(work, "number long, n long, t long").groupBy("number").agg(F.sum("n"), F.sum("t")).collect()
-    counts = np.zeros((2, size + 2))
-    for number, n, t in found:
-        counts[:, number] = n, t
-    return counts[0], counts[1]
-
-
-def own_counts(keys: np.ndarray, row: np.ndarray, width: int) -> np.ndarray:
-    """For each place, how often its row has its key."""
-    _, back, n = np.unique(row * width + keys, return_inverse=True, return_counts=True)
-    return n[back]
-
-
-def losses(tokens: np.ndarray, at: np.ndarray, out: np.ndarray, together: np.ndarray, singles: np.ndarray, size: int, mass: float) -> np.ndarray:
-    """Loss of each word: a bigram estimate smoothed by the unigram one, without the own counts of rows in `out`.
-
-    together: how often each place's bigram occurs in the model's documents;
-    singles: how often each number does.
+            for block, targets, ends, size, body in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("block", "targets", "ends", "size", "body")), strict=True):
+                keys, row, _ = grams(pa.decompress(body, size, "zstd", asbytes=True), np.frombuffer(ends, "<i8"))
+                keys = 2 * keys + np.frombuffer(targets, np.uint8)[row]
+                del row
+                both, count = np.unique(keys, return_counts=True)
+                key, first = np.unique(both >> np.uint64(1), return_index=True)
+                if not len(key):
+                    continue
+                n, t = np.add.reduceat(count, first), np.add.reduceat(np.where(both & np.uint64(1), count, 0), first)
+                cut = [*np.searchsorted(key, edges).tolist(), len(key)]
+                found = [(b, i, j) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
+                columns = [[b for b, _, _ in found], [block] * len(found), [j - i for _, i, j in found], [planes(np.diff(key[i:j], prepend=edges[b])) for b, i, j in found], *([planes(x[i:j]) for _, i, j in found] for x in (n, t))]
+                kinds = (*[pa.int64()] * 3, *[pa.binary()] * 3)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
+
+    return blocks.select("block", "targets", "ends", "size", "body").mapInArrow(work, REQUESTS)
+
+
+ANSWERS = "block long, bucket long, m long, some binary, n binary, t binary, words long, tokens long, target_tokens long"
+
+
+def answered(requests: DataFrame) -> DataFrame:
+    """For each request which of its keys stand in other blocks, and how often; a bucket's first answer counts its words."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        rows = {c: rows.column(c).to_pylist() for c in rows.column_names}
+        sizes = rows["m"]
+        keys = np.concatenate([np.cumsum(numbers(k, m)) for k, m in zip(rows["keys"], sizes, strict=True)])
+        n, t = (np.concatenate([numbers(x, m) for x, m in zip(rows[c], sizes, strict=True)]).astype(np.int64) for c in ("n", "t"))
+        order = np.argsort(keys, kind="stable")
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        of = np.empty(len(keys), np.int64)
+        of[order] = np.cumsum(new) - 1
+        words = int((keys[order][new] & np.uint64(1)).sum())
+        is_word = (keys & np.uint64(1)).astype(bool)
+        whole = [words, int(n[is_word].sum()), int(t[is_word].sum())]
+        more = [np.bincount(of, x).astype(np.int64)[of] - x for x in (n, t)]
+        stops = np.cumsum(sizes)
+        out = []
+        for block, bucket, i, j in zip(rows["block"], rows["bucket"], (stops - sizes).tolist(), stops.tolist(), strict=True):
+            some = more[0][i:j] > 0
+            out.append((block, bucket, j - i, np.packbits(some).tobytes(), planes(more[0][i:j][some]), planes(more[1][i:j][some]), *whole))
+            whole = [0, 0, 0]
+        kinds = (*[pa.int64()] * 3, *[pa.binary()] * 3, *[pa.int64()] * 3)
+        return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in ANSWERS.split(", ")])
+
+    return requests.groupBy("bucket").applyInArrow(work, ANSWERS)
+
+
+def elsewhere(answers: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
+    """How often a block's keys, sorted, stand in other blocks, in all and in target documents."""
+    parts = []
+    for k in np.argsort(answers["bucket"]).tolist():
+        some = np.unpackbits(np.frombuffer(answers["some"][k], np.uint8), count=answers["m"][k]).astype(bool)
+        part = np.zeros((2, len(some)), np.int64)
+        for x, c in zip(part, ("n", "t"), strict=True):
+            x[some] = numbers(answers[c][k], int(some.sum()))
+        parts.append(part)
+    return tuple(np.concatenate(parts, 1)) if parts else (np.zeros(0, np.int64),) * 2
+
+
+def losses(counts: tuple[np.ndarray, ...], at: np.ndarray, all_: float, words: float, p: Difference) -> np.ndarray:
+    """Loss of each word; counts: of the word, bigram and trigram that ends at each place, without what is left out.
+
+    The ends of documents count as words that follow, so the counts of a word are
+    those of its histories. A row's first word has no bigram, its second no trigram.
     """
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    keys, n = bigrams(tokens, at, size), np.diff(at)
-    before = keys // (size + 2)
-    own = out[row]
-    words = size + 1
-    less = np.where(own, own_counts(tokens, row, size + 2), 0)
-    total = singles[: size + 1].sum() - np.where(own, n[row], 0)
-    single = (singles[tokens] - less + 0.5) / (total + 0.5 * words)
-    history = singles[before] - np.where(own, np.where(before == size + 1, 1, own_counts(before, row, size + 2)), 0)
-    joint = together - np.where(own, own_counts(keys, row, (size + 2) ** 2), 0)
-    return -np.log((np.maximum(joint, 0) + mass * single) / (np.maximum(history, 0) + mass))
+    one, two, three = counts
+    place = np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at))
+    before = lambda x: np.concatenate([[0.0], x[:-1]])
+    estimate = (one + p.part) / (all_ + p.part * max(words, 1))
+    estimate = np.where(place > 0, (two + p.bigram_mass * estimate) / (before(one) + p.bigram_mass), estimate)
+    estimate = np.where(place > 1, (three + p.trigram_mass * estimate) / (before(two) + p.trigram_mass), estimate)
+    return -np.log(estimate)
 
 
 SCORE = "id long, tokens long, target_loss double, background_loss double, score double"
 
 
+def scored_block(body: bytes, ends: np.ndarray, target: np.ndarray, answers: dict[str, list], whole: tuple[int, int, int], p: Difference) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, and target and background loss of each document of a block; whole: distinct words, and words in all and in target documents."""
+    keys, row, at = grams(body, ends)
+    size = int(at[-1])
+    place = np.arange(size) - np.repeat(at[:-1], np.diff(at))
+    # a stable order by key keeps the rows of a key together
+    order = np.argsort(keys, kind="stable")
+    key, of_row = keys[order], row[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    both = new.copy()
+    both[1:] |= of_row[1:] != of_row[:-1]
+    of_key, of_both = np.cumsum(new) - 1, np.cumsum(both) - 1
+    own = np.bincount(of_both)[of_both] if len(key) else np.zeros(0, np.int64)
+    is_target = target[of_row]
+    n = np.bincount(of_key) if len(key) else np.zeros(0, np.int64)
+    t = np.bincount(of_key, is_target).astype(np.int64) if len(key) else np.zeros(0, np.int64)
+    other = elsewhere(answers)
+    if len(other[0]) != len(n):
+        raise RuntimeError(f"{len(other[0])} answers for {len(n)} keys")
+    each = np.diff(at)
+    means = []
+    for mine, more, out, all_ in ((t, other[1], is_target, whole[2]), (n, other[0], np.ones(len(key), bool), whole[1])):
+        flat = np.empty(len(key))
+        flat[order] = (mine + more)[of_key] - np.where(out, own, 0)
+        counts, i = [], 0
+        for least in range(3):
+            full, of = np.zeros(size), place >= least
+            j = i + int(of.sum())
+            full[of], i = flat[i:j], j
+            counts.append(full)
+        without = np.where(np.ones(len(ends), bool) if mine is n else target > 0, each, 0)
+        total = np.concatenate([[0.0], np.cumsum(losses(tuple(counts), at, np.repeat(all_ - without, each).astype(float), whole[0], p))])
+        means.append((total[at[1:]] - total[at[:-1]]) / np.maximum(each, 1))
+    return each, *means
+
+
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, p: Difference = Difference(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tokens, target_loss, background_loss, score) for each row of docs; losses are means in nats.
 
@@ -222,47 +245,26 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, p: Differen
     are scored and counted as documents of their own. Other columns are not read.
     An empty table gives no rows; without target documents the target model is flat.
     """
-    words = vocabulary(staged(word_totals(docs.select(F.col(text_col).cast("string").alias("text"))), "words"), p)
-    size = len(words)
     chosen = target_ids.select(F.col(id_col).cast("long").alias("_target")).where("_target IS NOT NULL").distinct()
     few = chosen.limit(p.ids_broadcast + 1).count() <= p.ids_broadcast
-    rows = encoded(docs, words, id_col, text_col).join(F.broadcast(chosen) if few else chosen, F.col("id") == F.col("_target"), "left")
-    blocks = blocked(rows.select("id", "tokens", F.col("_target").isNotNull().alias("target")), p)
-    singles = blocks.sparkSession.sparkContext.broadcast(word_counts(blocks, size))
-
-    requests = asked(blocks, size, p)
-    # a bigram met once in all is met in its own document only, and left out there
-    totals = requests.groupBy("key").agg(F.sum("n").alias("all"), F.sum("t").alias("of_target")).where("all > 1")
-    answers = requests.select("key", "block").join(totals, "key").select("block", "key", "all", "of_target")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen) if few else chosen, F.col("id") == F.col("_target"), "left")
+    blocks = blocked(rows.select("id", "text", F.col("_target").isNotNull().alias("target")), p)
+    size = blocks.agg(F.sum("size")).first()[0] or 0
+    # a byte of text makes a quarter of a key
+    answers = staged(answered(asked(blocks, max(1, -(-size // (4 * p.bucket))))), "answers")
+    whole = tuple(int(x or 0) for x in answers.agg(F.sum("words"), F.sum("tokens"), F.sum("target_tokens")).first())
 
     def score(block: pa.Table, answer: pa.Table) -> pa.Table:
-        key = answer.column("key").to_numpy()
-        order = np.argsort(key)
-        key, sums = key[order], {c: answer.column(c).to_numpy()[order] for c in ("of_target", "all")}
-        rows = block.combine_chunks()
-        sizes = pc.binary_length(rows.column("tokens")).to_numpy() // 4
-        parts = [rows.slice(i, j - i) for i, j in slices(sizes, p.part)]
-        return pa.concat_tables([score_part(x, key, sums) for x in parts]) if parts else score_part(rows, key, sums)
-
-    def score_part(rows: pa.Table, key: np.ndarray, sums: dict[str, np.ndarray]) -> pa.Table:
-        tokens, at = flat(rows.column("tokens"))
-        target = rows.column("target").to_numpy().astype(bool)
-        own = bigrams(tokens, at, size)
-        k = np.searchsorted(key, own)
-        k[k == len(key)] = 0
-        met = key[k] == own if len(key) else np.zeros(len(own), bool)
-        n = np.diff(at)
-        means = []
-        for column, counts, out in (("of_target", singles.value[1], target), ("all", singles.value[0], np.ones(len(n), bool))):
-            # what has no answer was met once, by the row itself
-            together = np.where(met, sums[column][k] if len(key) else 0, np.repeat(out, n).astype(np.int64))
-            total = np.concatenate([[0.0], np.cumsum(losses(tokens, at, out, together, counts, size, p.mass))])
-            means.append((total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1))
+        names = [c.split()[0] for c in SCORE.split(", ")]
+        if not block.num_rows:
+            return pa.Table.from_arrays([pa.array([], kind) for kind in (*[pa.int64()] * 2, *[pa.float64()] * 3)], names)
+        ids, targets, ends, size, body = (block.column(c)[0].as_py() for c in ("ids", "targets", "ends", "size", "body"))
+        body = pa.decompress(body, size, "zstd", asbytes=True)
+        n, *means = scored_block(body, np.frombuffer(ends, "<i8"), np.frombuffer(targets, np.uint8), {c: answer.column(c).to_pylist() for c in answer.column_names}, whole, p)
         empty = n == 0
-        columns = [pa.array(x, mask=empty) for x in (*means, means[0] - means[1])]
-        return pa.Table.from_arrays([rows.column("id"), pa.array(n), *columns], ["id", "tokens", "target_loss", "background_loss", "score"])
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(n), *(pa.array(x, mask=empty) for x in (*means, means[0] - means[1]))], names)
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORE)
+    return blocks.groupBy("block").cogroup(answers.drop("words", "tokens", "target_tokens").groupBy("block")).applyInArrow(score, SCORE)
 
 
 def op6_cross_entropy(spark, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
-from locusweave.llm.entropy import Difference, cross_entropy_difference
+from locusweave.llm.entropy import Difference, cross_entropy_difference, numbers, planes
 
 from .conftest import ODD
 
@@ -13,37 +14,31 @@ from .conftest import ODD
 def brute(rows, good, p):
     """(tokens, target loss, background loss) of each row, one word at a time."""
     texts = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t, *_ in rows]
-    count = collections.Counter(w for t in texts for w in t)
-    by, room, least = collections.Counter(count.values()), p.vocabulary, None
-    for n in sorted(by, reverse=True):
-        if by[n] > room:
-            break
-        room, least = room - by[n], n
-    known = {w for w in count if least is not None and count[w] >= least}
-    texts = [[w if w in known else None for w in t] for t in texts]
+    words = len({w for t in texts for w in t})
     target = [r[0] in good and r[0] is not None for r in rows]
+    of = lambda t: collections.Counter(tuple(t[i : i + k]) for k in (1, 2, 3) for i in range(len(t) - k + 1))
 
     def counts(some):
-        one, two = collections.Counter(), collections.Counter()
+        total = collections.Counter()
         for t in some:
-            for a, b in zip(["<s>", *t], t, strict=False):
-                one[b] += 1
-                two[a, b] += 1
-            one["<s>"] += bool(t)
-        return one, two
+            total.update(of(t))
+        return total, sum(map(len, some))
 
     def loss(t, model, out):
-        one, two = (collections.Counter(x) for x in model)
-        mine = counts([t]) if out else (collections.Counter(), collections.Counter())
-        history = collections.Counter(["<s>", *t][:-1]) if out else collections.Counter()
-        total = sum(n for w, n in one.items() if w != "<s>") - (len(t) if out else 0)
-        sums = 0.0
-        for a, b in zip(["<s>", *t], t, strict=False):
-            single = (one[b] - mine[0][b] + 0.5) / (total + 0.5 * (len(known) + 1))
-            sums -= math.log((two[a, b] - mine[1][a, b] + p.mass * single) / (max(0, one[a] - history[a]) + p.mass))
+        met, n = model
+        mine = of(t) if out else collections.Counter()
+        left = lambda *key: met[key] - mine[key]
+        all_, sums = n - (len(t) if out else 0), 0.0
+        for i, w in enumerate(t):
+            x = (left(w) + 0.5) / (all_ + 0.5 * words)
+            if i > 0:
+                x = (left(t[i - 1], w) + p.bigram_mass * x) / (left(t[i - 1]) + p.bigram_mass)
+            if i > 1:
+                x = (left(*t[i - 2 : i + 1]) + p.trigram_mass * x) / (left(*t[i - 2 : i]) + p.trigram_mass)
+            sums -= math.log(x)
         return sums / len(t)
 
-    all_, of_target = counts(texts), counts(t for t, g in zip(texts, target, strict=True) if g)
+    all_, of_target = counts(texts), counts([t for t, g in zip(texts, target, strict=True) if g])
     return [(len(t), loss(t, of_target, g), loss(t, all_, True)) if t else (0, None, None) for t, g in zip(texts, target, strict=True)]
 
 
@@ -52,9 +47,9 @@ def rows_of(rng, n=60):
     return [(i, " ".join(rng.choices(words[: 10 + 30 * (i % 2)], k=rng.randint(0, 60))), "en", "s") for i in range(n)]
 
 
-@pytest.mark.parametrize("p", [Difference(), Difference(vocabulary=12, block=200), Difference(ids_broadcast=0, block=50)])
+@pytest.mark.parametrize("p", [Difference(), Difference(block=200, bucket=40), Difference(ids_broadcast=0, block=2000, bucket=500)])
 def test_equals_brute_force(spark, documents, p):
-    rows = [*rows_of(random.Random(4)), *ODD[:4], *ODD[5:]]
+    rows = [*rows_of(random.Random(4)), *ODD]
     good = {i for i in range(0, 60, 3)} | {6}
     ids = spark.createDataFrame([(i,) for i in [*good, None, 3]], "doc_id long")
     found = cross_entropy_difference(documents(rows, extra=True), ids, p).collect()
@@ -83,3 +78,18 @@ def test_empty_tables(spark, documents):
     assert cross_entropy_difference(documents([]), none).count() == 0
     found = cross_entropy_difference(documents(ODD), none).collect()
     assert len(found) == len(ODD) and all(r.score is not None for r in found if r.tokens)
+
+
+def test_copies_are_told_from_single_texts(spark, documents):
+    rng = random.Random(9)
+    common = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choices(common, weights=[1 / (k + 1) for k in range(200)], k=60)), "en", "s") for i in range(300)]
+    rows += [(1000 + i, rows[i][1], "en", "t") for i in range(0, 40)]
+    none = spark.createDataFrame([], "doc_id long")
+    loss = {r.id: r.background_loss for r in cross_entropy_difference(documents(rows), none).collect()}
+    assert max(loss[i] for i in [*range(40), *range(1000, 1040)]) < min(loss[i] for i in range(40, 300))
+
+
+def test_numbers_survive_planes():
+    for x in (np.zeros(0, np.uint64), np.array([0, 0]), np.array([1, 255, 256, 2**52 - 1, 0])):
+        assert numbers(planes(x), len(x)).tolist() == x.tolist()
