@@ -35,45 +35,81 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
+def _above(x: np.ndarray) -> np.ndarray:
+    """Each row's upper neighbour, zeros above the first."""
+    return np.concatenate([np.zeros_like(x[:1]), x[:-1]])
+
+
+def _left(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros_like(x[:, :1]), x[:, :-1]], 1)
+
+
+def _nearest(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Of three neighbours the one that is nearest to left + up - corner, the earlier one where several are."""
+    far = [np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)]
+    return np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], up, corner))
+
+
+def filtered(samples: np.ndarray, least: int = 16) -> np.ndarray:
+    """Rows by the filter among none, left and up that leaves most zeros, which compress best; the first column holds it.
+
+    A filter must leave `least` more zeros than none. The two others are read but not
+    written: they can't be undone for all columns at once.
+    """
+    ways = np.stack([samples, samples - _left(samples), samples - _above(samples)])
+    zeros = (ways == 0).sum(2)
+    zeros[0] += least
+    kind = zeros.argmax(0)
+    return np.concatenate([kind[:, None].astype(np.uint8), ways[kind, np.arange(len(samples))]], 1)
+
+
 def encode_png(samples: np.ndarray, level: int = 1) -> bytes:
-    """An 8-bit grey PNG of a (rows, columns) array; rows carry the filter that is cheapest to undo (none)."""
+    """An 8-bit grey PNG of a (rows, columns) array; rows are filtered where that helps."""
     rows, columns = samples.shape
-    raw = np.zeros((rows, columns + 1), np.uint8)
-    raw[:, 1:] = samples
-    body = zlib.compress(raw.tobytes(), level)
+    body = zlib.compress(filtered(samples).tobytes(), level)
     idat = b"".join(_chunk(b"IDAT", body[i : i + IDAT_BYTES]) for i in range(0, len(body), IDAT_BYTES))
     return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", columns, rows, 8, 0, 0, 0, 0)) + idat + _chunk(b"IEND", b"")
 
 
-def _unfilter_row(kind: int, row: np.ndarray, above: np.ndarray) -> np.ndarray:
-    if kind == 0:
-        return row
-    if kind == 1:
-        return np.cumsum(row, dtype=np.uint8)
-    if kind == 2:
-        return row + above
-    if kind not in (3, 4):
-        raise MediaError(f"row filter {kind}")
-    out, left, corner = np.empty_like(row), 0, 0
-    for i, (x, up) in enumerate(zip(row.tolist(), above.tolist(), strict=True)):
-        if kind == 3:
-            left = (x + (left + up) // 2) & 255
-        else:
-            to_left, to_up, to_corner = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
-            near = left if to_left <= to_up and to_left <= to_corner else up if to_up <= to_corner else corner
-            left = (x + near) & 255
-        out[i], corner = left, up
+def _along_diagonals(kinds: np.ndarray, rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Samples of rows filtered by 3 or 4: all places of one anti-diagonal depend on the two before only."""
+    n, m = rows.shape
+    out = np.zeros((n + 1, m + 1), np.int16)
+    out[0, 1:] = above
+    mean = kinds == 3
+    for d in range(n + m - 1):
+        i = np.arange(max(0, d - m + 1), min(n, d + 1))
+        j = d - i
+        left, up, corner = out[i + 1, j], out[i, j + 1], out[i, j]
+        guess = np.where(mean[i], (left + up) // 2, _nearest(left, up, corner))
+        out[i + 1, j + 1] = (rows[i, j] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
+def _whole_rows(kinds: np.ndarray, rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Samples of rows filtered by 0, 1 or 2: sums along the rows, then down the columns from the last row of 0 or 1."""
+    out = rows.copy()
+    left, up = kinds == 1, kinds == 2
+    out[left] = np.cumsum(rows[left], axis=1, dtype=np.uint8)
+    if up.any():
+        steps = np.cumsum(np.where(up[:, None], rows, np.uint8(0)), axis=0, dtype=np.uint8)
+        last = np.maximum.accumulate(np.where(up, -1, np.arange(len(rows))))
+        known = last[up] >= 0
+        from_, before = np.where(known[:, None], out[last[up]], above), np.where(known[:, None], steps[last[up]], np.uint8(0))
+        out[up] = from_ + steps[up] - before
     return out
 
 
 def unfiltered(raw: np.ndarray) -> np.ndarray:
-    """Samples of filtered rows; the first column holds each row's filter."""
-    kinds, out = raw[:, 0], raw[:, 1:].copy()
-    if not kinds.any():
-        return out
-    above = np.zeros(out.shape[1], np.uint8)
-    for i, kind in enumerate(kinds.tolist()):
-        out[i] = above = _unfilter_row(kind, out[i], above)
+    """Samples of filtered rows, whose first column holds each row's filter; runs of alike rows are undone at once."""
+    kinds, rows = raw[:, 0], raw[:, 1:]
+    if kinds.max(initial=0) > 4:
+        raise MediaError(f"row filter {kinds.max()}")
+    out, hard = np.empty_like(rows), kinds > 2
+    edges = [0, *(np.flatnonzero(hard[1:] != hard[:-1]) + 1).tolist(), len(kinds)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        above = out[a - 1] if a else np.zeros(rows.shape[1], np.uint8)
+        out[a:b] = (_along_diagonals if hard[a] else _whole_rows)(kinds[a:b], rows[a:b], above)
     return out
 
 

@@ -32,6 +32,60 @@ def test_all_filters_are_undone():
     assert (media.decode_png(filtered(samples, [0, 1, 2, 3, 4] * 5)) == samples).all()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_of_filters_are_undone(seed):
+    rng = np.random.default_rng(seed)
+    samples = rng.integers(0, 256, (40, 9), dtype=np.uint8)
+    kinds = np.repeat(rng.integers(0, 5, 20), rng.integers(1, 4, 20))[:40].tolist()
+    samples = samples[: len(kinds)]
+    assert (media.decode_png(filtered(samples, kinds)) == samples).all()
+
+
+def test_stored_images_hold_several_filters(spark, documents):
+    texts = ["plain words of a text that repeat nothing " * 3, "-" * 500, "".join(chr(97 + i % 26) for i in range(52)) + "0123456789AB" * 40, ("x" * 64 + "line of sixty-four letters, which stands again and again, so up.")[:128] * 9]
+    rows = media.media_column(documents([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()
+    met = set()
+    for r in rows:
+        at, parts = 8, []
+        while at < len(r.media):
+            (n,) = struct.unpack_from(">I", r.media, at)
+            if r.media[at + 4 : at + 8] == b"IDAT":
+                parts.append(bytes(r.media[at + 8 : at + 8 + n]))
+            at += 12 + n
+        raw = zlib.decompress(b"".join(parts))
+        met |= set(raw[::65])
+        assert media.decode_png(r.media).tobytes()[: r.n_bytes].decode() == texts[r.id]
+    assert met == {0, 1, 2}
+
+
+def brute_hash(samples):
+    """Means of a 32 by 32 grid by exact area, then cosine sums, one by one."""
+    rows, columns = samples.shape
+
+    def overlap(i, n):
+        low, high = i * n / 32, (i + 1) * n / 32
+        return [max(0.0, min(high, y + 1) - max(low, y)) / (high - low) for y in range(n)]
+
+    down, along = (np.array([overlap(i, n) for i in range(32)]) for n in (rows, columns))
+    means = down @ samples.astype(float) @ along.T
+    found = [sum(means[y, x] * np.cos(np.pi * u * (2 * y + 1) / 64) * np.cos(np.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    middle = np.median(found[1:])
+    return found, middle
+
+
+def test_features_equal_brute_force(spark, documents):
+    texts = [t for _, t, *_ in ODD if t and len(t) < 5000] + ["a longer text of many words, and more of them; " * 60]
+    found = media.media_features(staged(media.media_column(documents([(i, t, "en", "s") for i, t in enumerate(texts)])), "media")).collect()
+    for r in found:
+        samples = np.frombuffer(media.payload_of(texts[r.id]), np.uint8).reshape(-1, 64)
+        image = media.encode_png(samples)
+        assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
+        values, middle = brute_hash(samples)
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex(r.feature), np.uint8)).astype(bool)
+        for bit, value in zip(bits, values, strict=True):
+            assert bit == (value > middle) or abs(value - middle) < 1e-6 * max(map(abs, values))
+
+
 def test_damage_is_noticed():
     image = media.encode_png(np.arange(128, dtype=np.uint8).reshape(2, 64))
     for bad in (b"x" + image[1:], image[:-13], image[:40], b"", image[:45] + bytes([image[45] ^ 1]) + image[46:]):
