@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -6,6 +7,8 @@ import pytest
 from locusweave.llm import neighbours
 from locusweave.llm.neighbours import Scan
 
+DIR = "/root/testdata/sf0.01"
+
 
 def brute(rows, queries, k=10):
     out = {}
@@ -44,7 +47,7 @@ def test_recall_and_exact_scores(spark, vectors):
 
 def test_all_lists_are_exact(spark, vectors):
     df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
-    p = Scan(probes=1.0, confidence=50.0)
+    p = Scan(promise=1.0, confidence=50.0)
     found = neighbours.searched(neighbours.indexed(df, p), df.where("vec_id % 400 = 0"), p).collect()
     want = brute(vectors, range(0, 2400, 400))
     assert {(r.query_id, r.rank, r.vec_id) for r in found} == {(q, k + 1, i) for q, near in want.items() for k, (_, i) in enumerate(near)}
@@ -57,6 +60,32 @@ def test_odd_rows(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in sorted(found)] == [(0, 1, 6), (0, 2, 100), (0, 3, 100), (0, 4, 7), (100, 1, 0), (100, 2, 6), (100, 3, 7)]
 
 
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
+def test_recall_on_the_table(spark):
+    found = neighbours.op4_nearest(spark, DIR).collect()
+    rows = spark.read.parquet(f"{DIR}/embeddings.parquet").collect()
+    good = [(r.vec_id, np.array(r.embedding, float)) for r in rows if r.embedding and None not in r.embedding and np.isfinite(np.array(r.embedding, float)).all() and any(r.embedding)]
+    good = [(i, v) for i, v in good if len(v) == len(good[0][1])]
+    ids, all_ = np.array([i for i, _ in good]), np.stack([v for _, v in good])
+    hit = asked = 0
+    for i, v in good:
+        if i % 100 == 0:
+            far = np.sqrt(((all_ - v) ** 2).sum(1))
+            order = [k for k in np.lexsort((ids, far)) if ids[k] != i][:10]
+            got = [r.vec_id for r in found if r.query_id == i]
+            assert len(got) == 10
+            hit += len(set(got) & set(ids[order].tolist()))
+            asked += 10
+    assert hit >= 0.9 * asked
+
+
+def test_queries_with_too_few_found_visit_all_lists(spark, vectors):
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    p = Scan(promise=1e-9)
+    found = neighbours.searched(neighbours.indexed(df, p), df.where("vec_id % 100 = 0"), p)
+    assert {r["count"] for r in found.groupBy("query_id").count().collect()} == {10}
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.indexed(empty) is None
