@@ -1,0 +1,65 @@
+"""Both ways of each helper that chooses one by size give the same rows."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from locusweave.llm import common
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_looked_up(spark, most):
+    rng = random.Random(1)
+    keys = ["hot"] * 400 + [None] * 50 + [f"k{rng.randrange(60)}" for _ in range(300)] + ["unknown"] * 5
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, spread long")
+    known = {k: i for i, k in enumerate(["hot", None, *(f"k{j}" for j in range(50))])}
+    other = spark.createDataFrame(list(known.items()), "key string, value long")
+    found = common.looked_up(df, other, "key", "spread", most, salts=8, share=16)
+    assert found.columns == ["key", "spread", "value"]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(((k, i, known.get(k)) for i, k in enumerate(keys)), key=str)
+
+
+def test_hot_keys_are_spread(spark):
+    df = spark.createDataFrame([("hot", i) for i in range(600)] + [(f"k{i}", i) for i in range(600)], "key string, spread long")
+    other = spark.createDataFrame([("hot", 1)] + [(f"k{i}", 2) for i in range(600)], "key string, value long")
+    plan = common.looked_up(df, other, "key", "spread", 0, salts=8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = plan.groupBy(F.spark_partition_id().alias("p")).agg(F.count_if(F.col("key") == "hot").alias("n")).collect()
+        assert plan.count() == 1200 and sum(r.n > 0 for r in sizes) > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_kept_rows(spark, most):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "a"), (3, None)], "doc_id long, text string")
+    out = docs.where("doc_id = 1 AND text = 'a' OR doc_id IS NULL OR doc_id = 3").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    out = out.union(out)
+    kept = common.kept_rows(docs, out, most=most).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, "b"), (2, "a"), (None, "a")], key=str)
+    assert common.kept_rows(docs, out.limit(0), most=most).count() == 5
+
+
+def test_numbered(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(50), rng.randrange(1000)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "a long, b long").repartition(7)
+    found = sorted(common.numbered(df, ["a", "b"], "n").collect(), key=lambda r: r.n)
+    assert [r.n for r in found] == list(range(3000)) and [(r.a, r.b) for r in found] == sorted(rows)
+    assert common.numbered(df.limit(0), ["a"], "n").count() == 0
+
+
+def test_batch_size_is_put_back(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "7777")
+    try:
+        common.staged(spark.range(3), "three")
+        assert spark.conf.get(name) == "7777"
+        common.small_batches(spark)
+        assert spark.conf.get(name) == str(common.BATCH_ROWS)
+    finally:
+        spark.conf.unset(name)
