@@ -3,6 +3,8 @@
 P(grade > j) = logistic(w . x - t_j): one vector of hashed text weights is shared
 by all grades, the ordered thresholds t_1 <= t_2 <= ... set them apart. The
 expected grade and the tail probability of the better grades select documents.
+Documents that a model is fitted on are scored by another one, fitted without
+their share of them, so no score comes from a document's own rating.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ class Ordinal:
     """buckets: of the hash; sample: labelled rows that the model is fitted on, at
     most; least: share of those rows that must have a bucket for it to get a
     weight; good: the grade from which on a document counts as wanted; keep: tail
-    probability with which it is kept."""
+    probability with which it is kept; folds: shares that the fitted documents are
+    dealt to."""
 
     buckets: int = 1 << 24
     least: float = 0.004
@@ -43,6 +46,7 @@ class Ordinal:
     good: int = 2
     keep: float = 0.5
     seed: int = 5
+    folds: int = 3
 
 
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,6 +106,24 @@ class Model:
         return logistic((sums[at[1:]] - sums[at[:-1]])[:, None] - self.thresholds[None])
 
 
+def slopes(score: np.ndarray, base: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of the grades y, its slope by each row's score (not averaged) and by the thresholds' parameters.
+
+    base: the first threshold and the logarithms of the gaps between them.
+    """
+    t = base[0] + np.concatenate([[0], np.cumsum(np.exp(base[1:]))])
+    # P(y) = F(t_y) - F(t_{y-1}) with F the logistic of t - score
+    f = np.concatenate([np.zeros((len(y), 1)), logistic(t[None] - score[:, None]), np.ones((len(y), 1))], 1)
+    slope, row = f * (1 - f), np.arange(len(y))
+    likely = np.maximum(f[row, y + 1] - f[row, y], 1e-12)
+    d_score = (slope[row, y + 1] - slope[row, y]) / likely
+    d_t = np.zeros((len(y), len(base) + 2))
+    d_t[row, y + 1] -= slope[row, y + 1] / likely
+    d_t[row, y] += slope[row, y] / likely
+    tail = np.cumsum(d_t[:, 1:-1].mean(0)[::-1])[::-1]
+    return float(-np.log(likely).mean()), d_score, np.concatenate([[tail[0]], tail[1:] * np.exp(base[1:])])
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, p: Ordinal) -> Model:
     """Maximum likelihood by adaptive gradient steps on minibatches; thresholds are kept ordered by positive gaps."""
     met, n = np.unique(np.concatenate([r[0] for r in rows]), return_counts=True)
@@ -127,19 +149,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, p: Ordina
             sizes = np.array([len(rows[k][0]) for k in chosen])
             of = np.repeat(np.arange(len(chosen)), sizes)
             score = np.bincount(of, w[index] * value, len(chosen))
-            t = base[0] + np.concatenate([[0], np.cumsum(np.exp(base[1:]))])
             y = grades[chosen]
-            # P(y) = F(t_y) - F(t_{y-1}) with F the logistic of t - score
-            f = np.concatenate([np.zeros((len(y), 1)), logistic(t[None] - score[:, None]), np.ones((len(y), 1))], 1)
-            slope, row = f * (1 - f), np.arange(len(y))
-            likely = np.maximum(f[row, y + 1] - f[row, y], 1e-12)
-            d_score = (slope[row, y + 1] - slope[row, y]) / likely
-            d_t = np.zeros((len(y), top + 2))
-            d_t[row, y + 1] -= slope[row, y + 1] / likely
-            d_t[row, y] += slope[row, y] / likely
-            d_t = d_t[:, 1:-1].mean(0)
-            tail = np.cumsum(d_t[::-1])[::-1]
-            d_base = np.concatenate([[tail[0]], tail[1:] * np.exp(base[1:])])
+            _, d_score, d_base = slopes(score, base, y)
             hit, back = np.unique(index, return_inverse=True)
             g = np.bincount(back, d_score[of] * value) / len(y) + p.ridge * w[hit]
             gw[hit] += g * g
@@ -149,15 +160,25 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, p: Ordina
     return Model(buckets, w, base[0] + np.concatenate([[0], np.cumsum(np.exp(base[1:]))]))
 
 
-def trained(docs: DataFrame, ratings: DataFrame, p: Ordinal = Ordinal(), id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Model | None:
-    """A model of graded texts, fitted in one task on the documents of at most p.sample ratings, chosen by a hash of the id.
+@dataclass(frozen=True)
+class Fitted:
+    """model: fitted on all chosen ratings; others: without one share of them each; chosen: (id, fold) of the documents fitted on."""
+
+    model: Model
+    others: tuple[Model, ...] = ()
+    chosen: DataFrame | None = None
+
+
+def trained(docs: DataFrame, ratings: DataFrame, p: Ordinal = Ordinal(), id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Fitted | None:
+    """Models of graded texts, each fitted in one task on the documents of at most p.sample ratings, chosen by a hash of the id.
 
     Grades are 0, 1, 2, ...; of several ratings of an id the lowest counts, and
     rows with a null grade or id take no part. A null text counts as empty. None
-    if no rated document is left.
+    if no rated document is left. Rows of one id are in one share.
     """
     usable = ratings.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("int").alias("grade")).where("grade >= 0 AND id IS NOT NULL")
     chosen = usable.groupBy("id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("id", F.lit(p.seed)), "id").limit(p.sample)
+    chosen = staged(chosen.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(p.seed + 1)), F.lit(p.folds)).cast("int")), "chosen")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,39 +187,54 @@ def trained(docs: DataFrame, ratings: DataFrame, p: Ordinal = Ordinal(), id_col:
                 index, value, at = features(data, offsets, p.buckets)
                 as_lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in (index.astype(np.int32), value.astype(np.float32))]
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *as_lists], ["id", "grade", "index", "value"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *as_lists], ["id", "grade", "fold", "index", "value"])
 
-    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+    def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
         model = fit(list(zip(rows["index"], rows["value"], strict=True)), rows["grade"].to_numpy(np.int64), p)
         packed = (base64.b64encode(x.tobytes()).decode() for x in (model.buckets, model.weights, model.thresholds))
-        return pd.DataFrame([tuple(packed)], columns=["buckets", "weights", "thresholds"])
-
-    rated = texts.join(F.broadcast(chosen), "id").select("id", "text", "grade")
-    rows = staged(rated.mapInArrow(sparse, "id long, grade int, index array<int>, value array<float>"), "rated")
-    found = rows.withColumn("model", F.lit(0)).groupBy("model").applyInPandas(learn, "buckets string, weights string, thresholds string").first()
-    if found is None:
+        return pd.DataFrame([(key[0], *packed)], columns=["model", "buckets", "weights", "thresholds"])
+
+    rated = texts.join(F.broadcast(chosen), "id").select("id", "text", "grade", "fold")
+    rows = staged(rated.mapInArrow(sparse, "id long, grade int, fold int, index array<int>, value array<float>"), "rated")
+    # model -1 has all rows, model k those of the other shares
+    used = F.array(F.lit(-1), *[F.lit(k) for k in range(p.folds)])
+    dealt = rows.withColumn("model", F.explode(used)).where("model != fold")
+    found = dealt.groupBy("model").applyInPandas(learn, "model int, buckets string, weights string, thresholds string").collect()
+    models = {r.model: Model(*(np.frombuffer(base64.b64decode(x), kind) for x, kind in zip(r[1:], (np.int64, float, float), strict=True))) for r in found}
+    if -1 not in models:
         return None
-    return Model(*(np.frombuffer(base64.b64decode(x), kind) for x, kind in zip(found, (np.int64, float, float), strict=True)))
+    # all ratings in one share: nothing else to score its documents by
+    return Fitted(models[-1], tuple(models.get(k, models[-1]) for k in range(p.folds)), chosen.select("id", "fold"))
 
 
-def scored(docs: DataFrame, model: Model, p: Ordinal = Ordinal(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, fitted: Fitted, p: Ordinal = Ordinal(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, expected_grade, tail, kept) for each row of docs.
 
     A null or empty text, or one of white space, has no features and is scored as
     such; ids pass as they are, null or repeated. No other column is read. The
-    model's size is fixed by its number of buckets.
+    models' size is fixed by their number of buckets, and the ids that they are
+    fitted on are at most p.sample.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    models = docs.sparkSession.sparkContext.broadcast((*fitted.others, fitted.model))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            fold = batch.column(2).to_numpy(zero_copy_only=False)
             for i, j, data, offsets in text_slices(batch, "text"):
-                tails = shared.value.tails(*features(data, offsets, p.buckets))
+                found = features(data, offsets, p.buckets)
+                own = fold[i:j]
+                tails = models.value[-1].tails(*found)
+                for k in np.unique(own[own >= 0]).tolist():
+                    tails[own == k] = models.value[k].tails(*found)[own == k]
                 tail = tails[:, min(p.good, tails.shape[1]) - 1]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(tails.sum(1)), pa.array(tail), pa.array(tail >= p.keep)], ["id", "expected_grade", "tail", "kept"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if fitted.chosen is None:
+        rows = rows.withColumn("fold", F.lit(-1))
+    else:
+        rows = rows.join(F.broadcast(fitted.chosen), "id", "left").select("id", "text", F.coalesce("fold", F.lit(-1)).alias("fold"))
     return rows.mapInArrow(work, "id long, expected_grade double, tail double, kept boolean")
 
 
