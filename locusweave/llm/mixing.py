@@ -145,7 +145,10 @@ def mixed_texts(docs: DataFrame, p: Mix = Mix(), id_col: str = "doc_id", text_co
 
     Copy r has the words of the blocks taken r times or more; a copy of all words
     is the text as it was, otherwise the runs of words, each as it stood, are
-    joined by a line break. What the mix doesn't take has no row.
+    joined by a line break. What the mix doesn't take has no row, nor has a null or
+    empty text or one without words. Other columns of any type and name pass as
+    they are. Repeated rows and null ids are documents of their own; ties in the
+    seeded order go by id and size. An empty table gives no rows.
     """
     words = re.compile(WORD)
     columns = docs.columns

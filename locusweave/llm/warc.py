@@ -172,7 +172,10 @@ def normalised(manifest: DataFrame, folder: str) -> DataFrame:
     """Each archive of the manifest with every record a gzip member, and a sidecar index; returns (path, index, records).
 
     The index has a line of JSON a record: offset and length of its member, its
-    type, id and target. WarcError where an archive is damaged.
+    type, id and target. WarcError where an archive is damaged. Records of any
+    length are held one at a time; empty payloads, null addresses and repeated
+    records stay what they are. A manifest without rows makes no files, and an
+    archive without records an empty index. Other columns are not read.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +213,8 @@ def read_back(archives: DataFrame, with_payload: bool = False) -> DataFrame:
 
     The digest of a response is computed from its payload and must equal the one
     that its header states; a revisit has the digest and size that it states.
+    Repeated records are returned each, null addresses and page ids as nulls, and
+    long records one at a time. No archives: no rows. Other columns are not read.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,9 @@
+import collections
+import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from locusweave.llm import language
@@ -70,8 +74,6 @@ def test_empty_table(spark):
 
 
 def test_capitals_fold_in_trigrams():
-    import numpy as np
-
     def grams(text):
         raw = text.encode()
         return sorted(language.trigrams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 4096)[0].tolist())
@@ -103,3 +105,68 @@ def test_one_language_is_never_declared(spark):
     rows = [(i, text, None if lang == "es" else lang, None) for i, (lang, text) in enumerate(list(PROSE.items()) * 20)]
     found = {r.id: r for r in identified(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all((found[i].language, found[i].kept) == (lang, True) for i, lang in enumerate(list(PROSE) * 20))
+
+
+def model_of(rows, p):
+    """The fusion in plain loops; trigrams alone are taken from the operator."""
+    names = list(p.languages)
+    grams = []
+    for _, text, *_ in rows:
+        raw = (text or "").encode()
+        grams.append(language.trigrams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), p.buckets)[0].tolist())
+    counts = [[0.05] * p.buckets for _ in names]
+    for k, name in enumerate(names):
+        raw = language.PROFILES[name].encode()
+        for g in language.trigrams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), p.buckets)[0].tolist():
+            counts[k][g] += 1
+        for (_, _, declared, _), own in zip(rows, grams, strict=True):
+            for g in own if declared == name else ():
+                counts[k][g] += 1
+    totals = [sum(c) for c in counts]
+    flat = [(1 - p.unknown) / len(names)] * len(names) + [p.unknown]
+
+    def normal(logs):
+        top = max(logs)
+        powers = [math.exp(x - top) for x in logs]
+        return [x / sum(powers) for x in powers]
+
+    text_log, own = [], []
+    for g in grams:
+        ll = [sum(math.log(counts[k][x] / totals[k]) for x in g) for k in range(len(names))] + [-len(g) * math.log(p.odd * p.buckets)]
+        text_log.append([x * min(1.0, p.evidence / max(len(g), 1)) for x in ll])
+        own.append(normal([a + math.log(b) for a, b in zip(text_log[-1], flat, strict=True)]) if g else [0.0] * (len(names) + 1))
+    width = range(len(names) + 1)
+    said = [d if d in names else "none" if d is None else "other" for _, _, d, _ in rows]
+    hosts = [h or "" for *_, h in rows]
+    suffixes = [h.rsplit(".", 1)[1] if "." in h else "" for h in hosts]
+    domains = [".".join(h.split(".")[-2:]) for h in hosts]
+    summed = lambda some: [sum(own[i][k] for i in some) for k in width]
+    all_ = range(len(rows))
+    whole = summed(all_)
+    out = []
+    for i in all_:
+        level = flat
+        for some in (all_, [j for j in all_ if domains[j] == domains[i]], [j for j in all_ if hosts[j] == hosts[i]]):
+            sums = [max(x - y, 0.0) for x, y in zip(summed(some), own[i], strict=True)]
+            level = [(x + p.strength * y) / (sum(sums) + p.strength) for x, y in zip(sums, level, strict=True)]
+        logs = [a + math.log(b) for a, b in zip(text_log[i], level, strict=True)]
+        for values in (said, suffixes):
+            sums = summed([j for j in all_ if values[j] == values[i]])
+            part = sum(sums) / sum(whole)
+            logs = [x + math.log((sums[k] + p.strength * (part + 1e-6)) / (whole[k] + p.strength)) for k, x in enumerate(logs)]
+        best = normal(logs)
+        k = best.index(max(best))
+        out.append(([*names, "und"][k], best[k]) if grams[i] else (None, None))
+    return out
+
+
+def test_fusion_equals_plain_loops(spark):
+    rows = [r[:4] for r in corpus(random.Random(8), 60)]
+    rows += [(100, "a", "fr", "h1.fr-site.fr"), (101, "a", None, None), (102, "", "en", "x"), (103, None, None, None), (104, "der the el le", "pt", "plain"), (105, "qzx kjw " * 30, "en", "h1.en-site.en"), (105, "qzx kjw " * 30, "en", "h1.en-site.en")]
+    want = collections.defaultdict(list)
+    for r, w in zip(rows, model_of(rows, P), strict=True):
+        want[r[0]].append(w)
+    for r in identified(spark.createDataFrame(rows, SCHEMA), P).collect():
+        language_, probability = want[r.id].pop()
+        assert r.language == language_ and r.probability == (probability and pytest.approx(probability, abs=1e-9)), r
+        assert r.kept == bool(language_ not in (None, "und") and probability >= P.least)

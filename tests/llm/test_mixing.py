@@ -76,6 +76,19 @@ def test_texts_hold_what_is_taken(documents):
     assert got == {k: v for k, v in taken.items() if v}
 
 
+def test_other_columns_pass_as_they_are(spark, documents):
+    df = documents([(i, prose(i, 90), "en", "ab"[i % 2]) for i in range(12)], extra=True)
+    df = df.withColumn("at", F.expr("timestamp'2020-01-02 01:02:03.456789'")).withColumn("day", F.expr("date'2020-01-02'")).withColumn("_row", F.struct(F.col("doc_id").alias("_text"), F.array(F.lit(1.5), F.lit(None)).alias("x")))
+    df = df.withColumn("m", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("dec", F.col("doc_id").cast("decimal(30,2)")).withColumn("raw", F.encode("source", "utf-8"))
+    own = {r.doc_id: r.asDict() for r in df.collect()}
+    out = mixing.mixed_texts(df)
+    assert out.dtypes == df.dtypes
+    rows = out.collect()
+    assert rows
+    for r in rows:
+        assert {k: v for k, v in r.asDict().items() if k != "text"} == {k: v for k, v in own[r.doc_id].items() if k != "text"}
+
+
 def test_odd_rows(documents):
     out = mixing.mixed(documents(ODD, extra=True)).collect()
     assert len(out) == len(ODD) and {r.row.source for r in out} == {None, "s", "t"}

@@ -56,6 +56,8 @@ def test_all_lists_are_exact(spark, vectors):
 def test_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0, 2.0]), (7, [3.0, 2.0]), (8, [1.0]), (None, [1.0, 1.0]), (100, [1.0, 2.5]), (100, [1.0, 2.5]), (9, [])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, list string")
+    for c in ("id", "vector", "limit", "part", "parts", "crowd", "far", "query_id", "score", "rank"):
+        df = df.selectExpr("*", f"list AS `{c}`")
     found = neighbours.searched(neighbours.indexed(df), df.where("vec_id % 100 = 0")).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in sorted(found)] == [(0, 1, 6), (0, 2, 100), (0, 3, 100), (0, 4, 7), (100, 1, 0), (100, 2, 6), (100, 3, 7)]
 

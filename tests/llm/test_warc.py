@@ -75,3 +75,13 @@ def test_damage_is_noticed():
 def test_empty_table(spark, tmp_path):
     whole = warc.written(make(spark, []), f"file://{tmp_path}/w")
     assert warc.read_back(warc.normalised(whole, f"file://{tmp_path}/m")).count() == 0
+
+
+def test_long_pages_and_clashing_columns(spark, tmp_path):
+    rows = [(1, "u", "long " * 700_000), (2, "u", "long " * 700_000), (3, "u", "x")]
+    df = make(spark, rows)
+    for c in ("n", "digest", "same", "latest", "refers_to", "path", "_key", "_salt"):
+        df = df.selectExpr("*", f"concat('own ', url) AS `{c}`")
+    archives = warc.normalised(warc.written(df, f"file://{tmp_path}/w"), f"file://{tmp_path}/m")
+    found = warc.read_back(archives).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=str) == expected(rows)
