@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,8 +81,12 @@ def contig_mismatch(sequences: DataFrame, annotation: DataFrame) -> DataFrame:
 
 
 def _missing(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    """Whether a path can't be resolved, by Spark's own reader, so in any store that it knows."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException:
+        return True
+    return False
 
 
 def validate(spark: SparkSession, config: Config) -> None:

@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from locusweave import schemas
 
 
-def _in_order(lines: DataFrame) -> DataFrame:
-    """Lines plus `row_idx`, which rises with their place in the input."""
-    return lines.withColumn("row_idx", F.monotonically_increasing_id())
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Rows of files plus `row_idx`, which rises with file names and places in them, and `_head`: whether a row begins its file.
+
+    Spark deals files and their splits to partitions by size, so numbers of
+    partitions say nothing of order: splits are ranked by file and first byte, one
+    row a split, and rows are counted within them.
+    """
+    file, start = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")
+    placed = rows.select(*rows.columns, file, start).withColumn("_id", F.monotonically_increasing_id())
+    splits = placed.groupBy("_file", "_start").agg(F.min("_id").alias("_first"))
+    ranked = splits.withColumn("_rank", F.row_number().over(Window.orderBy("_file", "_start")).cast("long") - 1)
+    within = F.col("_id") - F.col("_first")
+    found = placed.join(F.broadcast(ranked), ["_file", "_start"])
+    return found.select(*rows.columns, (F.shiftleft("_rank", 33) + within).alias("row_idx"), ((F.col("_start") == 0) & (within == 0)).alias("_head"))
 
 
 def last_by(rows: DataFrame, key: str, order: str = "row_idx") -> DataFrame:
@@ -20,19 +31,19 @@ def last_by(rows: DataFrame, key: str, order: str = "row_idx") -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(id, seq): headers up to the first blank; lines are trimmed and joined; the last of equal ids wins.
+    """(id, seq): headers up to the first blank; lines are trimmed of all white space and joined; the last of equal ids wins.
 
     Text before the first header is dropped, blank lines are skipped; an empty
     file gives no rows. A record is one row, so it must fit a task's memory.
     """
-    records = _in_order(spark.read.option("lineSep", "\n>").text(path)).withColumn("file", F.input_file_name())
+    records = _in_order(spark.read.option("lineSep", "\n>").text(path))
     # only a file's first record still has its own mark; what precedes a mark there is no record
-    firsts = records.groupBy("file").agg(F.min("row_idx").alias("row_idx")).withColumn("first", F.lit(True))
-    marked = records.join(firsts, ["file", "row_idx"], "left")
-    marked = marked.withColumn("record", F.when(F.col("first").isNull(), F.col("value")).when(F.col("value").startswith(">"), F.substr("value", F.lit(2))))
-    lines = F.split("record", "\r?\n")
-    seq = F.array_join(F.transform(F.slice(lines, 2, F.size(lines)), F.trim), "")
-    found = marked.where("record IS NOT NULL").select(F.split(F.trim(lines[0]), " ")[0].alias("id"), seq.alias("seq"), "row_idx")
+    own = F.when(F.col("value").startswith(">"), F.substr("value", F.lit(2)))
+    marked = records.withColumn("record", F.when(F.col("_head"), own).otherwise(F.col("value")))
+    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    lines = F.split("record", "\n")
+    seq = F.array_join(F.transform(F.slice(lines, 2, F.size(lines)), trimmed), "")
+    found = marked.where("record IS NOT NULL").select(F.split(trimmed(lines[0]), " ")[0].alias("id"), seq.alias("seq"), "row_idx")
     return last_by(found, "id").drop("row_idx")
 
 
@@ -50,10 +61,18 @@ def attributes(text: Column, decode: bool = False) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda x, i: ~last(x, i)))
 
 
+def fields(line: Column) -> Column:
+    """Fields between tabs; one that begins with a double quote ends with one, may hold tabs, and two quotes in it stand for one."""
+    quoted = r'"(?:[^"]|"")*"(?=\t|$)'
+    cut = F.regexp_extract_all(F.concat(F.lit("\t"), line), F.lit(rf"\t({quoted}|[^\t]*)"), F.lit(1))
+    plain = F.transform(cut, lambda x: F.when(x.rlike(f"^{quoted}"), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    return F.when(line.contains('"'), plain).otherwise(F.split(line, "\t", -1))
+
+
 def gff3(spark: SparkSession, path: str, decode: bool = False) -> DataFrame:
-    """Annotation rows (seqid, source, type, start, end, score, strand, phase, attr, row_idx); lines without exactly nine fields are skipped."""
+    """Annotation rows (seqid, source, type, start, end, score, strand, phase, attr, row_idx); fields may be quoted, lines without exactly nine are skipped."""
     lines = _in_order(spark.read.text(path))
-    part = lines.select(F.split("value", "\t", -1).alias("f"), "row_idx").where(F.size("f") == 9)
+    part = lines.select(fields(F.regexp_replace("value", "\r$", "")).alias("f"), "row_idx").where(F.size("f") == 9)
     names = ("seqid", "source", "type", "start", "end", "score", "strand", "phase")
     columns = [F.col("f")[i].cast("long").alias(n) if n in ("start", "end") else F.col("f")[i].alias(n) for i, n in enumerate(names)]
     return part.select(*columns, attributes(F.col("f")[8], decode).alias("attr"), "row_idx")
@@ -62,7 +81,7 @@ def gff3(spark: SparkSession, path: str, decode: bool = False) -> DataFrame:
 def table(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> DataFrame:
     """Rows of a delimited text with the given schema, plus row_idx; blank lines and those that begin with # are skipped."""
     read = spark.read.schema(schema).option("sep", sep).option("comment", "#").option("mode", "FAILFAST")
-    return _in_order(read.csv(path))
+    return _in_order(read.csv(path)).drop("_head")
 
 
 def hits(spark: SparkSession, path: str, schema: str = schemas.HITS) -> DataFrame:
@@ -78,7 +97,7 @@ def exon_info(spark: SparkSession, path: str) -> DataFrame:
 def tree(spark: SparkSession, path: str) -> DataFrame:
     """(node_id, child1, child2, leaves) of a written tree; node ids are row numbers from 0."""
     rows = table(spark, path, "child1 long, child2 long, leaves string")
-    # row_idx holds the partition above 33 bits of the place in it: one count a partition makes places running numbers
+    # row_idx holds the split above 33 bits of the place in it: one count a split makes places running numbers
     placed = rows.withColumns({"part": F.shiftright("row_idx", 33), "place": F.col("row_idx").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = placed.groupBy("part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

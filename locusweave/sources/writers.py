@@ -40,6 +40,18 @@ def write_pairs(genomic: DataFrame, path: str) -> None:
     genomic.write.partitionBy("g1chr", "g2chr").parquet(path)
 
 
+def pair_manifest(genomic: DataFrame, hits: str, trees: str) -> DataFrame:
+    """(chrA, chrB, hitsfile, dendrogramfile): where `write_pairs` puts each pair that has hits, and where its tree goes."""
+    folder = F.concat(F.lit("/g1chr="), F.col("g1chr"), F.lit("/g2chr="), F.col("g2chr"))
+    pairs = genomic.select("g1chr", "g2chr").distinct()
+    return pairs.select(F.col("g1chr").alias("chrA"), F.col("g2chr").alias("chrB"), F.concat(F.lit(hits), folder).alias("hitsfile"), F.concat(F.lit(trees), folder).alias("dendrogramfile"))
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """The manifest as a delimited text, in order of names, as `readers.pair_manifest` reads it."""
+    write_table(manifest.orderBy("chrA", "chrB"), path)
+
+
 def cluster_text(clusters: DataFrame) -> DataFrame:
     """(value): the cluster table's lines; genes are sorted and joined by commas, scores have six digits."""
     genes = lambda c: F.array_join(F.array_sort(c), ",")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,20 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df plus `name`: each row's place, from 0, in the order of the columns `by`; ties in any order.
+
+    Rows are dealt to partitions by range and counted there; one count a partition
+    is added up, so no task holds all rows.
+    """
+    dealt = written(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_range", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    return dealt.join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + within - 1).drop("_range", "_before")
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all that this application has written; call it once no result is needed any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))

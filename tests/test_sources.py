@@ -18,6 +18,42 @@ def test_fasta(spark, tmp_path, packed):
     assert dict(readers.fasta(spark, str(path)).collect()) == {"a": "GG", "b": "TTTT", "empty": ""}
 
 
+def test_fasta_with_other_line_ends_and_tabs(spark, tmp_path):
+    (tmp_path / "x.fa").write_bytes(b">a one\r\nACGT\r\n\tAC \t\r\n>b\r\n\r\nGG\r\n")
+    assert dict(readers.fasta(spark, str(tmp_path / "x.fa")).collect()) == {"a": "ACGTAC", "b": "GG"}
+
+
+def test_order_over_several_files(spark, tmp_path):
+    """Files are read in order of their names, however large they are; the last of equal ids counts."""
+    (tmp_path / "in").mkdir()
+    for k, lines in enumerate((2, 3000, 1, 400)):
+        (tmp_path / "in" / f"part-{k}.fa").write_text("".join(f">r{k}_{i}\nA\n" for i in range(lines)) + f">same\n{'ACGT'[k]}\n")
+        (tmp_path / "in" / f"part-{k}.tsv").write_text("".join(f"{k}_{i}\tx\n" for i in range(lines)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert dict(readers.fasta(spark, str(tmp_path / "in" / "*.fa")).collect())["same"] == "T"
+        rows = readers.table(spark, str(tmp_path / "in" / "*.tsv"), "key string, value string").orderBy("row_idx").collect()
+        assert [r.key for r in rows] == [f"{k}_{i}" for k, n in enumerate((2, 3000, 1, 400)) for i in range(n)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_gff3_with_quotes(spark, tmp_path):
+    (tmp_path / "q.gff").write_bytes(b'"c 1"\tsrc\tmRNA\t1\t2\t.\t+\t.\t"ID=a""b;Note=x\ty"\r\nc2\ts"x\tmRNA\t1\t2\t.\t+\t.\tID=p"q\r\n')
+    a, b = readers.gff3(spark, str(tmp_path / "q.gff")).orderBy("row_idx").collect()
+    assert (a.seqid, a.attr) == ("c 1", {"ID": 'a"b', "Note": "x\ty"})
+    assert (b.source, b.attr) == ('s"x', {"ID": 'p"q'})
+
+
+def test_manifest_round_trip(spark, tmp_path):
+    pairs = spark.createDataFrame([("b", "x", 1), ("a", "y", 2), ("a", "y", 3)], "g1chr string, g2chr string, n long")
+    writers.write_pairs(pairs, str(tmp_path / "hits"))
+    writers.write_manifest(writers.pair_manifest(pairs, str(tmp_path / "hits"), "trees"), str(tmp_path / "pairs"))
+    rows = sorted(readers.pair_manifest(spark, str(tmp_path / "pairs")).collect())
+    assert [(r.chrA, r.chrB, r.dendrogramfile) for r in rows] == [("a", "y", "trees/g1chr=a/g2chr=y"), ("b", "x", "trees/g1chr=b/g2chr=x")]
+    assert [spark.read.parquet(r.hitsfile).count() for r in rows] == [2, 1]
+
+
 def test_fasta_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("x", "A" * 80), ("y", "C" * 161), ("z", "")], "id string, seq string")
     assert "\n" + "A" * 80 + "\n" not in writers.fasta_text(rows).first().value + "x"
@@ -125,8 +161,14 @@ def test_command_line(spark, tmp_path, capsys):
     path = tmp_path / "config.json"
     path.write_text(json.dumps(raw))
     assert cli.main([str(path), "-v"]) == 0
-    assert cli.main([str(path)]) == 0
+    assert cli.main([str(path), "-a", "plot"]) == 0
+    assert "<svg" in spark.read.text(str(tmp_path / "out" / "plot.svg")).first().value
+    assert any("n1_c1;n2_c2" in r.value for r in spark.read.text(str(tmp_path / "out" / "plot.conf")).collect())
     links = [r.value for r in spark.read.text(str(tmp_path / "out" / "links")).collect()]
     assert len(links) >= 2 and links[0].startswith("c_0000000000\tn1_c1")
     assert spark.read.text(str(tmp_path / "out" / "genes")).count() == 12
+    raw["outdir"] = str(tmp_path / "hits_out")
+    path.write_text(json.dumps(raw))
+    assert cli.main([str(path), "-a", "hits"]) == 0
+    assert readers.pair_manifest(spark, str(tmp_path / "hits_out" / "pairs")).count() == 1
     assert cli.main([str(tmp_path / "none.json")]) == 1 and "doesn't exist" in capsys.readouterr().err
