@@ -62,6 +62,45 @@ def test_heights_equal_the_naive_method(seed):
         assert {low[child1[k]], high[child2[k]]} == {low[k], high[k]} and high[child1[k]] == low[child2[k]]
 
 
+@pytest.mark.parametrize("block", [3, 16, 64])
+def test_blocks_change_no_edge(spark, block):
+    """The tree of far and near, equal and overlapping hits is that of one block, edge by edge."""
+    rng = random.Random(block)
+    rows = []
+    for pair in range(2):
+        for leaf in range(150):
+            a, b = rng.choice([0, 1000, 50_000]) + rng.randint(0, 60) * 10, rng.choice([0, 70_000]) + rng.randint(0, 60) * 10
+            rows.append((f"x{pair}", "y", leaf, a, a + rng.choice([0, 5, 30, -20]), b, b + 12))
+    rows.append(("z", "y", 0, 1, 2, 3, 4))
+    leaves = spark.createDataFrame(rows, "g1chr string, g2chr string, leaf long, g1start long, g1end long, g2start long, g2end long")
+    found = tree.linkage(leaves, block).toPandas()
+    for pair in ("x0", "x1"):
+        own = [r for r in rows if r[0] == pair]
+        edges = found[found.g1chr == pair].sort_values(["height", "i", "j"])
+        above = list(range(len(own)))
+        kept = []
+        for i, j, h in edges[["i", "j", "height"]].itertuples(index=False):
+            while above[i] != i:
+                i = above[i]
+            while above[j] != j:
+                j = above[j]
+            if i != j:
+                above[j] = i
+                kept.append(h)
+        whole = tree.spanning_tree(np.array([r[3:] for r in own]))
+        assert kept == sorted(whole[2]) == sorted(single_linkage([r[3:] for r in own]))
+        best = {(min(i, j), max(i, j), h) for i, j, h in zip(*whole, strict=True)}
+        assert best <= set(edges[["i", "j", "height"]].itertuples(index=False, name=None))
+    assert not len(found[found.g1chr == "z"])
+
+
+def test_few_blocks_meet():
+    """Hits spread over the plane: blocks meet their neighbours, not all others."""
+    rows = [(16 * x + y, 100 * x, 100 * x + 90, 100 * y, 100 * y + 90, 12, [0, 100 * x, 100 * x + 5, 100 * y, 100 * y + 5], [0, 100 * x + 80, 100 * x + 85, 100 * y + 80, 100 * y + 85]) for x in range(16) for y in range(16)]
+    _, met = tree.met_blocks(pd.DataFrame(rows, columns=["own", "lo1", "hi1", "lo2", "hi2", "step", "head", "tail"]))
+    assert len(met) < 0.05 * 256 * 255 / 2
+
+
 @pytest.mark.parametrize(("n", "leaves"), [(0, 0), (1, 1), (2, 1), (3, 2), (4, 3)])
 def test_the_last_hit_is_dropped_when_observed(spark, n, leaves):
     rows = [("q", "s", 1.0, "c", 0, 1, "c", 0, 1, k) for k in range(n)]
@@ -179,7 +218,7 @@ def test_tests_and_clusters(spark):
     few = seen[seen.eligible & ~seen.clt]
     assert len(few) and (few.p == 0).all() and np.isinf(few.z).all()
     pools = testing.null_pools(df, best, info, "genome_1")
-    assert len(pools.first().a) == len(rows)
+    assert pools.where("pool = 'a'").count() == len(rows)
     meant = testing.tested(nodes, moments, 0.2, observed=False, pools=pools)
     table = meant.toPandas()
     assert table.p.between(0, 1).all()
@@ -200,9 +239,43 @@ def test_too_many_nodes_raise(spark):
         testing.significant(df, most=4)
 
 
+def pool_rows(spark, a, u1, u2):
+    return spark.createDataFrame([(k, float(v)) for k, of in (("a", a), ("u1", u1), ("u2", u2)) for v in of], "pool string, v double")
+
+
+def test_all_null_scores_are_drawn_from(spark):
+    """Populations beyond 50,000, by a broadcast and by a join, against a naive model of the same draws."""
+    rng = np.random.default_rng(8)
+    a, u1, u2 = rng.random(60_000), rng.random(70_000), rng.random(50)
+    a[::1000] += 50
+    asked = [(n, 3, 1, s) for n in (2, 12) for s in (0.5, 1.5, 30.0, 90.0)]
+    nodes = spark.createDataFrame(asked, "n_a long, n_u1 long, n_u2 long, score double")
+    pools = pool_rows(spark, a, u1, u2)
+    ordered = {k: np.sort(v) for k, v in (("a", a), ("u1", u1), ("u2", u2))}
+    sizes = {k: len(v) for k, v in ordered.items()}
+    want = {}
+    for n in (2, 12):
+        chunks = [testing.drawn_ranks((n, 3, 1), sizes, c, 500, 1) for c in range(4)]
+        made = np.concatenate([2 * ordered["a"][x].sum(1) - ordered["u1"][y].sum(1) - ordered["u2"][z].sum(1) for x, y, z in chunks])
+        want |= {(n, 3, 1, s): (made >= s).mean() for _, _, _, s in asked}
+    for most in (10**6, 0):
+        got = {tuple(r)[:4]: r.p for r in testing.permuted(nodes, pools, tests=99, batch=500, stop=10**9, most=most).collect()}
+        assert got == pytest.approx(want), most
+    assert 0 < want[(12, 3, 1, 30.0)] < 1
+    ranks = np.concatenate([testing.drawn_ranks((12, 3, 1), sizes, c, 500, 1)[0] for c in range(20)])
+    assert (np.sort(ranks, 1)[:, 1:] != np.sort(ranks, 1)[:, :-1]).all() and abs(ranks.mean() / 30_000 - 1) < 0.02
+
+
+def test_drawing_stops_early_alike(spark):
+    pools = pool_rows(spark, np.arange(40.0), np.arange(30.0), np.arange(20.0))
+    nodes = spark.createDataFrame([(2, 1, 0, s) for s in (-100.0, 60.0, 155.0)] + [(1, 0, 0, 5.0), (50, 0, 3, 1500.0)], "n_a long, n_u1 long, n_u2 long, score double")
+    ways = [{tuple(r)[:4]: r.p for r in testing.permuted(nodes, pools, tests=60, batch=100, most=m).collect()} for m in (10**6, 0)]
+    assert ways[0] == pytest.approx(ways[1]) and len(ways[0]) == 5
+
+
 def test_permutations_draw_what_is_asked(spark):
     """Counts are drawn without replacement, and the share of draws that reach a score is right."""
-    pools = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0], [0.5] * 30, [0.25])], "a array<double>, u1 array<double>, u2 array<double>")
+    pools = pool_rows(spark, [1.0, 2.0, 3.0, 4.0], [0.5] * 30, [0.25])
     asked = [(4, 2, 1, 18.75), (4, 2, 1, 18.8), (1, 0, 0, 8.0), (1, 0, 0, 5.0), (1, 5, 3, -9.0)]
     nodes = spark.createDataFrame(asked, "n_a long, n_u1 long, n_u2 long, score double")
     p = {tuple(r)[:4]: r.p for r in testing.permuted(nodes, pools, tests=200, stop=10**9).collect()}
