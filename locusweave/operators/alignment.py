@@ -56,30 +56,36 @@ def scores() -> np.ndarray:
 SCORES = scores()
 
 
-def local(query: str, subject: str) -> dict[str, int]:
-    """The best local alignment with affine gaps: score, ends (from 1), length, identities, gaps opened."""
+#: A score that no alignment gets over.
+BARRED = -(10**6)
+
+
+def pay_of(query: str, subject: str) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of each two residues, and whether they are alike."""
     a, b = (np.frombuffer(x.upper().encode("latin-1", "replace"), np.uint8) for x in (query, subject))
-    n, m = len(a), len(b)
+    return SCORES[a[:, None], b[None]].reshape(len(a), len(b)), a[:, None] == b[None]
+
+
+def local(pay: np.ndarray, same: np.ndarray) -> dict[str, int]:
+    """The best local alignment with affine gaps: score, ends (from 1), length, identities, gaps opened. A row of cells is one step."""
+    n, m = pay.shape
     best, down, right = (np.zeros((n + 1, m + 1), np.int64) for _ in range(3))
-    down[:], right[:] = -(10**6), -(10**6)
-    first = GAP_OPEN + GAP_EXTEND
-    pay = SCORES[a[:, None], b[None]] if n and m else np.zeros((n, m), np.int64)
+    down[:], right[:] = BARRED, BARRED
+    first, along = GAP_OPEN + GAP_EXTEND, GAP_EXTEND * np.arange(m + 1)
     for i in range(1, n + 1):
         down[i, 1:] = np.maximum(best[i - 1, 1:] - first, down[i - 1, 1:] - GAP_EXTEND)
-        straight = np.maximum(np.maximum(best[i - 1, :-1] + pay[i - 1], down[i, 1:]), 0)
-        row, across, gap = 0, straight.tolist(), -(10**6)
-        for j, x in enumerate(across, 1):
-            gap = max(row - first, gap - GAP_EXTEND)
-            right[i, j] = gap
-            row = max(x, gap)
-            best[i, j] = row
+        row = best[i]
+        row[1:] = np.maximum(np.maximum(best[i - 1, :-1] + pay[i - 1], down[i, 1:]), 0)
+        # a gap to the right begins at the best cell before it; one that begins in a gap is never better
+        right[i, 1:] = np.maximum.accumulate(row + along)[:-1] - first - along[:-1]
+        np.maximum(row[1:], right[i, 1:], out=row[1:])
     i, j = np.unravel_index(int(best.argmax()), best.shape)
     out = {"score": int(best[i, j]), "qend": int(i), "send": int(j), "length": 0, "same": 0, "gapopen": 0}
     state = "m"
     while best[i, j] > 0 or state != "m":
         if state == "m":
-            if best[i, j] == best[i - 1, j - 1] + pay[i - 1, j - 1]:
-                out["same"] += int(a[i - 1] == b[j - 1])
+            if i and j and best[i, j] == best[i - 1, j - 1] + pay[i - 1, j - 1]:
+                out["same"] += int(same[i - 1, j - 1])
                 out["length"] += 1
                 i, j = i - 1, j - 1
             else:
@@ -96,6 +102,18 @@ def local(query: str, subject: str) -> dict[str, int]:
     return out | {"qstart": int(i) + 1, "sstart": int(j) + 1}
 
 
+def locals_(query: str, subject: str, least: int) -> list[dict[str, int]]:
+    """Local alignments of `least` and more, best first; each bars the cells between its ends to those after it, so none crosses another."""
+    pay, same = pay_of(query, subject)
+    pay, found = pay.copy(), []
+    while True:
+        x = local(pay, same)
+        if x["score"] < max(1, least):
+            return found
+        found.append(x)
+        pay[x["qstart"] - 1 : x["qend"], x["sstart"] - 1 : x["send"]] = BARRED
+
+
 ALIGNED = "qseqid string, sseqid string, pident double, length long, mismatch long, gapopen long, qstart long, qend long, sstart long, send long, evalue double, bitscore double, slen long, qlen long"
 
 
@@ -112,7 +130,12 @@ def seeds(queries: DataFrame, subjects: DataFrame, word: int = 4, least: int = 2
 
 
 def aligned(queries: DataFrame, subjects: DataFrame, word: int = 4, least: int = 2, evalue: float = 10.0) -> DataFrame:
-    """Hits of queries against subjects (id, seq), one for each pair that shares words, in the columns of an alignment table."""
+    """Hits of queries against subjects (id, seq) in the columns of an alignment table: all alignments up to the expectation value of each pair that shares `least` words of `word` letters.
+
+    Pairs that share fewer words are not aligned (a parameter: 1 finds more distant
+    ones, at more work), and what crosses a better alignment of its pair is none.
+    Sequences that are null have no hits.
+    """
     letters = subjects.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("letters"))
     side = lambda df, x: df.select(F.col("id").alias(f"{x}seqid"), F.col("seq").alias(f"{x}seq"))
     pairs = seeds(queries, subjects, word, least).join(side(queries, "q"), "qseqid").join(side(subjects, "s"), "sseqid").join(F.broadcast(letters))
@@ -121,8 +144,9 @@ def aligned(queries: DataFrame, subjects: DataFrame, word: int = 4, least: int =
         for part in parts:
             rows = []
             for q, s, qseq, sseq, letters_ in part[["qseqid", "sseqid", "qseq", "sseq", "letters"]].itertuples(index=False):
-                x = local(qseq, sseq)
-                if x["score"] > 0:
+                # the least score whose expectation is small enough
+                least = math.ceil((math.log(max(1.0, KAPPA * len(qseq) * letters_ / evalue))) / LAMBDA)
+                for x in locals_(qseq, sseq, least):
                     bits = (LAMBDA * x["score"] - math.log(KAPPA)) / math.log(2)
                     expected = len(qseq) * letters_ * 2.0**-bits
                     rows.append((q, s, 100.0 * x["same"] / x["length"], x["length"], x["qend"] - x["qstart"] + 1 + x["send"] - x["sstart"] + 1 - x["length"] - x["same"], x["gapopen"], x["qstart"], x["qend"], x["sstart"], x["send"], expected, bits, len(sseq), len(qseq)))

@@ -44,6 +44,15 @@ def parent(attr: Column) -> Column:
     return F.coalesce(attr["Parent"], F.lit(TOP_LEVEL))
 
 
+def genes(annotation: DataFrame) -> DataFrame:
+    """(id, seqid, start, end, strand) of the messenger RNAs of an annotation, by their type in any letter case; the last of equal ids counts.
+
+    These are the genes that `intervals.tandem` and `intervals.same_strand` take.
+    """
+    rows = annotation.where(F.lower("type") == "mrna").select(F.col("attr")["ID"].alias("id"), "seqid", "start", "end", "strand", "row_idx").where("id IS NOT NULL")
+    return rows.groupBy("id").agg(F.max_by(F.struct("seqid", "start", "end", "strand"), "row_idx").alias("x")).select("id", "x.*")
+
+
 def coding(annotation: DataFrame, by_comma: bool = False) -> DataFrame:
     """Coding segments (protein, seqid, start, end, strand, row_idx); with by_comma a segment of several parents is one of each."""
     rows = annotation.where(F.col("type") == "CDS").withColumn("protein", parent(F.col("attr")))
@@ -52,12 +61,21 @@ def coding(annotation: DataFrame, by_comma: bool = False) -> DataFrame:
     return rows.select("protein", "seqid", "start", "end", "strand", "row_idx")
 
 
-def proteins(genome: DataFrame, annotation: DataFrame) -> DataFrame:
-    """(id, seq): residues of every group of coding segments of one contig, in order of the strand."""
-    parts = coding(annotation).join(genome.select(F.col("id").alias("seqid"), F.col("seq").alias("contig")), "seqid")
-    bases = F.substr("contig", F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int"))
-    cut = parts.select("protein", "strand", F.struct("start", "end", bases.alias("bases")).alias("part"))
-    whole = cut.groupBy("protein").agg(F.first("strand").alias("strand"), F.array_sort(F.collect_list("part")).alias("parts"))
+def proteins(genome: DataFrame, annotation: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """(id, seq): residues of every group of coding segments of one contig, in order of the strand.
+
+    Contigs are cut into pieces of `width` bases, and segments are joined to the
+    pieces that they touch, so no whole contig is sent along with each of them.
+    What lies beyond its contig's end counts for nothing.
+    """
+    pieces = genome.select(F.col("id").alias("seqid"), F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))).alias("piece", "bases"))
+    piece = lambda at: F.floor((F.col(at) - 1) / width).cast("int")
+    parts = coding(annotation).where("start BETWEEN 1 AND end").withColumn("piece", F.explode(F.sequence(piece("start"), piece("end")))).join(pieces, ["seqid", "piece"])
+    low, high = F.greatest(F.col("start") - F.col("piece") * width, F.lit(1)), F.least(F.col("end") - F.col("piece") * width, F.lit(width))
+    bases = F.substr("bases", low.cast("int"), (high - low + 1).cast("int"))
+    cut = parts.select("protein", "strand", F.struct("start", "end", "row_idx", "piece", bases.alias("bases")).alias("part"))
+    # a group's strand is that of its segment read first
+    whole = cut.groupBy("protein").agg(F.min_by("strand", F.col("part.row_idx")).alias("strand"), F.array_sort(F.collect_list("part")).alias("parts"))
     seq = F.array_join(F.transform("parts", lambda x: x["bases"]), "")
     return whole.select(F.col("protein").alias("id"), translated(F.when(F.col("strand") == "-", reverse_complement(seq)).otherwise(seq)).alias("seq"))
 

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from locusweave.operators import alignment, intervals, sequence
@@ -73,11 +75,33 @@ def test_alignment_scores():
     for _ in range(40):
         a = "".join(rng.choices(alignment.LETTERS, k=rng.randint(1, 25)))
         b = a[3:9] + "".join(rng.choices(alignment.LETTERS, k=rng.randint(0, 9))) + a[12:]
-        x = alignment.local(a, b)
+        x = alignment.local(*alignment.pay_of(a, b))
         assert x["score"] == naive(a, b)
         if x["score"]:
             assert x["same"] <= x["length"] and 1 <= x["qstart"] <= x["qend"] <= len(a) and 1 <= x["sstart"] <= x["send"] <= len(b)
-    assert alignment.local("WWWW", "WWWW") == {"score": 44, "qstart": 1, "qend": 4, "sstart": 1, "send": 4, "length": 4, "same": 4, "gapopen": 0}
+    assert alignment.local(*alignment.pay_of("WWWW", "WWWW")) == {"score": 44, "qstart": 1, "qend": 4, "sstart": 1, "send": 4, "length": 4, "same": 4, "gapopen": 0}
+
+
+def test_several_alignments_of_a_pair(spark):
+    """Two conserved stretches in turned order are two hits, and none crosses another."""
+    one, two = "MKTAYIAKQRQISFVKSHFSRQ", "WCYHDPGNEWLMTRRKCHWAAD"
+    q = spark.createDataFrame([("q", one + "GSGSGSGSGS" + two)], "id string, seq string")
+    s = spark.createDataFrame([("s", two + "TTPPTTPPTT" + one), (None, None)], "id string, seq string")
+    found = sorted(alignment.aligned(q, s, evalue=1e-4).collect(), key=lambda r: r.qstart)
+    assert [(r.qstart, r.qend, r.sstart, r.send, r.pident) for r in found] == [(1, 22, 33, 54, 100.0), (33, 54, 1, 22, 100.0)]
+    rng = random.Random(2)
+    for _ in range(10):
+        a, b = ("".join(rng.choices("ACDEW", k=30)) for _ in "ab")
+        parts = alignment.locals_(a, b, 8)
+        assert parts[0]["score"] == naive(a, b) and [x["score"] for x in parts] == sorted((x["score"] for x in parts), reverse=True)
+        cells = [{(i, j) for i in range(x["qstart"], x["qend"] + 1) for j in range(x["sstart"], x["send"] + 1)} for x in parts]
+        assert all(x["score"] >= 8 for x in parts) and len(cells) == len(parts)
+
+
+def test_genes_of_an_annotation(spark):
+    rows = [("c", "mRNA", 5, 9, "+", {"ID": "a"}, 0), ("c", "MRNA", 6, 9, "-", {"ID": "a"}, 1), ("c", "CDS", 1, 2, "+", {"ID": "b"}, 2), ("d", "mrna", 1, 2, "+", {"Parent": "x"}, 3), ("d", "mrna", 3, 4, "+", {"ID": "e"}, 4)]
+    df = spark.createDataFrame(rows, "seqid string, type string, start long, end long, strand string, attr map<string,string>, row_idx long")
+    assert sorted(map(tuple, sequence.genes(df).collect())) == [("a", "c", 6, 9, "-"), ("e", "d", 3, 4, "+")]
 
 
 def test_aligned_pairs(spark):
