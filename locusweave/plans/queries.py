@@ -131,7 +131,7 @@ MOMENT = ("mean_a", "var_a", "mean_u1", "var_u1", "mean_u2", "var_u2")
 
 
 def moments(spark, sf_dir):
-    placed = data.mutual(spark, sf_dir)
+    placed = written(data.mutual(spark, sf_dir), "hits")
     return hits.null_moments(placed, hits.best_hits(placed, "K"), data.exons(spark, sf_dir))
 
 
@@ -146,17 +146,22 @@ def blocks(spark, sf_dir):
     return data.mutual(spark, sf_dir).withColumn("block", F.floor(key / 100))
 
 
+def held_blocks(spark, sf_dir):
+    """The same, written, for queries of several parts."""
+    return written(blocks(spark, sf_dir), "hits")
+
+
 GROUP = ["block", "g1chr", "g2chr"]
 REGION = "region AS (SELECT block, g1chr, g2chr, min(g1start) AS g1lo, max(g1end) AS g1hi, min(g2start) AS g2lo, max(g2end) AS g2hi, sum(K) AS sum_k FROM gh GROUP BY ALL)"
 
 
-def regions(spark, sf_dir):
-    return blocks(spark, sf_dir).groupBy(*GROUP).agg(F.min("g1start").alias("g1lo"), F.max("g1end").alias("g1hi"), F.min("g2start").alias("g2lo"), F.max("g2end").alias("g2hi"), F.sum("K").alias("sum_k"))
+def regions(held):
+    return held.groupBy(*GROUP).agg(F.min("g1start").alias("g1lo"), F.max("g1end").alias("g1hi"), F.min("g2start").alias("g2lo"), F.max("g2end").alias("g2hi"), F.sum("K").alias("sum_k"))
 
 
 @query(sql("SELECT block, g1chr, g2chr, g1lo, g1hi, g2lo, g2hi, round(sum_k, 6) AS sum_k FROM region", REGION))
 def block_regions(spark, sf_dir):
-    return regions(spark, sf_dir).withColumn("sum_k", F.round("sum_k", 6))
+    return regions(blocks(spark, sf_dir)).withColumn("sum_k", F.round("sum_k", 6))
 
 
 @query(sql("SELECT block, g1chr, g2chr, count(DISTINCT gene1) AS genes1, count(DISTINCT gene2) AS genes2 FROM gh GROUP BY ALL"))
@@ -175,10 +180,9 @@ ACCOUNTED = "accounted AS (SELECT block, g1chr, g2chr, qseqid AS exonid FROM gh
 LEFT = "unacc AS (SELECT i.* FROM inside i ANTI JOIN accounted USING (block, g1chr, g2chr, exonid))"
 
 
-def inside(spark, sf_dir):
+def inside(held, exons):
     """Exons of either genome that overlap each block's regions."""
-    found, parts = regions(spark, sf_dir), []
-    exons = data.exons(spark, sf_dir)
+    found, parts = regions(held), []
     for side, chrom in ((1, "g1chr"), (2, "g2chr")):
         low, high = f"g{side}lo", f"g{side}hi"
         area = found.select(*GROUP, F.least(low, high).alias("lo"), F.greatest(low, high).alias("hi"), F.col(chrom).alias("seqid"))
@@ -187,27 +191,28 @@ def inside(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-def accounted(spark, sf_dir):
-    return blocks(spark, sf_dir).select(*GROUP, F.explode(F.array("qseqid", "sseqid")).alias("exonid")).distinct()
+def accounted(held):
+    return held.select(*GROUP, F.explode(F.array("qseqid", "sseqid")).alias("exonid")).distinct()
 
 
-def unaccounted(spark, sf_dir):
-    return inside(spark, sf_dir).join(accounted(spark, sf_dir), [*GROUP, "exonid"], "left_anti")
+def unaccounted(held, exons):
+    return inside(held, exons).join(accounted(held), [*GROUP, "exonid"], "left_anti")
 
 
 @query(sql("SELECT block, g1chr, g2chr, side, exonid FROM inside", REGION, INSIDE))
 def region_exons(spark, sf_dir):
-    return inside(spark, sf_dir)
+    return inside(held_blocks(spark, sf_dir), data.exons(spark, sf_dir))
 
 
 @query(sql("SELECT block, g1chr, g2chr, side, exonid FROM unacc", REGION, INSIDE, ACCOUNTED, LEFT))
 def unaccounted_exons(spark, sf_dir):
-    return unaccounted(spark, sf_dir)
+    return unaccounted(held_blocks(spark, sf_dir), data.exons(spark, sf_dir))
 
 
 @query(sql("SELECT block, g1chr, g2chr, side, exonid FROM unacc SEMI JOIN best USING (exonid)", REGION, INSIDE, ACCOUNTED, LEFT, BEST))
 def unaccounted_with_hit(spark, sf_dir):
-    return unaccounted(spark, sf_dir).join(hits.best_hits(data.mutual(spark, sf_dir), "K"), "exonid", "left_semi")
+    held = held_blocks(spark, sf_dir)
+    return unaccounted(held, data.exons(spark, sf_dir)).join(hits.best_hits(held, "K"), "exonid", "left_semi")
 
 
 SCORE = """counts AS (SELECT block, g1chr, g2chr, sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS u1, sum(CASE WHEN side = 2 THEN 1 ELSE 0 END) AS u2, count(best) AS hit, sum(coalesce(best, 0)) AS lost
@@ -217,11 +222,11 @@ score AS (SELECT block, g1chr, g2chr, n_a, CAST(coalesce(u1, 0) AS BIGINT) AS n_
   FROM region JOIN na USING (block, g1chr, g2chr) LEFT JOIN counts USING (block, g1chr, g2chr))"""
 
 
-def scores(spark, sf_dir):
-    best = hits.best_hits(data.mutual(spark, sf_dir), "K")
-    lost = unaccounted(spark, sf_dir).join(best, "exonid", "left").groupBy(*GROUP).agg(F.count_if(F.col("side") == 1).alias("n_u1"), F.count_if(F.col("side") == 2).alias("n_u2"), F.count("best").alias("hit"), F.sum(F.coalesce("best", F.lit(0.0))).alias("lost"))
-    n_a = accounted(spark, sf_dir).groupBy(*GROUP).agg(F.count("*").alias("n_a"))
-    rows = regions(spark, sf_dir).join(n_a, GROUP).join(lost, GROUP, "left").fillna({"n_u1": 0, "n_u2": 0, "hit": 0, "lost": 0.0})
+def scores(held, exons):
+    best = hits.best_hits(held, "K")
+    lost = unaccounted(held, exons).join(best, "exonid", "left").groupBy(*GROUP).agg(F.count_if(F.col("side") == 1).alias("n_u1"), F.count_if(F.col("side") == 2).alias("n_u2"), F.count("best").alias("hit"), F.sum(F.coalesce("best", F.lit(0.0))).alias("lost"))
+    n_a = accounted(held).groupBy(*GROUP).agg(F.count("*").alias("n_a"))
+    rows = regions(held).join(n_a, GROUP).join(lost, GROUP, "left").fillna({"n_u1": 0, "n_u2": 0, "hit": 0, "lost": 0.0})
     return rows.select(*GROUP, "n_a", "n_u1", "n_u2", (2 * F.col("sum_k") - F.col("lost")).alias("score"), (F.col("n_a") / (F.col("hit") + 1)).alias("conservation"))
 
 
@@ -230,17 +235,18 @@ SCORED = (REGION, INSIDE, ACCOUNTED, LEFT, BEST, SCORE)
 
 @query(sql("SELECT block, g1chr, g2chr, n_a, n_u1, n_u2, round(score, 6) AS score FROM score", *SCORED))
 def block_score(spark, sf_dir):
-    return scores(spark, sf_dir).select(*GROUP, "n_a", "n_u1", "n_u2", six("score"))
+    return scores(held_blocks(spark, sf_dir), data.exons(spark, sf_dir)).select(*GROUP, "n_a", "n_u1", "n_u2", six("score"))
 
 
 @query(sql("SELECT block, g1chr, g2chr, round(conservation, 6) AS conservation FROM score WHERE conservation >= 1", *SCORED))
 def block_conservation(spark, sf_dir):
-    return scores(spark, sf_dir).where("conservation >= 1").select(*GROUP, six("conservation"))
+    return scores(held_blocks(spark, sf_dir), data.exons(spark, sf_dir)).where("conservation >= 1").select(*GROUP, six("conservation"))
 
 
 @query(sql("SELECT block, g1chr, g2chr, round((score - (2 * mean_a * n_a - mean_u1 * n_u1 - mean_u2 * n_u2)) / sqrt(4 * var_a * n_a + var_u1 * n_u1 + var_u2 * n_u2), 6) AS z FROM score CROSS JOIN moments", *SCORED, MOMENTS))
 def block_clt_z(spark, sf_dir):
-    return testing.clt_z(scores(spark, sf_dir), moments(spark, sf_dir)).select(*GROUP, six("z"))
+    held, exons = held_blocks(spark, sf_dir), data.exons(spark, sf_dir)
+    return testing.clt_z(scores(held, exons), hits.null_moments(held, hits.best_hits(held, "K"), exons)).select(*GROUP, six("z"))
 
 
 def _tree(spark, sf_dir, observed=True):
@@ -257,26 +263,27 @@ def linkage_heights(spark, sf_dir):
 
 
 # a block's merges below a height are its hits less the parts that links of such distances leave
-@query(
-    "WITH RECURSIVE " + sql(
-        "SELECT block, g1chr, g2chr, h AS height, n - parts AS merges FROM (SELECT block, g1chr, g2chr, h, count(*) AS n, count(DISTINCT m) AS parts FROM (SELECT block, g1chr, g2chr, h, a, min(b) AS m FROM reach GROUP BY ALL) GROUP BY ALL)",
-        "gi AS (SELECT *, row_number() OVER (ORDER BY qseqid, sseqid, qstart, qend, sstart, send, evalue) AS n FROM gh WHERE block % 5 = 0)",
-        "cut AS (SELECT CAST(unnest([100, 300, 1000]) AS BIGINT) AS h)",
-        f"near AS (SELECT i.block, i.g1chr, i.g2chr, h, i.n AS a, j.n AS b FROM gi i JOIN gi j ON i.block = j.block AND i.g1chr = j.g1chr AND i.g2chr = j.g2chr JOIN cut ON {DISTANCE} <= h)",
-        "reach AS (SELECT * FROM near UNION SELECT r.block, r.g1chr, r.g2chr, r.h, r.a, n.b FROM reach r JOIN near n ON r.block = n.block AND r.g1chr = n.g1chr AND r.g2chr = n.g2chr AND r.h = n.h AND r.b = n.a)",
-    ).removeprefix("WITH ")
-)
-def block_linkage(spark, sf_dir):
-    """Merges below given heights in trees of every fifth run of 100 exons, as its SQL has it; block_linkage_all has all runs."""
-    return merges_below(blocks(spark, sf_dir).where("block % 5 = 0"))
+LINKAGE = "WITH RECURSIVE " + sql(
+    "SELECT block, g1chr, g2chr, h AS height, n - parts AS merges FROM (SELECT block, g1chr, g2chr, h, count(*) AS n, count(DISTINCT m) AS parts FROM (SELECT block, g1chr, g2chr, h, a, min(b) AS m FROM reach GROUP BY ALL) GROUP BY ALL)",
+    "gi AS (SELECT *, row_number() OVER (ORDER BY qseqid, sseqid, qstart, qend, sstart, send, evalue) AS n FROM gh)",
+    "cut AS (SELECT CAST(unnest([100, 300, 1000]) AS BIGINT) AS h)",
+    f"near AS (SELECT i.block, i.g1chr, i.g2chr, h, i.n AS a, j.n AS b FROM gi i JOIN gi j ON i.block = j.block AND i.g1chr = j.g1chr AND i.g2chr = j.g2chr JOIN cut ON {DISTANCE} <= h)",
+    "reach AS (SELECT * FROM near UNION SELECT r.block, r.g1chr, r.g2chr, r.h, r.a, n.b FROM reach r JOIN near n ON r.block = n.block AND r.g1chr = n.g1chr AND r.g2chr = n.g2chr AND r.h = n.h AND r.b = n.a)",
+).removeprefix("WITH ")
 
 
-@query()
-def block_linkage_all(spark, sf_dir):
+@query(LINKAGE)
+def block_linkage(spark, sf_dir):
     """Merges below given heights in trees of all runs of 100 exons."""
     return merges_below(blocks(spark, sf_dir))
 
 
+@query(LINKAGE)
+def block_linkage_all(spark, sf_dir):
+    """The same by its former name."""
+    return block_linkage(spark, sf_dir)
+
+
 def merges_below(placed: DataFrame) -> DataFrame:
     """(block, g1chr, g2chr, height, merges) of the genomic hits of blocks."""
     rows = placed.withColumn("g1chr", F.concat_ws("|", F.col("block").cast("string"), "g1chr"))
@@ -346,7 +353,7 @@ def karyotype(spark, sf_dir):
 @query(sql("""SELECT concat('c_', lpad(CAST(n AS VARCHAR), 10, '0'), chr(9), id, chr(9), CAST(lo AS VARCHAR), chr(9), CAST(hi AS VARCHAR), chr(9), 'r_int=255,g_int=0,b_int=0') AS value
 FROM (SELECT n, concat('one_', g1chr) AS id, g1lo AS lo, g1hi AS hi FROM link UNION ALL SELECT n, concat('two_', g2chr), g2lo, g2hi FROM link)""", REGION, "link AS (SELECT *, row_number() OVER (ORDER BY g1chr, g2chr, block) - 1 AS n FROM region)"))
 def link_track(spark, sf_dir):
-    rows = regions(spark, sf_dir).select(F.col("g1chr").alias("chrA"), F.col("g2chr").alias("chrB"), F.col("block").alias("clusterID"), F.col("g1lo").alias("startA"), F.col("g1hi").alias("endA"), F.col("g2lo").alias("startB"), F.col("g2hi").alias("endB"))
+    rows = regions(blocks(spark, sf_dir)).select(F.col("g1chr").alias("chrA"), F.col("g2chr").alias("chrB"), F.col("block").alias("clusterID"), F.col("g1lo").alias("startA"), F.col("g1hi").alias("endA"), F.col("g2lo").alias("startB"), F.col("g2hi").alias("endB"))
     return tracks.link_track(rows, ("one", "two"))
 
 
@@ -409,6 +416,36 @@ def top_level_parent(spark, sf_dir):
     return sequence.top_level(_features(spark, sf_dir))
 
 
+MRNA = """WITH g AS (SELECT concat('g', o_orderkey // 3) AS id, concat('c', o_custkey % 3) AS seqid, o_orderkey * 10 AS s, o_orderkey * 10 + 5 + o_custkey % 40 AS e,
+  CASE WHEN o_custkey % 2 = 0 THEN '+' ELSE '-' END AS strand, o_orderkey AS k FROM orders WHERE o_orderkey % 5 <> 0),
+gene AS (SELECT id, arg_max(seqid, k) AS seqid, arg_max(s, k) AS s, arg_max(e, k) AS e, arg_max(strand, k) AS strand FROM g GROUP BY id)"""
+
+
+def _annotated_genes(spark, sf_dir):
+    """Genes of annotation rows made of orders: messenger RNAs in any letter case, several of one id."""
+    key, other = F.col("o_orderkey"), F.col("o_custkey")
+    kind = F.when(key % 5 == 0, "CDS").when(key % 2 == 0, "mRNA").otherwise("MRNA")
+    attr = readers.attributes(F.concat(F.lit("ID=g"), F.floor(key / 3).cast("string"), F.lit(";note")))
+    rows = data.table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), (other % 3).cast("string")).alias("seqid"), kind.alias("type"), (key * 10).alias("start"), (key * 10 + 5 + other % 40).alias("end"), F.when(other % 2 == 0, "+").otherwise("-").alias("strand"), attr.alias("attr"), key.alias("row_idx"))
+    return sequence.genes(rows)
+
+
+@query(MRNA + ' SELECT id, seqid, s AS "start", e AS "end", strand FROM gene')
+def annotated_genes(spark, sf_dir):
+    return _annotated_genes(spark, sf_dir)
+
+
+@query(MRNA + """, two AS (SELECT a.id AS id1, b.id AS id2, a.seqid AS seq1, b.seqid AS seq2, least(a.e, b.e) AS lo, greatest(a.s, b.s) AS hi, a.strand AS st1, b.strand AS st2 FROM gene a JOIN gene b ON CAST(substr(b.id, 2) AS BIGINT) - CAST(substr(a.id, 2) AS BIGINT) IN (1, 2, 3))
+SELECT id1, id2, seq1 = seq2 AND NOT EXISTS (SELECT 1 FROM gene g WHERE g.seqid = seq1 AND g.id <> id1 AND g.id <> id2 AND g.s < hi AND g.e > lo AND lo < hi) AS tandem, st1 = st2 AS same FROM two""")
+def annotated_tandems(spark, sf_dir):
+    """Neighbouring genes of an annotation: whether they are tandem, and on one strand."""
+    genes = written(_annotated_genes(spark, sf_dir), "genes")
+    number = F.substr("id", F.lit(2)).cast("long")
+    near = genes.select(F.col("id").alias("id1"), F.explode(F.array(number + 1, number + 2, number + 3)).alias("n"))
+    pairs = near.join(genes.select(F.col("id").alias("id2"), number.alias("n")), "n").select("id1", "id2")
+    return intervals.tandem(pairs, genes).join(intervals.same_strand(pairs, genes), ["id1", "id2"])
+
+
 @query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS seq FROM documents)
 SELECT concat('d', doc_id) AS id, CASE WHEN seq LIKE '%.' THEN left(seq, length(seq) - 1) ELSE seq END AS seq FROM w
 WHERE regexp_full_match(CASE WHEN seq LIKE '%.' THEN left(seq, length(seq) - 1) ELSE seq END, '[^>.](?s:[^.-]*)')""")
@@ -457,6 +494,29 @@ def protein_translation(spark, sf_dir):
     return sequence.proteins(genome, features)
 
 
+# contigs spelt from the names of parts; even ones are coded on the minus strand, in two segments
+@query("""WITH c AS (SELECT p_partkey AS k, translate(regexp_replace(lower(p_name), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTNCGTACGTACGTAC') AS seq FROM part),
+b AS (SELECT k, CASE WHEN k % 2 = 0 THEN translate(reverse(concat(substr(seq, 1, 6), substr(seq, 10, 6))), 'ACGT', 'TGCA') ELSE concat(substr(seq, 1, 6), substr(seq, 10, 6)) END AS bases FROM c)
+SELECT concat('p', k) AS id, array_to_string(list_transform(range(0, length(bases) // 3), lambda i: CASE WHEN contains(substr(bases, 3 * i + 1, 3), 'N') THEN 'X' ELSE
+  substr('FFLLSSSSYY..CC.WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', CAST(16 * (instr('TCAG', substr(bases, 3 * i + 1, 1)) - 1) + 4 * (instr('TCAG', substr(bases, 3 * i + 2, 1)) - 1) + instr('TCAG', substr(bases, 3 * i + 3, 1)) AS BIGINT), 1) END), '') AS seq FROM b""")
+def part_translation(spark, sf_dir):
+    """Proteins of all contigs of a table."""
+    letters = F.regexp_replace(F.lower("p_name"), "[^a-z]", "")
+    part = data.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTNCGTACGTACGTAC").alias("seq"))
+    contig, parent = F.concat(F.lit("c"), F.col("k").cast("string")), F.concat(F.lit("p"), F.col("k").cast("string"))
+    segments = F.array(F.struct(F.lit(10).alias("start"), F.lit(15).alias("end")), F.struct(F.lit(1).alias("start"), F.lit(6).alias("end")))
+    rows = part.select(contig.alias("seqid"), F.lit("CDS").alias("type"), F.when(F.col("k") % 2 == 0, "-").otherwise("+").alias("strand"), F.create_map(F.lit("Parent"), parent).alias("attr"), F.posexplode(segments).alias("row_idx", "x"))
+    features = rows.select("seqid", "type", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), "strand", "attr", F.col("row_idx").cast("long").alias("row_idx"))
+    return sequence.proteins(part.select(contig.alias("id"), "seq"), features)
+
+
+@query()
+def table_alignment(spark, sf_dir):
+    """All alignments of the comments of nations, read as peptides, with those of regions."""
+    spelt = lambda name, key, text: data.table(spark, sf_dir, name).select(F.concat(F.lit(name), F.col(key).cast("string")).alias("id"), F.regexp_replace(F.upper(text), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("seq"))
+    return alignment.aligned(spelt("nation", "n_nationkey", "n_comment"), spelt("region", "r_regionkey", "r_comment"))
+
+
 @query()
 def local_alignment(spark, sf_dir):
     """Alignments of literal peptides."""

@@ -20,5 +20,5 @@ def test_all_blocks_are_linked(spark):
     assert any(block % 5 for block, *_ in places)
     heights = {k: single_linkage(v) for k, v in places.items()}
     want = {(*k, h): sum(d <= h for d in of) for k, of in heights.items() for h in (100, 300, 1000)}
-    rows = QUERIES["block_linkage_all"](spark, DIR).collect()
+    rows = QUERIES["block_linkage"](spark, DIR).collect()
     assert len(rows) == len(want) and {(r.block, r.g1chr, r.g2chr, r.height): r.merges for r in rows} == want
