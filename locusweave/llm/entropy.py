@@ -43,22 +43,23 @@ class Difference:
     bigram_mass: float = 4.0
     trigram_mass: float = 1.0
     part: float = 0.5
-    block: int = 6 << 20
-    bucket: int = 1_000_000
+    block: int = 3 << 20
+    bucket: int = 500_000
     ids_broadcast: int = 1_000_000
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Unsigned numbers byte by byte, all lowest bytes first; the number of bytes that are used leads."""
+    """Unsigned numbers byte by byte, all lowest bytes first, compressed; the number of bytes that are used leads."""
     raw = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)
     used = (int(x.max(initial=0)).bit_length() + 7) // 8
-    return bytes([used]) + raw[:, :used].T.tobytes()
+    return bytes([used]) + (pa.compress(raw[:, :used].T.tobytes(), "zstd", asbytes=True) if used else b"")
 
 
 def numbers(raw: bytes, n: int) -> np.ndarray:
     """What `planes` was given, n numbers."""
-    out = np.zeros((n, 8), np.uint8)
-    out[:, : raw[0]] = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], n).T if raw[0] else 0
+    out, used = np.zeros((n, 8), np.uint8), raw[0]
+    if used:
+        out[:, :used] = np.frombuffer(pa.decompress(raw[1:], n * used, "zstd", asbytes=True), np.uint8).reshape(used, n).T
     return out.view("<u8").ravel()
 
 
@@ -148,14 +149,10 @@ def answered(requests: DataFrame) -> DataFrame:
         sizes = rows["m"]
         keys = np.concatenate([np.cumsum(numbers(k, m)) for k, m in zip(rows["keys"], sizes, strict=True)])
         n, t = (np.concatenate([numbers(x, m) for x, m in zip(rows[c], sizes, strict=True)]).astype(np.int64) for c in ("n", "t"))
-        order = np.argsort(keys, kind="stable")
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[order][1:] != keys[order][:-1]
-        of = np.empty(len(keys), np.int64)
-        of[order] = np.cumsum(new) - 1
-        words = int((keys[order][new] & np.uint64(1)).sum())
+        distinct, of = np.unique(keys, return_inverse=True)
         is_word = (keys & np.uint64(1)).astype(bool)
-        whole = [words, int(n[is_word].sum()), int(t[is_word].sum())]
+        whole = [int((distinct & np.uint64(1)).sum()), int(n[is_word].sum()), int(t[is_word].sum())]
+        del keys, distinct, is_word
         more = [np.bincount(of, x).astype(np.int64)[of] - x for x in (n, t)]
         stops = np.cumsum(sizes)
         out = []
@@ -206,14 +203,16 @@ def scored_block(body: bytes, ends: np.ndarray, target: np.ndarray, answers: dic
     place = np.arange(size) - np.repeat(at[:-1], np.diff(at))
     # a stable order by key keeps the rows of a key together
     order = np.argsort(keys, kind="stable")
-    key, of_row = keys[order], row[order]
+    key, of_row = keys[order], row[order].astype(np.int32)
+    del keys, row
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     both = new.copy()
     both[1:] |= of_row[1:] != of_row[:-1]
-    of_key, of_both = np.cumsum(new) - 1, np.cumsum(both) - 1
+    of_key, of_both = np.cumsum(new, dtype=np.int32) - 1, np.cumsum(both, dtype=np.int32) - 1
     own = np.bincount(of_both)[of_both] if len(key) else np.zeros(0, np.int64)
     is_target = target[of_row]
+    del of_both, of_row, new, both
     n = np.bincount(of_key) if len(key) else np.zeros(0, np.int64)
     t = np.bincount(of_key, is_target).astype(np.int64) if len(key) else np.zeros(0, np.int64)
     other = elsewhere(answers)
