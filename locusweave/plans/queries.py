@@ -512,9 +512,10 @@ def part_translation(spark, sf_dir):
 
 @query()
 def table_alignment(spark, sf_dir):
-    """All alignments of the comments of nations, read as peptides, with those of regions."""
-    spelt = lambda name, key, text: data.table(spark, sf_dir, name).select(F.concat(F.lit(name), F.col(key).cast("string")).alias("id"), F.regexp_replace(F.upper(text), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("seq"))
-    return alignment.aligned(spelt("nation", "n_nationkey", "n_comment"), spelt("region", "r_regionkey", "r_comment"))
+    """All alignments of passages, read as peptides, with each other, up to an expectation value of 0.001."""
+    letters = F.regexp_replace(F.upper("text"), "[^ACDEFGHIKLMNPQRSTVWY]", "")
+    spelt = data.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), letters.alias("seq"))
+    return alignment.aligned(spelt, spelt, evalue=1e-3)
 
 
 @query()
