@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_lengths, slices, staged, table
+from .common import slices, staged, table, utf8
 from .tokens import document_ids
 
 
@@ -147,21 +147,19 @@ PIECE = "id long, start long, length long, ids_crc32 long, doc_tokens long, ids
 
 def pieces(docs: DataFrame, p: Packing, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece of each document: full pieces first, then the rest."""
-    end = np.uint32(p.end_id).astype("<u4").tobytes()
-    width = 4 * p.room
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, names = (*[pa.int64()] * 5, pa.binary()), [x.split()[0] for x in PIECE.split(", ")]
         for batch in batches:
-            for i, j in slices(byte_lengths(batch.column(1))):
-                part, rows = batch.slice(i, j - i), []
-                for key, ids in zip(part.column(0).to_pylist(), document_ids(tokenizer, part.column(1).to_pylist()), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for at in range(0, len(ids), width):
-                        cut = ids[at : at + width]
-                        rows.append((key, at // 4, len(cut) // 4, zlib.crc32(cut), n, cut if with_ids else None))
-                kinds = (*[pa.int64()] * 5, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in PIECE.split(", ")])
+            data, offsets = utf8(batch.column(1))
+            for i, j in slices(np.diff(offsets)):
+                rows = []
+                own = document_ids(tokenizer, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p.end_id)
+                for key, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), own, strict=True):
+                    for at in range(0, len(ids), p.room):
+                        cut = ids[at : at + p.room].tobytes()
+                        rows.append((key, at, len(cut) // 4, zlib.crc32(cut), len(ids), cut if with_ids else None))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, PIECE)
 

@@ -33,20 +33,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(16, int(n - 1).bit_length())
         have = np.full(size, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 1 << 21:
+        if size <= 1 << 20:
             _powers[base] = have
     return have[:n]
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte and end of every word, and the number of words up to each row's start (one entry more than rows)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~SPACE[data]
+    word = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     first = word.copy()

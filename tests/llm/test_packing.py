@@ -1,12 +1,14 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from locusweave.llm import packing
+from locusweave.llm import packing, tokens
+from locusweave.llm.common import utf8
 from locusweave.llm.packing import Packing
-from locusweave.llm.tokens import document_ids
+from locusweave.llm.tokens import Words, document_ids
 
 from .conftest import ODD, prose
 
@@ -38,8 +40,20 @@ def check(rows, found):
 
 def test_ids_equal_the_tokenizer():
     odd = ["it's İstanbul don't we'll <|endoftext|>x a<|startoftext|>", "ΣΑΣ É é ﬁ שּׁ Ǆ", "a\x1cb c　d 12ab 3.4", "", " \n\n x", "x" * 500, "b'%, a%%% ...,", None]
-    for text, ids in zip(odd, document_ids(packing.default_tokenizer(), odd), strict=True):
-        assert ids == reference_ids(text)[:-1].tobytes()
+    found = document_ids(packing.default_tokenizer(), *utf8(pa.array(odd)))
+    for text, ids in zip(odd, found, strict=True):
+        assert ids.tobytes() == reference_ids(text)[:-1].tobytes()
+
+
+def test_kept_words_are_bounded_and_still_right(monkeypatch):
+    monkeypatch.setattr(tokens, "WINDOW", 1 << 12)
+    monkeypatch.setattr(tokens, "RECENT", 300)
+    words = Words(packing.default_tokenizer(), 1000)
+    monkeypatch.setattr(tokens, "kept", lambda name, make: words)
+    texts = [f"the same {prose(i, 400)} and {'long' * 30}{i}" for i in range(40)] + [prose(99, 20_000)]
+    for text, ids in zip(texts, document_ids("", *utf8(pa.array(texts)), 1), strict=True):
+        assert ids.tobytes() == reference_ids(text).tobytes()
+    assert len(words.old[0]) + len(words.new[0]) <= 1000 + 300 + 20_000
 
 
 def test_packs_everything(documents):
