@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, table, text_slices
+from .common import looked_up, slices, staged, table, text_slices
 from .graph import components
 from .words import mix, shingle_hashes, spans, word_hashes
 
@@ -186,7 +186,8 @@ def likely(pairs: DataFrame, reps: DataFrame, p: SetSketch) -> DataFrame:
                 keep = pa.array(ok)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(best[ok])], ["a", "b", "similarity"])
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= p.percent * F.greatest("na", "nb"))
+    # one centre can have a third of all pairs
+    joined = looked_up(staged(pairs, "pairs"), side("b"), "b", "a", 0).join(side("a"), "a").where(100 * F.least("na", "nb") >= p.percent * F.greatest("na", "nb"))
     return joined.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(work, "a long, b long, similarity double")
 
 
