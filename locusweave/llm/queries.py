@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entropy, language, media, mixing, neighbours, packing, quality, setsketch, surrogates, warc
+from . import audit, entropy, infilling, language, media, mixing, neighbours, packing, quality, resharding, setsketch, surrogates, warc
 from .common import small_batches
 
 
@@ -33,8 +33,11 @@ FOUND = {
     "op8_surrogates": surrogates.op8_surrogates,
     "op9_near_duplicates": setsketch.op9_near_duplicates,
     "op10_media_columns": media.op10_media_columns,
+    "op11_fill_in_middle": infilling.op11_fill_in_middle,
+    "op12_filter_audit": audit.op12_filter_audit,
+    "op13_resharding": resharding.op13_resharding,
     "language_id_pages": language.page_language_id,
 }
 QUERIES = {name: prepared(query) for name, query in FOUND.items()}
 
-ORACLE_SQL = {"op7_warc": warc.OP7_SQL, "op9_near_duplicates": setsketch.OP9_SQL}
+ORACLE_SQL = {"op7_warc": warc.OP7_SQL, "op9_near_duplicates": setsketch.OP9_SQL, "op11_fill_in_middle": infilling.OP11_SQL, "op12_filter_audit": audit.OP12_SQL}
