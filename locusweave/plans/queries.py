@@ -249,9 +249,13 @@ def block_clt_z(spark, sf_dir):
     return testing.clt_z(scores(held, exons), hits.null_moments(held, hits.best_hits(held, "K"), exons)).select(*GROUP, six("z"))
 
 
-def _tree(spark, sf_dir, observed=True):
+def _leaves(spark, sf_dir, observed=True):
     placed = written(data.mutual(spark, sf_dir, observed), "hits")
-    leaves = written(tree.numbered_leaves(placed, observed), "leaves")
+    return placed, written(tree.numbered_leaves(placed, observed), "leaves")
+
+
+def _tree(spark, sf_dir, observed=True):
+    placed, leaves = _leaves(spark, sf_dir, observed)
     exons = data.exons(spark, sf_dir)
     return placed, exons, tree.scored_nodes(leaves, exons, hits.best_hits(placed, "K"))
 
@@ -259,7 +263,7 @@ def _tree(spark, sf_dir, observed=True):
 @query()
 def linkage_heights(spark, sf_dir):
     """Merge heights of each chromosome pair's tree."""
-    return _tree(spark, sf_dir)[2].where("child1 >= 0").groupBy("g1chr", "g2chr", "height").agg(F.count("*").alias("merges"))
+    return tree.merge_heights(_leaves(spark, sf_dir)[1])
 
 
 # a block's merges below a height are its hits less the parts that links of such distances leave

@@ -40,6 +40,11 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many partitions as shuffles have, for groups of few bytes and much work: adaptive plans would put them all into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
     """df plus `name`: each row's place, from 0, in the order of the columns `by`; ties in any order.
 

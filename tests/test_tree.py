@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from locusweave.operators import hits, testing, tracks, tree
+from locusweave.operators import hits, linkage, testing, tracks, tree
 
 EXONS = "exonid string, proteinid string, genome string, seqid string, start long, end long, strand string"
 HITS = "qseqid string, sseqid string, K double, g1chr string, g1start long, g1end long, g2chr string, g2start long, g2end long, row_idx long"
@@ -43,10 +43,10 @@ def genome(rng, n=26, inverted=False):
     return exons, rows
 
 
-def nodes_of(spark, exons, rows, observed=False, block=4096):
+def nodes_of(spark, exons, rows, observed=False, tile=1024):
     df, info = spark.createDataFrame(rows, HITS), spark.createDataFrame(exons, EXONS)
     best = hits.best_hits(df, "K")
-    return df, info, best, tree.scored_nodes(tree.numbered_leaves(df, observed), info, best, block)
+    return df, info, best, tree.scored_nodes(tree.numbered_leaves(df, observed), info, best, tile)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -62,10 +62,10 @@ def test_heights_equal_the_naive_method(seed):
         assert {low[child1[k]], high[child2[k]]} == {low[k], high[k]} and high[child1[k]] == low[child2[k]]
 
 
-@pytest.mark.parametrize("block", [3, 16, 64])
-def test_blocks_change_no_edge(spark, block):
+@pytest.mark.parametrize("tile", [3, 16, 64])
+def test_tiles_change_no_edge(spark, tile):
     """The tree of far and near, equal and overlapping hits is that of one block, edge by edge."""
-    rng = random.Random(block)
+    rng = random.Random(tile)
     rows = []
     for pair in range(2):
         for leaf in range(150):
@@ -73,7 +73,8 @@ def test_blocks_change_no_edge(spark, block):
             rows.append((f"x{pair}", "y", leaf, a, a + rng.choice([0, 5, 30, -20]), b, b + 12))
     rows.append(("z", "y", 0, 1, 2, 3, 4))
     leaves = spark.createDataFrame(rows, "g1chr string, g2chr string, leaf long, g1start long, g1end long, g2start long, g2end long")
-    found = tree.linkage(leaves, block).toPandas()
+    found = tree.linkage(leaves, tile).toPandas()
+    assert not found.duplicated(["g1chr", "g2chr", "i", "j"]).any()
     for pair in ("x0", "x1"):
         own = [r for r in rows if r[0] == pair]
         edges = found[found.g1chr == pair].sort_values(["height", "i", "j"])
@@ -94,11 +95,34 @@ def test_blocks_change_no_edge(spark, block):
     assert not len(found[found.g1chr == "z"])
 
 
-def test_few_blocks_meet():
-    """Hits spread over the plane: blocks meet their neighbours, not all others."""
-    rows = [(16 * x + y, 100 * x, 100 * x + 90, 100 * y, 100 * y + 90, 12, [0, 100 * x, 100 * x + 5, 100 * y, 100 * y + 5], [0, 100 * x + 80, 100 * x + 85, 100 * y + 80, 100 * y + 85]) for x in range(16) for y in range(16)]
-    _, met = tree.met_blocks(pd.DataFrame(rows, columns=["own", "lo1", "hi1", "lo2", "hi2", "step", "head", "tail"]))
-    assert len(met) < 0.05 * 256 * 255 / 2
+@pytest.mark.parametrize(("kind", "share"), [("uniform", 0.06), ("diagonal", 0.1), ("clusters", 0.2)])
+def test_few_tiles_meet(kind, share):
+    """Of 40,000 hits in tiles of 256 few pairs of tiles may share an edge, and those that do are among them."""
+    rng, n, far = np.random.default_rng(1), 40_000, 10**7
+    x, y = rng.uniform(0, far, (2, n))
+    if kind == "diagonal":
+        y = np.where(rng.random(n) < 0.2, y, x + rng.normal(0, 2000, n))
+    if kind == "clusters":
+        at = rng.integers(0, 30, n)
+        x, y = (rng.uniform(0, far, 30)[at] + rng.normal(0, far / 200, n) for _ in range(2))
+    places = np.stack([x, x + 90, y, y + 60], 1).astype(np.int64)
+    own = np.zeros(n, np.int64)
+    strips = np.array_split(np.argsort(x), 13)
+    number = 0
+    for strip in strips:
+        for part in np.array_split(strip[np.argsort(y[strip])], 12):
+            own[part] = number
+            number += 1
+    tiles = [places[own == k] for k in range(number)]
+    step = np.array([linkage.spanning_tree(t)[2].max() for t in tiles])
+    lows, highs = np.array([t[:, [0, 2]].min(0) for t in tiles]), np.array([t[:, [1, 3]].max(0) for t in tiles])
+    met = linkage.met_tiles(lows, highs, step, np.array([t[[0, 5, 9, 40, -1, -5, -9, -40]] for t in tiles]))
+    bound = {(a, b): d for a, b, d in zip(*met, strict=True)}
+    assert len(bound) == len(met[0]) < share * number * (number - 1) / 2
+    for _ in range(30):  # edges of the trees of any two tiles that are not met are no longer than the way around
+        a, b = sorted(rng.choice(number, 2, replace=False))
+        gap = np.maximum(0, np.maximum(lows[a], lows[b]) - np.minimum(highs[a], highs[b])).sum()
+        assert (a, b) in bound or gap > max(step[a], step[b])
 
 
 @pytest.mark.parametrize(("n", "leaves"), [(0, 0), (1, 1), (2, 1), (3, 2), (4, 3)])
@@ -119,7 +143,7 @@ def test_micro_tree(spark):
 @pytest.mark.parametrize("inverted", [False, True])
 def test_scores_equal_the_naive_model(spark, inverted):
     exons, rows = genome(random.Random(8), inverted=inverted)
-    _, _, _, nodes = nodes_of(spark, exons, rows, block=5)
+    _, _, _, nodes = nodes_of(spark, exons, rows, tile=5)
     found = nodes.collect()
     table = pd.DataFrame([r.asDict() for r in found])
     best = {}
@@ -149,6 +173,41 @@ def test_scores_equal_the_naive_model(spark, inverted):
             assert (node.genes1, node.genes2) == (len({gene[r[0]] for r in members}), len({gene[r[1]] for r in members}))
 
 
+def test_a_tree_of_many_shapes_equals_the_naive_model():
+    """Random trees with repeated exons, unknown exons, hits off their exons, and hits that run backwards."""
+    turned = 0
+    for seed in range(100):
+        rng = random.Random(seed)
+        many, n, off, back = rng.choice([3, 10, 40]), rng.choice([1, 2, 3, 10, 40]), rng.choice([0, 300, 1000]), rng.choice([0, 0.3, 0.9, 1])
+        exons = [pd.DataFrame([(f"{g}e{k}", a := rng.randrange(40 * many), a + rng.choice([0, 30, 60, 150]), rng.choice([None, rng.random()])) for k in range(many)], columns=["exonid", "start", "end", "best"]).astype({"best": float}) for g in (1, 2)]
+        rows = []
+        for i in range(n):
+            of, places = (rng.randrange(many + 1), rng.randrange(many + 1)), []
+            for side, k in zip(exons, of, strict=True):
+                a = (side.start[k] if k < many else 5) + rng.choice([0, 5, -off, off])
+                b = a + rng.choice([20, 40, 0, 100])
+                places += [b, a] if rng.random() < back else [a, b]
+            rows.append((f"1e{of[0]}", f"2e{of[1]}", rng.random(), *places, of[0] // 3, of[1] // 3, i))
+        table = pd.DataFrame(rows, columns=["qseqid", "sseqid", "K", *linkage.PLACES, "gene1", "gene2", "row_idx"])
+        a, b, h = linkage.spanning_tree(table[linkage.PLACES].to_numpy())
+        nodes = tree.node_rows(table, (np.minimum(a, b), np.maximum(a, b), h), *exons)
+        turned += int(((nodes.g1lo > nodes.g1hi) & (nodes.child1 >= 0)).sum())
+        at = {nodes.leaf_lo[k]: rows[k] for k in range(n)}
+        for node in nodes.itertuples():
+            members = [at[x] for x in range(node.leaf_lo, node.leaf_hi)]
+            used = {m[0] for m in members} | {m[1] for m in members}
+            free = []
+            for side, c in zip(exons, (3, 5), strict=True):
+                low, high = sorted((min(m[c] for m in members), max(m[c + 1] for m in members)))
+                free.append([e for e in side.itertuples() if e.start < e.end and low < high and e.start < high and e.end > low and e.exonid not in used])
+            hit = [sum(e.best == e.best for e in f) for f in free]
+            assert (node.n_a, node.n_u1, node.n_u2, node.n_u1_hit, node.n_u2_hit) == (len(used), *map(len, free), *hit)
+            assert (node.genes1, node.genes2) == (len({m[7] for m in members}), len({m[8] for m in members}))
+            assert node.sum_k == pytest.approx(sum(m[2] for m in members)) and node.conservation == pytest.approx(len(used) / (1 + sum(hit)))
+            assert node.score == pytest.approx(2 * sum(m[2] for m in members) - sum(e.best for f in free for e in f if e.best == e.best))
+    assert turned > 20
+
+
 def naive_walk(table, alpha, threshold):
     """The observed search over one table of nodes, with a running count of tests."""
     pairs = {k: p.sort_values("node_id").reset_index(drop=True) for k, p in table.groupby(["g1chr", "g2chr"])}
