@@ -53,9 +53,14 @@ IBANS = {
     23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
     28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
 }
-NAME = r"(?:\p{Lu}(?:\p{Ll}|-(?=\p{L})|['’](?!s(?!\p{L}))(?=\p{L})|(?<=[\p{Ll}'’-])\p{Lu}(?=\p{Ll})){1,24}|\p{Lu}{2,25})(?!\p{L})"
+#: Cards: unbroken, or in the groups that issuers print, of one separator.
+GROUPED = "|".join(rf"[0-9]{{4}}{x}(?:[0-9]{{4}}{x}[0-9]{{4}}{x}[0-9]{{4}}(?:{x}[0-9]{{3}})?|[0-9]{{6}}{x}[0-9]{{4,5}})" for x in " -")
+UNBROKEN = "[0-9]{12,19}"
+NAME = r"(?:\p{Lu}(?:\p{Ll}|-(?=\p{L})|['’](?!s(?!\p{L}))(?=\p{L})|(?<=[\p{Ll}'’-])(?!TITLE)\p{Lu}(?=\p{Ll})){1,24}|\p{Lu}{2,25})(?:(?!\p{L})|(?<=\p{Ll})(?=TITLE))"
 # What may stand before a family name.
 LEAD = r"(?:\p{Lu}\. ?|(?:van|von|vom|zu|der|den|de|del|della|di|da|dos|du|la|le|bin|ibn|al) ){0,3}"
+# Country codes of one and two digits; all others have three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Seven digits or more after a plus sign; three groups; a trunk prefix, in brackets or not, and six to eight digits after the area's.
 SEVEN = r"(?=(?:[ .()-]{0,3}[0-9]){7})"
 PHONE = "|".join((
@@ -66,6 +71,7 @@ PHONE = "|".join((
     r"(?=0[1-9])(?<![\p{L}\p{N}+.,/-])0[1-9][0-9]{1,3}[ /-](?=(?:[ -]?[0-9]){6,8}(?![ -]?[0-9]))[0-9]{2,8}(?:[ -][0-9]{2,4}){0,3}(?![\p{L}\p{N}]|[.,/-][0-9])",
 ))
 TITLES = "|".join(sorted(FEMALE + MALE + NEUTRAL, key=len, reverse=True))
+NAME = NAME.replace("TITLE", rf"(?:{TITLES})\. ")  # a title may follow a name without a blank
 TITLE = rf"(?:(?:{TITLES})\.? )+"
 #: The kinds of mentions and how they look, in order of precedence; a cheap look ahead saves the look behind at most places.
 KINDS = {
@@ -75,11 +81,21 @@ KINDS = {
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?=[0-9])(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
     "ssn": r"(?=[0-9])(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])",
-    "card": r"(?<![\p{L}\p{N}.-])[0-9](?:[ -]?[0-9]){11,18}(?![\p{L}\p{N}])",
+    "card": rf"(?=[0-9])(?<![\p{{L}}\p{{N}}.-])(?:{UNBROKEN}|{GROUPED})(?![\p{{L}}\p{{N}}])",
     "ip6": r"(?=[0-9A-Fa-f]{1,4}:)(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "phone": PHONE,
-    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){TITLE}{LEAD}{NAME}(?: {LEAD}{NAME})?(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?=\p{{Lu}})(?:(?<![\p{{L}}\p{{N}}])|(?<=\p{{Ll}})(?=(?:{TITLES})\. )){TITLE}{LEAD}{NAME}(?: {LEAD}{NAME})?(?!\p{{N}})",
 }
+# Ordinary words that are names as well; without title they are no names.
+ORDINARY = (
+    "abril", "amber", "april", "august", "autumn", "bach", "baker", "berg", "bill", "bishop", "black", "blanc", "brown", "butler", "carter", "christian", "clay", "cook", "cooper", "crystal",
+    "cruz", "dawn", "day", "dean", "drew", "earl", "faith", "fisher", "flores", "forest", "fox", "frank", "fuchs", "gene", "grace", "grant", "gray", "green", "groß", "gross", "guy", "hall",
+    "hill", "holly", "hope", "hunter", "iris", "ivy", "jack", "jay", "john", "joy", "jung", "june", "kaiser", "king", "klein", "knight", "koch", "könig", "kurz", "lang", "lane", "lee",
+    "leblanc", "lily", "long", "luna", "major", "mark", "martin", "mason", "may", "meyer", "miles", "miller", "moon", "neumann", "nick", "noble", "norman", "olive", "page", "park", "parker",
+    "pat", "paris", "pearl", "penny", "petit", "porter", "price", "ray", "reed", "reich", "reyes", "rich", "richter", "rob", "robin", "roman", "rosa", "rose", "ruby", "santa", "schmidt",
+    "schneider", "schwarz", "shepherd", "short", "skip", "sky", "smart", "sommer", "stern", "stone", "sun", "sunny", "taylor", "turner", "victor", "violet", "wagner", "walker", "ward",
+    "weber", "weiß", "west", "white", "will", "winter", "wolf", "wood", "woods", "young",
+)
 # Numbers of card issuers, by leading digits and length.
 ISSUERS = (
     r"^(?:4[0-9]{12}(?:[0-9]{3}){0,2}|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}"
@@ -180,7 +196,7 @@ def _candidates(text: Column, shape: str, border: str = NOT_IN_WORD) -> Column:
 
 
 def pattern_of(text: Column) -> Column:
-    """The pattern of a text's mentions; its valid numbers of cards (longer ones first) and accounts are alternatives as they stand."""
+    """The pattern of a text's mentions; its valid grouped numbers of cards (longer ones first) and accounts are alternatives as they stand."""
     none = F.array().cast("array<string>")
     sized = []
     for n, countries in IBANS.items():
@@ -190,14 +206,16 @@ def pattern_of(text: Column) -> Column:
     ibans = F.concat(_candidates(text, "|".join(sized)), _candidates(text, other))
     ibans = F.when(text.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), F.filter(F.array_distinct(ibans), _is_iban)).otherwise(none)
     border = r"(?<![\p{L}\p{N}.-])"
-    cards = F.concat(*[_candidates(text, rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}", border) for n in range(19, 11, -1)])
-    cards = F.when(text.rlike(r"[0-9](?:[ -]?[0-9]){11}"), F.filter(F.array_distinct(cards), _is_card)).otherwise(none)
+    # a group that starts no card may be part of one, unlike a number that stands alone
+    shapes = [rf"[0-9]{{4}}{x}{rest}" for x in " -" for rest in (rf"[0-9]{{4}}{x}[0-9]{{4}}{x}[0-9]{{4}}{x}[0-9]{{3}}", rf"[0-9]{{4}}{x}[0-9]{{4}}{x}[0-9]{{4}}", rf"[0-9]{{6}}{x}[0-9]{{5}}", rf"[0-9]{{6}}{x}[0-9]{{4}}")]
+    cards = F.concat(*[_candidates(text, shape, border) for shape in shapes])
+    cards = F.when(text.rlike(f"(?<![0-9])(?:{GROUPED})"), F.filter(F.array_distinct(cards), _is_card)).otherwise(none)
 
     def among(numbers: Column, border: str) -> Column:
         return F.when(F.size(numbers) > 0, F.concat(F.lit(f"(?:{border}(?:"), F.array_join(numbers, "|"), F.lit(f"){AFTER_NUMBER})|"))).otherwise(F.lit(""))
 
     joined = lambda kinds: "|".join(f"(?:{p})" for p in kinds.values())
-    return F.concat(F.lit(joined(BEFORE) + "|"), _let(ibans, lambda x: among(x, NOT_IN_WORD)), _let(cards, lambda x: among(x, border)), F.lit(joined(AFTER)))
+    return F.concat(F.lit(joined(BEFORE) + "|"), _let(ibans, lambda x: among(x, NOT_IN_WORD)), _let(cards, lambda x: among(x, f"(?=[0-9]){border}")), F.lit(f"(?:(?=[0-9]){border}{UNBROKEN}{AFTER_NUMBER})|"), F.lit(joined(AFTER)))
 
 
 def _script(name: Column) -> Column:
@@ -209,6 +227,12 @@ def name_words(surface: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(surface, f"^{TITLE}", ""), F.lit(NAME), F.lit(0))
 
 
+def _phone(surface: Column) -> Column:
+    """A phone's digits; those of North America without country code, others that have one after a plus sign."""
+    digits = F.regexp_replace(_digits(surface), "^1(?=[0-9]{10}$)", "")
+    return F.when(surface.startswith("+") & ~_digits(surface).startswith("1"), F.concat(F.lit("+"), digits)).otherwise(digits)
+
+
 SECRET_LEAD = r"^([^=:]*[=:]\s*[\"']?)"
 
 
@@ -223,7 +247,7 @@ def keys_of(surface: Column, kind: Column) -> Column:
     value = F.regexp_replace(surface, SECRET_LEAD, "")
     one = (
         F.when(kind.isin("card", "ssn"), _digits(surface))
-        .when(kind == "phone", F.regexp_replace(_digits(surface), "^1(?=[0-9]{10}$)", ""))  # with or without country code
+        .when(kind == "phone", _phone(surface))
         .when(kind.isin("email", "ip6"), F.lower(surface))
         .when(kind == "iban", F.regexp_replace(surface, " ", ""))
         .when(kind == "secret", F.when(value.rlike("^[0-9a-fA-F]+$"), F.lower(value)).otherwise(value))
@@ -284,7 +308,9 @@ def surrogate(kind: Column, value: Column, attempt: Column, stream: Column, doma
     digits = F.substr(_mapped(F.repeat(F.lit("0"), 200), F.reverse(stream)), F.lit(1), late)
     national = n - 10
     phone = F.when(national >= 0, F.concat(F.substr(value, F.lit(1), national), _pick("23456789", _byte(stream, 40)), F.substr(drawn, national + 2, F.lit(2)), _pick("23456789", _byte(stream, 41)), F.substr(drawn, national + 5))).otherwise(F.concat(F.substr(value, F.lit(1), F.lit(2)), F.substr(drawn, F.lit(3))))
-    phone = F.concat(phone, digits)
+    code = F.length(F.regexp_extract(F.substr(value, F.lit(2)), COUNTRY, 0)) + 1
+    abroad = F.concat(F.substr(value, F.lit(1), code), _pick("23456789", _byte(stream, 40)), F.substr(drawn, code + 2))
+    phone = F.concat(F.when(value.startswith("+"), abroad).otherwise(phone), digits)
     issuer = F.when(value.startswith("4"), 1).otherwise(4)
     body = F.concat(F.substr(value, F.lit(1), issuer), F.substr(drawn, issuer + 1, n - 1 - issuer), digits)
     card = F.concat(body, ((10 - luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
@@ -351,21 +377,40 @@ def mentions(text: Column) -> Column:
 
 
 def _untitled(pieces: Column) -> Column:
-    """pieces with the words of titled names, in capitals too, found where they stand alone."""
-    spelt = lambda x: F.zip_with(name_words(x["surface"]), x["keys"], lambda w, k: F.struct(w.alias("word"), k.alias("key")))
-    capitals = lambda x: F.transform(F.filter(x, lambda n: F.length(n["word"]) > 2), lambda n: F.struct(F.upper(n["word"]).alias("word"), n["key"].alias("key")))
+    """pieces with the words of titled names, in capitals too, and the digits of numbers found where they stand alone.
+
+    A word that the text has in lower case as well, or that is an ordinary one, is
+    no name without title.
+    """
+    spelt = lambda x: F.zip_with(name_words(x["surface"]), x["keys"], lambda w, k: F.struct(w.alias("word"), x["kind"].alias("kind"), k.alias("key")))
+    capitals = lambda x: F.transform(F.filter(x, lambda n: F.length(n["word"]) > 2), lambda n: F.struct(F.upper(n["word"]).alias("word"), n["kind"].alias("kind"), n["key"].alias("key")))
     words = lambda x: _let(spelt(x), lambda found: F.concat(found, capitals(found)))
-    known = F.array_distinct(F.flatten(F.transform(F.filter(pieces, lambda x: x["kind"] == "name"), words)))
+    named = F.array_distinct(F.flatten(F.transform(F.filter(pieces, lambda x: x["kind"] == "name"), words)))
 
-    def found(names: Column) -> Column:
+    def known(names: Column) -> Column:
+        plain = F.flatten(F.transform(F.filter(pieces, lambda x: x["kind"].isNull()), lambda x: F.regexp_extract_all(x["surface"], F.lit(rf"{NOT_IN_WORD}\p{{Ll}}[\p{{Ll}}'’-]*{AFTER_NUMBER}"), F.lit(0))))
+        low = F.transform(names, lambda n: F.lower(n["word"]))
+        ordinary = F.concat(F.array_intersect(low, F.array(*map(F.lit, ORDINARY))), F.array_intersect(low, plain))
+        return F.when(F.size(names) > 0, _let(ordinary, lambda x: F.filter(names, lambda n: ~F.array_contains(x, F.lower(n["word"]))))).otherwise(names)
+
+    def digits(x: Column) -> Column:
+        one = lambda word: F.struct(word.alias("word"), x["kind"].alias("kind"), x["keys"][0].alias("key"))
+        return _let(_digits(x["surface"]), lambda d: F.array(one(d), one(F.regexp_replace(d, "^1(?=[0-9]{10}$)", "")), one(F.concat(F.when((x["kind"] == "phone") & d.rlike("^[2-9][0-9]{9}$"), "1").otherwise(""), d))))
+
+    numbers = F.array_distinct(F.flatten(F.transform(F.filter(pieces, lambda x: x["kind"].isin("phone", "card", "ssn")), digits)))
+
+    def pattern(names: Column, begins: str) -> Column:
         longest = F.reverse(F.array_sort(F.array_distinct(F.transform(names, lambda n: n["word"]))))  # a word before its beginnings
-        pattern = F.concat(F.lit(f"{NOT_IN_WORD}(?:"), F.array_join(longest, "|"), F.lit(f"){AFTER_NUMBER}"))
-        key = lambda s: F.element_at(F.filter(names, lambda n: n["word"] == s), 1)["key"]
-        name = lambda s: F.struct(s.alias("surface"), F.lit("name").alias("kind"), F.array(key(s)).alias("keys"))
-        each = lambda pattern: F.flatten(F.transform(pieces, lambda x: F.when(x["kind"].isNull(), _cut(x["surface"], pattern, name)).otherwise(F.array(x))))
-        return F.when(F.size(names) > 0, _let(pattern, each)).otherwise(pieces)
+        return F.when(F.size(names) > 0, F.concat(F.lit(f"(?={begins}){NOT_IN_WORD}(?:"), F.array_join(longest, "|"), F.lit(f"){AFTER_NUMBER}")))
+
+    def found(names: Column, begins: str, pieces: Column) -> Column:
+        of = lambda s: F.element_at(F.filter(names, lambda n: n["word"] == s), 1)
+        mention = lambda s: _let(of(s), lambda n: F.struct(s.alias("surface"), n["kind"].alias("kind"), F.array(n["key"]).alias("keys")))
+        each = lambda pattern: F.flatten(F.transform(pieces, lambda x: F.when(x["kind"].isNull() & x["surface"].rlike(begins), _cut(x["surface"], pattern, mention)).otherwise(F.array(x))))
+        return F.when(F.size(names) > 0, _let(pattern(names, begins), each)).otherwise(pieces)
 
-    return _let(known, found)
+    with_names = _let(_let(named, known), lambda names: found(names, r"\p{Lu}", pieces))
+    return _let(with_names, lambda pieces: _let(numbers, lambda numbers: found(numbers, "[0-9]", pieces)))
 
 
 def redrawn(keys: DataFrame, p: Surrogates) -> DataFrame:
@@ -415,7 +460,7 @@ def _written(x: Column) -> Column:
     return (
         F.when(kind.isNull(), surface)
         .when(kind.isin("card", "ssn", "iban"), _woven(surface, new[0]))
-        .when(kind == "phone", _woven(surface, F.concat(F.when(_digits(surface).rlike("^1[0-9]{10}$"), "1").otherwise(""), new[0])))
+        .when(kind == "phone", _woven(surface, F.concat(F.when(_digits(surface).rlike("^1[0-9]{10}$"), "1").otherwise(""), F.ltrim(new[0], F.lit("+")))))
         .when(kind.isin("email", "ip6"), cased)
         .when(kind == "secret", F.concat(lead, secret))
         .when(kind == "name", F.concat(title, F.when(rest.rlike(r"^\p{Lu}{3,}$"), F.upper(names)).otherwise(names)))
