@@ -41,10 +41,12 @@ def main(args: list[str] | None = None) -> int:
         exons = synteny.exons_of(spark, config, not asked.intended)
         writers.write_fasta(exons.selectExpr("exonid AS id", "seq"), f"{config.outdir}/exons.fasta")
         writers.write_table(exons.drop("seq", "number"), f"{config.outdir}/exons.info", header="exons")
+        clear(spark)
         return 0
     analysis = synteny.run(spark, config, not asked.intended, tuple(asked.hits) if asked.hits else None)
     if asked.action == "hits":
         writers.write_pairs(analysis.hits, f"{config.outdir}/hits")
+        writers.write_trees(analysis.nodes, f"{config.outdir}/trees")
         writers.write_manifest(writers.pair_manifest(analysis.hits, f"{config.outdir}/hits", f"{config.outdir}/trees"), f"{config.outdir}/pairs")
         clear(spark)
         return 0
@@ -53,8 +55,8 @@ def main(args: list[str] | None = None) -> int:
         for name, text in synteny.plots(spark, config, analysis).items():
             text.write.text(f"{config.outdir}/{name}")
     if asked.action == "plot":
-        for name, text in zip(("plot.conf", "plot.svg"), synteny.drawing(spark, config, analysis), strict=True):
-            spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{config.outdir}/{name}")
+        for name, texts in synteny.drawings(spark, config, analysis).items():
+            texts.write.partitionBy("chr").text(f"{config.outdir}/{name}")
     clear(spark)
     return 0
 

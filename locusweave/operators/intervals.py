@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusweave.storage import running
+
 
 def overlapping(regions: DataFrame, features: DataFrame, keys: list[str], width: int = 1 << 14) -> DataFrame:
     """Pairs of regions (lo, hi) and features (start, end) of equal keys that overlap, both half-open.
@@ -22,12 +24,19 @@ def overlapping(regions: DataFrame, features: DataFrame, keys: list[str], width:
 
 
 def depth(regions: DataFrame, key: str) -> DataFrame:
-    """(key, start, end, depth): runs of equal coverage by half-open regions (start, end), where there is any."""
+    """(key, start, end, depth): runs of equal coverage by half-open regions (start, end), where there is any.
+
+    Steps are added up where they are before they are dealt, and running sums are
+    carried from range to range, so a key's positions spread over tasks. The end of a
+    run is the next step's place, which the last step of a range gets from the
+    first one after it.
+    """
     edges = regions.where("start < end").select(key, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step")))).alias("e"))
     steps = edges.groupBy(key, F.col("e.at").alias("at")).agg(F.sum("e.step").alias("step"))
-    order = Window.partitionBy(key).orderBy("at")
-    runs = steps.withColumn("depth", F.sum("step").over(order)).withColumn("end", F.lead("at").over(order))
-    return runs.where("depth > 0").select(key, F.col("at").alias("start"), "end", "depth")
+    runs = running(steps, [key], ["at"], {"depth": F.col("step"), "place": F.lit(1)}).drop("step")
+    after = runs.select(F.col(key).alias("_key"), (F.col("place") - 1).alias("_place"), F.col("at").alias("end"))
+    met = runs.where("depth > 0").join(after, F.col(key).eqNullSafe(F.col("_key")) & (F.col("place") == F.col("_place")))
+    return met.select(key, F.col("at").alias("start"), "end", "depth")
 
 
 def covered(regions: DataFrame, key: str) -> DataFrame:

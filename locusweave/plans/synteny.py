@@ -71,29 +71,25 @@ def run(spark: SparkSession, config: Config, observed: bool = True, tables: tupl
     return clusters(exons, ab, ba, config.p, config.cons_thresh, observed)
 
 
-def drawing(spark: SparkSession, config: Config, analysis: Analysis, most: int = 20_000) -> tuple[str, str]:
-    """(configuration, svg): the text of a plot configuration over the tracks, and a plain drawing of the `most` best clusters.
+def contigs(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
+    """(id, length) of each genome's contigs."""
+    return {key: readers.fasta(spark, genome.genome).select("id", F.length("seq").alias("length")) for key, genome in config.genomes.items()}
 
-    A drawing is one picture of named contigs and significant clusters, so these reach the driver.
-    """
-    names = {k: g.name for k, g in config.genomes.items()}
-    lengths: dict[str, int] = {}
-    for key, genome in sorted(config.genomes.items()):
-        contigs = readers.fasta(spark, genome.genome).select("id", F.length("seq").alias("n")).orderBy("id")
-        lengths |= {f"{names[key]}_{r.id}": r.n for r in contigs.limit(most).collect()}
-    best = analysis.clusters.orderBy("pvalue", F.desc("score"), "chrA", "chrB", "clusterID").limit(most).collect()
-    links = [(f"{names[GENOME_1]}_{c.chrA}", c.startA, c.endA, f"{names[GENOME_2]}_{c.chrB}", c.startB, c.endB) for c in best]
-    text = tracks.plot_configuration(list(lengths), [f"karyotype.{k}" for k in sorted(config.genomes)], "genes", "links")
-    return text, tracks.svg(lengths, links)
+
+def drawings(spark: SparkSession, config: Config, analysis: Analysis) -> dict[str, DataFrame]:
+    """(chr, value) by name: a plot configuration over the tracks, and a plain picture, for each chromosome of genome 1 that has hits."""
+    names = (config.genomes[GENOME_1].name, config.genomes[GENOME_2].name)
+    of, pairs = contigs(spark, config), analysis.hits.select("g1chr", "g2chr").distinct()
+    texts = tracks.configurations(pairs, names, [f"karyotype.{k}" for k in sorted(config.genomes)], "genes", "links")
+    return {"plot.conf": texts, "plot.svg": tracks.pictures(analysis.clusters, pairs, (of[GENOME_1], of[GENOME_2]), names)}
 
 
 def plots(spark: SparkSession, config: Config, analysis: Analysis) -> dict[str, DataFrame]:
     """Track texts by name."""
     names = {k: g.name for k, g in config.genomes.items()}
     out = {}
-    for key, genome in config.genomes.items():
-        contigs = readers.fasta(spark, genome.genome).select("id", F.length("seq").alias("length"))
-        out[f"karyotype.{key}"] = tracks.karyotype(contigs, genome.name)
+    for key, rows in contigs(spark, config).items():
+        out[f"karyotype.{key}"] = tracks.karyotype(rows, config.genomes[key].name)
     out["genes"] = tracks.gene_track(analysis.exons, names)
     out["exons"] = tracks.exon_track(analysis.exons, names)
     out["links"] = tracks.link_track(analysis.clusters, (names[GENOME_1], names[GENOME_2]))

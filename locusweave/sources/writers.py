@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusweave.operators.tree import leaves_of
+
 
 def wrapped(seq: Column, width: int = 80) -> Column:
     """A sequence with a line break after each `width` letters."""
@@ -35,6 +37,22 @@ def write_tree(nodes: DataFrame, path: str) -> None:
     rows.write.option("sep", "\t").option("header", True).option("quote", "").option("comment", "\u0001").csv(path)
 
 
+def tree_text(nodes: DataFrame) -> DataFrame:
+    """(g1chr, g2chr, node_id, value): the line of each node of scored trees, as `write_tree` has it; a heading line of each tree has node -1."""
+    keys = ["g1chr", "g2chr", "node_id"]
+    leaves = leaves_of(nodes, nodes).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("leaf")), ",").alias("leaves"))
+    lines = nodes.join(leaves, keys).select(*keys, F.format_string("%d\t%d\t%s", "child1", "child2", "leaves").alias("value"))
+    heads = nodes.where("root").select("g1chr", "g2chr", F.lit(-1).cast("long").alias("node_id"), F.lit("#child1\tchild2\tleaves").alias("value"))
+    return heads.unionByName(lines)
+
+
+def write_trees(nodes: DataFrame, path: str) -> None:
+    """Scored trees, a folder for each chromosome pair; lines in order of nodes, in parts that follow each other."""
+    order = ["g1chr", "g2chr", "node_id"]
+    lines = tree_text(nodes).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines.select("g1chr", "g2chr", "value").write.partitionBy("g1chr", "g2chr").text(path)
+
+
 def write_pairs(genomic: DataFrame, path: str) -> None:
     """Genomic hits, a folder for each chromosome pair that has any."""
     genomic.write.partitionBy("g1chr", "g2chr").parquet(path)

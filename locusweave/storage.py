@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,27 @@ def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
     return dealt.join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + within - 1).drop("_range", "_before")
 
 
+def running(df: DataFrame, keys: list[str], by: list[str], sums: dict[str, Column]) -> DataFrame:
+    """df plus running sums, by name, of each key's rows in the order of `by`, the row's own value included.
+
+    Rows are dealt to ranges of keys and order and added up there; a range's totals
+    are carried on to the ranges after it, so a key's rows spread over tasks. Rows
+    equal in keys and order stay in one range, and are added up in any order.
+    """
+    named = df.withColumns({f"_of_{c}": x for c, x in sums.items()})
+    dealt = written(named.repartitionByRange(*keys, *by).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_range", *keys).agg(*[F.sum(f"_of_{c}").alias(f"_all_{c}") for c in sums])
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col("_range").alias("_in"), *[F.col(k).alias(f"_key_{k}") for k in keys], *[F.coalesce(F.sum(f"_all_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums])
+    within = Window.partitionBy("_range", *keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = dealt.withColumns({f"_within_{c}": F.sum(f"_of_{c}").over(within) for c in sums})
+    same = F.col("_range") == F.col("_in")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    found = found.join(before, same)
+    return found.select(*df.columns, *[(F.col(f"_before_{c}") + F.col(f"_within_{c}")).alias(c) for c in sums])
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all that this application has written; call it once no result is needed any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))

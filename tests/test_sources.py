@@ -108,6 +108,35 @@ def test_tracks(spark):
     assert tracks.svg({"n_a": 10, "m_b": 20}, [("n_a", 1, 2, "m_b", 3, 4)]).count("<path") == 3
 
 
+def test_a_plot_for_each_chromosome(spark):
+    pairs = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "g1chr string, g2chr string")
+    texts = {r.chr: r.value for r in tracks.configurations(pairs, ("n", "m"), ["k1", "k2"], "genes", "links").collect()}
+    assert texts == {c: tracks.plot_configuration([f"n_{c}", "m_x", "m_y"], ["k1", "k2"], "genes", "links") for c in "ab"}
+    sides = (spark.createDataFrame([("a", 2_000_000), ("b", 500), ("c", 9)], "id string, length long"), spark.createDataFrame([("x", 10), ("y", 0), ("z", 7)], "id string, length long"))
+    clusters = spark.createDataFrame([("a", "x", 1000 * k, 1000 * k + 900, 3, 5) for k in range(3)] + [("a", "x", 1001, 1899, 3, 5), ("b", "x", 4, 90, 1, 2)], "chrA string, chrB string, startA long, endA long, startB long, endB long")
+    drawn = {r.chr: r.value for r in tracks.pictures(clusters, pairs, sides, ("n", "m")).collect()}
+    assert {c: (v.count('fill="red"'), v.count("<text")) for c, v in drawn.items()} == {"a": (3, 3), "b": (1, 2)}
+
+
+def test_trees_of_an_analysis_are_read_back(spark, tmp_path):
+    """Written in parts, a folder for each pair, and read again as the leaves below every node."""
+    from .test_tree import genome, nodes_of
+
+    import random
+
+    exons, rows = genome(random.Random(3), 40)
+    nodes = nodes_of(spark, exons, rows, tile=7)[3].cache()
+    writers.write_trees(nodes, f"file://{tmp_path}/trees")
+    manifest = writers.pair_manifest(nodes, "h", f"file://{tmp_path}/trees").collect()
+    table = [r.asDict() for r in nodes.collect()]
+    assert len(manifest) > 2
+    for r in manifest:
+        own = [n for n in table if (n["g1chr"], n["g2chr"]) == (r.chrA, r.chrB)]
+        at = {n["leaf_lo"]: n["node_id"] for n in own if n["child1"] < 0}
+        want = [(n["node_id"], n["child1"], n["child2"], sorted(at[x] for x in range(n["leaf_lo"], n["leaf_hi"]))) for n in own]
+        assert sorted(map(tuple, readers.tree(spark, r.dendrogramfile).collect())) == sorted(want)
+
+
 GOOD = {"genomes": {f"genome_{k}": {"name": f"n{k}", "genome": f"g{k}", "gff": f"a{k}"} for k in (1, 2)}}
 
 
@@ -170,5 +199,6 @@ def test_command_line(spark, tmp_path, capsys):
     raw["outdir"] = str(tmp_path / "hits_out")
     path.write_text(json.dumps(raw))
     assert cli.main([str(path), "-a", "hits"]) == 0
-    assert readers.pair_manifest(spark, str(tmp_path / "hits_out" / "pairs")).count() == 1
+    manifest = readers.pair_manifest(spark, str(tmp_path / "hits_out" / "pairs")).collect()
+    assert len(manifest) == 1 and readers.tree(spark, manifest[0].dendrogramfile).count() > 1
     assert cli.main([str(tmp_path / "none.json")]) == 1 and "doesn't exist" in capsys.readouterr().err

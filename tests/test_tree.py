@@ -5,6 +5,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
+from locusweave import storage
 from locusweave.operators import hits, linkage, testing, tracks, tree
 
 EXONS = "exonid string, proteinid string, genome string, seqid string, start long, end long, strand string"
@@ -241,21 +244,25 @@ def naive_walk(table, alpha, threshold):
         now = sorted(found)
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_walk_equals_the_naive_model(spark, seed):
-    rng = random.Random(seed)
+def forest(rng, pairs, most, small):
+    """Random trees with random tests; `small` is the size of small p values."""
     parts = []
-    for pair in (("a", "x"), ("b", "x"), ("b", "y")):
-        n = rng.randint(1, 12)
+    for pair in pairs:
+        n = rng.randint(1, most)
         h = [rng.randrange(9) for _ in range(n - 1)]
         child1, child2, height = tree.merged(n, np.arange(n - 1), np.arange(1, n), np.array(h, np.int64))
         low, high = tree.positions(child1, child2)
         k = len(child1)
         eligible = [c >= 0 and rng.random() < 0.8 for c in child1]
         z = [rng.choice([float("inf"), 1.0, 3.0, 2.0]) if e else 0.0 for e in eligible]
-        p = [0.0 if x == float("inf") else rng.choice([1e-4, 0.004, 0.3]) if e else 1.0 for x, e in zip(z, eligible, strict=True)]
+        p = [0.0 if x == float("inf") else rng.choice([small / 40, small * rng.random(), 0.3]) if e else 1.0 for x, e in zip(z, eligible, strict=True)]
         parts.append(pd.DataFrame({"g1chr": pair[0], "g2chr": pair[1], "node_id": range(k), "child1": child1, "child2": child2, "z": z, "p": p, "eligible": eligible, "leaf_lo": low, "leaf_hi": high}))
-    table = pd.concat(parts)
+    return pd.concat(parts)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_walk_equals_the_naive_model(spark, seed):
+    table = forest(random.Random(seed), [("a", "x"), ("b", "x"), ("b", "y")], 12, 0.004)
     df = spark.createDataFrame(table)
     want, tests = naive_walk(table, 0.05, 1)
     got = testing.significant(df, 0.05).collect()
@@ -292,10 +299,49 @@ def test_tests_and_clusters(spark):
         assert r.clusterID == -1 or r.clusterID >= 0
 
 
-def test_too_many_nodes_raise(spark):
-    df = spark.createDataFrame([("a", "b", k, -1, -1, 0.0, 1.0, False, k, k + 1) for k in range(5)], "g1chr string, g2chr string, node_id long, child1 long, child2 long, z double, p double, eligible boolean, leaf_lo long, leaf_hi long")
-    with pytest.raises(ValueError, match="intended"):
-        testing.significant(df, most=4)
+@pytest.mark.parametrize("seed", range(3))
+def test_walk_of_each_pair_in_its_own_task(spark, seed):
+    """Counts that are chained over pairs give what the naive model counts one by one."""
+    table = forest(random.Random(100 + seed), [(a, b) for a in "abcd" for b in "xyz"], 30, 0.03)
+    df = spark.createDataFrame(table)
+    want, tests = naive_walk(table, 0.05, 1)
+    for most in (0, 10**6):
+        got = testing.significant(df, 0.05, most=most).collect()
+        assert {(r.g1chr, r.g2chr, r.node_id) for r in got} == want and all(r.tests == tests for r in got)
+
+
+def test_a_round_says_for_which_counts_it_is_the_same():
+    rng = random.Random(4)
+    for _ in range(40):
+        table = forest(rng, [("a", "x")], 12, 0.04)
+        start = rng.randint(1, 40)
+        walk = testing.Walk(table)
+        found, after = walk.round([walk.root], 0.05, start)
+        same = []
+        for other in range(1, 80):
+            w = testing.Walk(table)
+            same.append((w.round([w.root], 0.05, other) == (found, other + after - start), walk.low <= other <= walk.high))
+        assert same[start - 1] == (True, True) and all(alike for alike, within in same if within)
+
+
+def test_most_tests():
+    for p in (0.05, 1e-9, 0.3, 0.01, 1.0, 5e-324, 0.05 / 3):
+        n = testing.most_tests(p, 0.05)
+        assert n == testing.NEVER or (p * (n + 1) >= 0.05 and (n < 0 or p * n < 0.05))
+    assert testing.most_tests(0.0, 0.05) == testing.NEVER and testing.most_tests(float("nan"), 0.05) == -1
+
+
+@pytest.mark.parametrize("shape", ["one key", "many"])
+def test_running_sums(spark, shape):
+    rng = random.Random(3)
+    rows = [("k" if shape == "one key" else f"k{rng.randrange(9)}", i, rng.randint(-5, 9)) for i in range(3000)]
+    want, sums = {}, {}
+    for k, i, v in rows:
+        sums[k] = sums.get(k, 0) + v
+        want[i] = sums[k]
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(7)
+    assert {r.i: r.upto for r in storage.running(df, ["k"], ["i"], {"upto": F.col("v")}).collect()} == want
+    assert storage.running(df.limit(0), ["k"], ["i"], {"upto": F.col("v")}).count() == 0
 
 
 def pool_rows(spark, a, u1, u2):
