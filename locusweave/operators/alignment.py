@@ -1,4 +1,4 @@
-"""Protein alignment: shared words find pairs of sequences, each pair is aligned locally.
+"""Protein alignment: like words on one diagonal find pairs of sequences, each pair is aligned locally.
 
 This stands in for an external aligner, whose tables can be read instead
 (sources.readers.hits). Expectation values follow the usual formula with fixed
@@ -8,13 +8,17 @@ parameters, so they are near to such tools', not equal.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache, reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusweave.storage import written
+
 # Half-bit substitution scores, residues in the order of LETTERS, lower triangle by rows (the public BLOSUM62 matrix).
 LETTERS = "ARNDCQEGHILKMFPSTWYV"
 BLOSUM62 = """
@@ -129,21 +133,87 @@ def seeds(queries: DataFrame, subjects: DataFrame, word: int = 4, least: int = 2
     return met.groupBy("qseqid", "sseqid").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).drop("shared")
 
 
-def aligned(queries: DataFrame, subjects: DataFrame, word: int = 4, least: int = 2, evalue: float = 10.0) -> DataFrame:
-    """Hits of queries against subjects (id, seq) in the columns of an alignment table: all alignments up to the expectation value of each pair that shares `least` words of `word` letters.
+#: Letters of a word that seeds an alignment.
+WORD = 3
+
+
+@cache
+def word_neighbours(threshold: int) -> pd.DataFrame:
+    """(word, near): words of WORD letters and those that score at least `threshold` with them."""
+    letters = np.frombuffer(LETTERS.encode(), np.uint8)
+    one = SCORES[letters[:, None], letters[None]].astype(np.int8)
+    n = len(letters)
+    total = one
+    for _ in range(WORD - 1):  # scores of words of one letter more
+        total = (total[:, None, :, None] + one[None, :, None, :]).reshape(total.shape[0] * n, -1)
+    spelt = np.array(["".join(x) for x in product(LETTERS, repeat=WORD)])
+    a, b = np.nonzero(total >= threshold)
+    return pd.DataFrame({"word": spelt[a], "near": spelt[b]})
+
+
+def word_places(rows: DataFrame) -> DataFrame:
+    """(id, at, word): the words of sequences and their first places, from 1."""
+    starts = F.when(F.length("seq") >= WORD, F.sequence(F.lit(1), F.length("seq") - (WORD - 1)))
+    return rows.select("id", F.upper("seq").alias("seq"), F.explode(starts).alias("at")).select("id", "at", F.substr("seq", F.col("at"), F.lit(WORD)).alias("word"))
+
+
+def diagonal_seeds(queries: DataFrame, subjects: DataFrame, threshold: int = 11, window: int = 40, crowd: int = 100_000) -> DataFrame:
+    """(qseqid, sseqid, diagonals): pairs of sequences (id, seq) with two like words on one diagonal, at most `window` letters apart and not overlapping.
+
+    Words are like if they score at least `threshold`; those of the queries are
+    replaced by all that are like them, a table bounded by the alphabet. A word that subjects
+    have more than `crowd` times is spread over salts by their places, so no task
+    gets all places of a word. diagonal: place in the query less that in the subject.
+    """
+    spark = queries.sparkSession
+    near = spark.createDataFrame(word_neighbours(threshold), "word string, near string")
+    found = written(word_places(subjects), "words")
+    counts = found.groupBy("word").count().where(F.length(F.regexp_replace("word", f"[{LETTERS}]", "")) == 0)  # no more than the words there are
+    salts = written(counts.select("word", F.ceil(F.col("count") / crowd).cast("int").alias("salts")), "salts")
+    asked = word_places(queries).join(F.broadcast(near), "word").select(F.col("id").alias("qseqid"), F.col("at").alias("q"), F.col("near").alias("word"))
+    asked = asked.join(F.broadcast(salts), "word").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    dealt = found.join(F.broadcast(salts), "word").select(F.col("id").alias("sseqid"), F.col("at").alias("s"), "word", F.pmod(F.xxhash64("id", "at"), F.col("salts")).cast("int").alias("salt"))
+    met = asked.join(dealt, ["word", "salt"]).groupBy("qseqid", "sseqid", (F.col("q") - F.col("s")).alias("diagonal")).agg(F.array_sort(F.collect_set("q")).alias("at"))
+    # of places in order, those WORD further at most tell whether any two that don't overlap are near
+    apart = lambda i, k: F.get("at", i + k) - F.get("at", i)
+    near_by = lambda i: reduce(lambda x, y: x | y, [F.coalesce(apart(i, k).between(WORD, window), F.lit(False)) for k in range(1, WORD + 1)])
+    two = F.exists(F.sequence(F.lit(0), F.size("at") - 1), near_by)
+    return met.where((F.size("at") > 1) & two).groupBy("qseqid", "sseqid").agg(F.collect_list("diagonal").alias("diagonals"))
+
+
+def ungapped(query: str, subject: str, diagonals: Iterable[int]) -> int:
+    """The best score of an alignment without gaps along some of the diagonals."""
+    a, b = (np.frombuffer(x.upper().encode("latin-1", "replace"), np.uint8) for x in (query, subject))
+    best = 0
+    for d in diagonals:
+        n = min(len(a) - max(d, 0), len(b) - max(-d, 0))
+        sums = np.cumsum(SCORES[a[max(d, 0) :][:n], b[max(-d, 0) :][:n]])
+        low = np.minimum.accumulate(np.concatenate([[0], sums[:-1]]))
+        best = max(best, int((sums - low).max()))
+    return best
+
+
+#: Score without gaps from which a pair is aligned with gaps.
+TRIGGER = 22
+
+
+def aligned(queries: DataFrame, subjects: DataFrame, threshold: int = 11, window: int = 40, evalue: float = 10.0, trigger: int = TRIGGER) -> DataFrame:
+    """Hits of queries against subjects (id, seq) in the columns of an alignment table: all alignments up to the expectation value of each pair with two like words near each other on one diagonal (see `diagonal_seeds`).
 
-    Pairs that share fewer words are not aligned (a parameter: 1 finds more distant
-    ones, at more work), and what crosses a better alignment of its pair is none.
-    Sequences that are null have no hits.
+    Pairs whose diagonals with such words score less than `trigger` without gaps
+    are not aligned with gaps, and what crosses a better alignment of its pair is none.
+    Sequences that are null, or shorter than a word, have no hits. Ids are unique.
     """
     letters = subjects.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("letters"))
     side = lambda df, x: df.select(F.col("id").alias(f"{x}seqid"), F.col("seq").alias(f"{x}seq"))
-    pairs = seeds(queries, subjects, word, least).join(side(queries, "q"), "qseqid").join(side(subjects, "s"), "sseqid").join(F.broadcast(letters))
+    pairs = diagonal_seeds(queries, subjects, threshold, window).join(side(queries, "q"), "qseqid").join(side(subjects, "s"), "sseqid").join(F.broadcast(letters))
 
     def align(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for q, s, qseq, sseq, letters_ in part[["qseqid", "sseqid", "qseq", "sseq", "letters"]].itertuples(index=False):
+            for q, s, qseq, sseq, letters_, diagonals in part[["qseqid", "sseqid", "qseq", "sseq", "letters", "diagonals"]].itertuples(index=False):
+                if ungapped(qseq, sseq, diagonals) < trigger:
+                    continue
                 # the least score whose expectation is small enough
                 least = math.ceil((math.log(max(1.0, KAPPA * len(qseq) * letters_ / evalue))) / LAMBDA)
                 for x in locals_(qseq, sseq, least):
