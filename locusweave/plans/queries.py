@@ -12,7 +12,7 @@ from locusweave.plans import surrogate as data
 from locusweave.plans.surrogate import sql
 from locusweave.schemas import GENOME_1
 from locusweave.sources import readers, writers
-from locusweave.storage import written
+from locusweave.storage import numbered, written
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -348,10 +348,12 @@ def exon_track(spark, sf_dir):
     return tracks.exon_track(data.exons(spark, sf_dir), NAMES)
 
 
-@query(sql("SELECT concat('chr', chr(9), '-', chr(9), 'one_', seqid, chr(9), 'one_', seqid, chr(9), '0', chr(9), CAST(max(end_) AS VARCHAR), chr(9), 'hsv(', CAST(CAST(floor(360.0 * row_number() OVER (ORDER BY seqid) / count(*) OVER ()) AS BIGINT) AS VARCHAR), ',1,1)') AS value FROM ex WHERE genome = 'genome_1' GROUP BY seqid"))
+@query(sql("SELECT concat('chr', chr(9), '-', chr(9), name, '_', seqid, chr(9), name, '_', seqid, chr(9), '0', chr(9), CAST(length AS VARCHAR), chr(9), 'hsv(', CAST(CAST(floor(360.0 * row_number() OVER (PARTITION BY name ORDER BY seqid) / count(*) OVER (PARTITION BY name)) AS BIGINT) AS VARCHAR), ',1,1)') AS value FROM (SELECT CASE WHEN genome = 'genome_1' THEN 'one' ELSE 'two' END AS name, seqid, max(end_) AS length FROM ex GROUP BY genome, seqid)"))
 def karyotype(spark, sf_dir):
-    contigs = data.exons(spark, sf_dir).where(F.col("genome") == GENOME_1).groupBy(F.col("seqid").alias("id")).agg(F.max("end").alias("length"))
-    return tracks.karyotype(contigs, "one")
+    """Contigs of both genomes."""
+    exons = data.exons(spark, sf_dir)
+    sides = [tracks.karyotype(exons.where(F.col("genome") == genome).groupBy(F.col("seqid").alias("id")).agg(F.max("end").alias("length")), name) for genome, name in NAMES.items()]
+    return sides[0].unionByName(sides[1])
 
 
 @query(sql("""SELECT concat('c_', lpad(CAST(n AS VARCHAR), 10, '0'), chr(9), id, chr(9), CAST(lo AS VARCHAR), chr(9), CAST(hi AS VARCHAR), chr(9), 'r_int=255,g_int=0,b_int=0') AS value
@@ -378,15 +380,16 @@ def covered_positions(spark, sf_dir):
     return intervals.covered(_runs(spark, sf_dir), "g1chr")
 
 
-GENES = "gene AS (SELECT proteinid AS id, min(seqid) AS seqid, min(start_) AS s, max(end_) AS e, arg_min(strand, exonid) AS strand FROM ex WHERE genome = 'genome_1' GROUP BY proteinid), two AS (SELECT a.id AS id1, b.id AS id2, a.seqid AS seq1, b.seqid AS seq2, least(a.e, b.e) AS lo, greatest(a.s, b.s) AS hi, a.strand AS st1, b.strand AS st2 FROM gene a JOIN gene b ON CAST(substr(b.id, 4) AS BIGINT) - CAST(substr(a.id, 4) AS BIGINT) IN (1, 2))"
+GENES = "gene AS (SELECT proteinid AS id, concat(genome, '|', min(seqid)) AS seqid, min(start_) AS s, max(end_) AS e, arg_min(strand, exonid) AS strand FROM ex GROUP BY genome, proteinid), two AS (SELECT a.id AS id1, b.id AS id2, a.seqid AS seq1, b.seqid AS seq2, least(a.e, b.e) AS lo, greatest(a.s, b.s) AS hi, a.strand AS st1, b.strand AS st2 FROM gene a JOIN gene b ON substr(a.id, 1, 3) = substr(b.id, 1, 3) AND CAST(substr(b.id, 4) AS BIGINT) - CAST(substr(a.id, 4) AS BIGINT) IN (1, 2))"
 
 
 def _genes(spark, sf_dir):
-    of_one = data.exons(spark, sf_dir).where(F.col("genome") == GENOME_1).groupBy(F.col("proteinid").alias("id"))
-    rows = of_one.agg(F.min("seqid").alias("seqid"), F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("strand", "exonid").alias("strand"))
-    number = F.substr("id", F.lit(4)).cast("long")
-    a = rows.select(F.col("id").alias("id1"), F.explode(F.array(number + 1, number + 2)).alias("n"))
-    return a.join(rows.select(F.col("id").alias("id2"), number.alias("n")), "n").select("id1", "id2"), rows
+    """Pairs of genes of one genome that are one or two apart in number, and all genes of both."""
+    of = data.exons(spark, sf_dir).groupBy("genome", F.col("proteinid").alias("id"))
+    rows = of.agg(F.concat_ws("|", "genome", F.min("seqid")).alias("seqid"), F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("strand", "exonid").alias("strand")).drop("genome")
+    number, head = F.substr("id", F.lit(4)).cast("long"), F.substr("id", F.lit(1), F.lit(3)).alias("head")
+    a = rows.select(F.col("id").alias("id1"), head, F.explode(F.array(number + 1, number + 2)).alias("n"))
+    return a.join(rows.select(F.col("id").alias("id2"), head, number.alias("n")), ["head", "n"]).select("id1", "id2"), rows
 
 
 @query(sql("SELECT id1, id2, seq1 = seq2 AND NOT EXISTS (SELECT 1 FROM gene g WHERE g.seqid = seq1 AND g.id <> id1 AND g.id <> id2 AND g.s < hi AND g.e > lo AND lo < hi) AS tandem FROM two", GENES))
@@ -480,24 +483,17 @@ def exon_fasta_lines(spark, sf_dir):
     return writers.fasta_text(rows, 10)
 
 
-@query("SELECT coalesce(a, b) AS contig, CASE WHEN b IS NULL THEN 'sequence' ELSE 'annotation' END AS side FROM (SELECT DISTINCT n_name AS a FROM nation WHERE n_nationkey < 20) FULL JOIN (SELECT DISTINCT n_name AS b FROM nation WHERE n_nationkey >= 5) ON a = b WHERE a IS NULL OR b IS NULL")
+# customers as contigs, and those of orders as the contigs that an annotation names
+@query("SELECT CAST(coalesce(a, b) AS VARCHAR) AS contig, CASE WHEN b IS NULL THEN 'sequence' ELSE 'annotation' END AS side FROM (SELECT DISTINCT c_custkey AS a FROM customer) FULL JOIN (SELECT DISTINCT o_custkey + o_custkey % 7 AS b FROM orders) ON a = b WHERE a IS NULL OR b IS NULL")
 def contigs_of_one_side(spark, sf_dir):
-    nation = data.table(spark, sf_dir, "nation")
-    return contig_mismatch(nation.where("n_nationkey < 20").select(F.col("n_name").alias("id")), nation.where("n_nationkey >= 5").select(F.col("n_name").alias("seqid")))
+    sequence_ids = data.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"))
+    annotated = data.table(spark, sf_dir, "orders").select((F.col("o_custkey") + F.col("o_custkey") % 7).cast("string").alias("seqid"))
+    return contig_mismatch(sequence_ids, annotated)
 
 
 GENOME = "ATGGCCAAATTTGGGTAACCCATGCATTTAGGCCCAAATTTCATGG"
 
 
-@query("SELECT * FROM (VALUES ('minus', 'MKFGPK'), ('plus', 'MAKFG.'), ('two', 'MAFG')) AS t(id, seq)")
-def protein_translation(spark, sf_dir):
-    """Both strands and two segments of a literal genome."""
-    genome = spark.createDataFrame([("c", GENOME)], "id string, seq string")
-    rows = [("plus", 1, 18, "+"), ("minus", 27, 44, "-"), ("two", 1, 6, "+"), ("two", 10, 15, "+")]
-    features = spark.createDataFrame([("c", "CDS", s, e, strand, {"Parent": p}, k) for k, (p, s, e, strand) in enumerate(rows)], "seqid string, type string, start long, end long, strand string, attr map<string,string>, row_idx long")
-    return sequence.proteins(genome, features)
-
-
 # contigs spelt from the names of parts; even ones are coded on the minus strand, in two segments
 @query("""WITH c AS (SELECT p_partkey AS k, translate(regexp_replace(lower(p_name), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTNCGTACGTACGTAC') AS seq FROM part),
 b AS (SELECT k, CASE WHEN k % 2 = 0 THEN translate(reverse(concat(substr(seq, 1, 6), substr(seq, 10, 6))), 'ACGT', 'TGCA') ELSE concat(substr(seq, 1, 6), substr(seq, 10, 6)) END AS bases FROM c)
@@ -522,9 +518,27 @@ def table_alignment(spark, sf_dir):
     return alignment.aligned(spelt, spelt, evalue=1e-3)
 
 
-@query()
-def local_alignment(spark, sf_dir):
-    """Alignments of literal peptides."""
-    a = spark.createDataFrame([("q1", "MKTAYIAKQRQISFVKSHFSRQ"), ("q2", "GAVLIPFYWSTCMNQDEKRH")], "id string, seq string")
-    b = spark.createDataFrame([("s1", "MKTAYIAKQRISFVKSHFSRQ"), ("s2", "WWWWGAVLIPFYWSTCMNQD")], "id string, seq string")
-    return alignment.aligned(a, b)
+# places of hits within their pair, and ranges of 120 that begin every 50
+RANGES = "gn AS (SELECT *, row_number() OVER (PARTITION BY g1chr, g2chr ORDER BY qseqid, sseqid, qstart, qend, sstart, send, evalue) - 1 AS n FROM gh), sp AS (SELECT g1chr, g2chr, unnest(range(0, max(n) + 1, 50)) AS lo FROM gn GROUP BY g1chr, g2chr)"
+
+
+@query(sql("SELECT g1chr, g2chr, lo // 50 AS node_id, count(*) AS leaves, count(DISTINCT qseqid) AS exons, min(n) AS first, max(n) AS last FROM sp JOIN gn USING (g1chr, g2chr) WHERE n >= lo AND n < lo + 120 GROUP BY g1chr, g2chr, lo", RANGES))
+def range_members(spark, sf_dir):
+    """Members of overlapping ranges of all hits of each pair."""
+    keys = ["g1chr", "g2chr"]
+    placed = numbered(data.mutual(spark, sf_dir), [*keys, "qseqid", "sseqid", "qstart", "qend", "sstart", "send", "evalue"], "at")
+    pairs = placed.groupBy(*keys).agg(F.min("at").alias("start"), F.count("*").alias("n"))
+    leaves = placed.join(pairs, keys).withColumn("leaf", F.col("at") - F.col("start"))
+    nodes = leaves.select(*keys, F.col("leaf").alias("node_id"), F.col("leaf").alias("leaf_lo"), "row_idx")
+    lo = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(50).cast("long")))
+    chosen = pairs.select(*keys, "n", lo.alias("leaf_lo")).withColumns({"node_id": F.floor(F.col("leaf_lo") / 50), "leaf_hi": F.least(F.col("leaf_lo") + 120, "n")})
+    members = tree.leaves_of(nodes, chosen).join(leaves.select(*keys, "leaf", "qseqid"), [*keys, "leaf"])
+    return members.groupBy(*keys, "node_id").agg(F.count("*").alias("leaves"), F.count_distinct("qseqid").alias("exons"), F.min("leaf").alias("first"), F.max("leaf").alias("last"))
+
+
+@query(sql("SELECT qseqid, sseqid, qstart, sstart, g1chr, g2chr, tests FROM (SELECT *, count(*) OVER (PARTITION BY g1chr, g2chr) AS tests FROM gh) WHERE evalue * tests < 0.05"))
+def significant_hits(spark, sf_dir):
+    """Hits whose expectation value is significant after as many tests as their pair has hits."""
+    rows, keys = data.mutual(spark, sf_dir), ["g1chr", "g2chr"]
+    tests = rows.groupBy(*keys).agg(F.count("*").alias("tests"))
+    return rows.join(tests, keys).where(testing.corrected(F.col("evalue"), F.col("tests"), 0.05)).select("qseqid", "sseqid", "qstart", "sstart", *keys, "tests")
