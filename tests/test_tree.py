@@ -378,6 +378,25 @@ def test_drawing_stops_early_alike(spark):
     assert ways[0] == pytest.approx(ways[1]) and len(ways[0]) == 5
 
 
+def test_ties_and_slices_give_the_same_both_ways(spark):
+    """Scores that many draws hit exactly, null scores that repeat, and draws made in slices."""
+    pools = pool_rows(spark, [0.1, 0.2, 0.3] * 20, [0.1] * 50, [0.7, 0.1])
+    asked = [(5, 3, 1, round(2 * s - 0.3 - u, 10)) for s in (0.9, 1.0, 1.1, 1.2) for u in (0.1, 0.7)] + [(40, 0, 0, 16.0), (40, 0, 0, 16.2)]
+    nodes = spark.createDataFrame(asked, "n_a long, n_u1 long, n_u2 long, score double")
+    ways = [{tuple(r)[:4]: r.p for r in testing.permuted(nodes, pools, tests=30, batch=100, stop=10**9, most=m, cells=300).collect()} for m in (10**6, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == len(set(asked)) and len({p for p in ways[0].values() if 0 < p < 1}) > 3
+    # by plain loops over whole numbers
+    whole = {k: np.sort(np.rint(np.array(v) * tree.PARTS).astype(np.int64)) for k, v in (("a", [0.1, 0.2, 0.3] * 20), ("u1", [0.1] * 50), ("u2", [0.7, 0.1]))}
+    sizes, need = {k: len(v) for k, v in whole.items()}, int(np.ceil(31 / 0.05))
+    made = []
+    for chunk in range(-(-need // 100)):
+        for _, (x, y, z) in testing.draws_of((5, 3, 1), sizes, chunk, min(100, need - 100 * chunk), 1, 300):
+            made += (2 * whole["a"][x].sum(1) - whole["u1"][y].sum(1) - whole["u2"][z].sum(1)).tolist()
+    assert len(made) == need
+    for key in asked[:8]:
+        assert ways[0][key] == sum(m >= round(key[3] * tree.PARTS) for m in made) / need
+
+
 def test_permutations_draw_what_is_asked(spark):
     """Counts are drawn without replacement, and the share of draws that reach a score is right."""
     pools = pool_rows(spark, [1.0, 2.0, 3.0, 4.0], [0.5] * 30, [0.25])
