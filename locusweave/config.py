@@ -98,7 +98,7 @@ def validate(spark: SparkSession, config: Config) -> None:
         missing = [p for p in (genome.genome, genome.gff) if _missing(spark, p)]
         errors += [f"{key}: {p} doesn't exist" for p in missing]
         if not missing:
-            odd = contig_mismatch(readers.fasta(spark, genome.genome), readers.gff3(spark, genome.gff)).limit(5).collect()
+            odd = contig_mismatch(readers.fasta_lengths(spark, genome.genome), readers.gff3(spark, genome.gff)).limit(5).collect()
             errors += [f"{key}: contig {r.contig} is in the {r.side} only" for r in odd]
     if errors:
         raise ValidationError(errors)

@@ -64,11 +64,13 @@ def coding(annotation: DataFrame, by_comma: bool = False) -> DataFrame:
 def proteins(genome: DataFrame, annotation: DataFrame, width: int = 1 << 16) -> DataFrame:
     """(id, seq): residues of every group of coding segments of one contig, in order of the strand.
 
-    Contigs are cut into pieces of `width` bases, and segments are joined to the
-    pieces that they touch, so no whole contig is sent along with each of them.
-    What lies beyond its contig's end counts for nothing.
+    genome: contigs (id, seq), or pieces of them (id, piece, bases) of `width` bases
+    as `readers.fasta_pieces` gives them. Contigs are cut into such pieces, and
+    segments are joined to the pieces that they touch, so no whole contig is sent
+    along with each of them. What lies beyond its contig's end counts for nothing.
     """
-    pieces = genome.select(F.col("id").alias("seqid"), F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))).alias("piece", "bases"))
+    cut = ["piece", "bases"] if "piece" in genome.columns else [F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))).alias("piece", "bases")]
+    pieces = genome.select(F.col("id").alias("seqid"), *cut)
     piece = lambda at: F.floor((F.col(at) - 1) / width).cast("int")
     parts = coding(annotation).where("start BETWEEN 1 AND end").withColumn("piece", F.explode(F.sequence(piece("start"), piece("end")))).join(pieces, ["seqid", "piece"])
     low, high = F.greatest(F.col("start") - F.col("piece") * width, F.lit(1)), F.least(F.col("end") - F.col("piece") * width, F.lit(width))

@@ -36,7 +36,7 @@ def exons_of(spark: SparkSession, config: Config, observed: bool = True) -> Data
         genome = config.genomes[key]
         annotation = readers.gff3(spark, genome.gff)
         segments = sequence.coding(annotation, by_comma=not observed)
-        proteins = sequence.clean_proteins(sequence.proteins(readers.fasta(spark, genome.genome), annotation))
+        proteins = sequence.clean_proteins(sequence.proteins(readers.fasta_pieces(spark, genome.genome), annotation))
         if observed and not sequence.without_segments(proteins, segments).isEmpty():
             raise ValueError(f"{key} has proteins without coding segments")
         rows = sequence.exon_residues(proteins, segments, key, observed)
@@ -73,7 +73,7 @@ def run(spark: SparkSession, config: Config, observed: bool = True, tables: tupl
 
 def contigs(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     """(id, length) of each genome's contigs."""
-    return {key: readers.fasta(spark, genome.genome).select("id", F.length("seq").alias("length")) for key, genome in config.genomes.items()}
+    return {key: readers.fasta_lengths(spark, genome.genome) for key, genome in config.genomes.items()}
 
 
 def drawings(spark: SparkSession, config: Config, analysis: Analysis) -> dict[str, DataFrame]:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusweave import schemas
+from locusweave.storage import running
+
+#: Bases of a piece of a contig.
+PIECE = 1 << 16
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
@@ -34,7 +38,8 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(id, seq): headers up to the first blank; lines are trimmed of all white space and joined; the last of equal ids wins.
 
     Text before the first header is dropped, blank lines are skipped; an empty
-    file gives no rows. A record is one row, so it must fit a task's memory.
+    file gives no rows. A record is one row, so it must fit a task's memory;
+    `fasta_pieces` reads larger ones.
     """
     records = _in_order(spark.read.option("lineSep", "\n>").text(path))
     # only a file's first record still has its own mark; what precedes a mark there is no record
@@ -47,6 +52,41 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return last_by(found, "id").drop("row_idx")
 
 
+def _fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(id, at, bases) of the lines of records, of equal ids those of the last one: bases is a trimmed line, at the number of bases before it; a header has none.
+
+    Lines are Spark's own, so a record may cover many splits. Lines are given to
+    records, and bases counted within them, by running sums over ranges of lines.
+    """
+    rows = _in_order(spark.read.text(path))
+    header = F.col("value").startswith(">")
+    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    id_ = F.when(header, F.split(trimmed(F.substr("value", F.lit(2))), " ")[0])
+    rows = rows.select("row_idx", "_head", id_.alias("id"), F.when(header, "").otherwise(trimmed(F.col("value"))).alias("bases"))
+    # what precedes a file's first header is a record of no id
+    numbered = running(rows, [], ["row_idx"], {"record": (F.col("id").isNotNull() | F.col("_head")).cast("long")})
+    counted = running(numbered, ["record"], ["row_idx"], {"upto": F.length("bases").cast("long")})
+    known = last_by(numbered.where("id IS NOT NULL").select("id", "record", "row_idx"), "id")
+    lines = counted.select("record", "bases", (F.col("upto") - F.length("bases")).alias("at"))
+    return lines.join(known.select("id", "record"), "record").select("id", "at", "bases")
+
+
+def fasta_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """(id, length) of all records of `fasta`, none of which is ever one row."""
+    return _fasta_lines(spark, path).groupBy("id").agg(F.sum(F.length("bases")).cast("long").alias("length"))
+
+
+def fasta_pieces(spark: SparkSession, path: str, width: int = PIECE) -> DataFrame:
+    """(id, piece, bases): the sequences of `fasta` in pieces of `width` bases, numbered from 0; a record may be larger than a task's memory if its lines aren't."""
+    lines = _fasta_lines(spark, path).where("bases <> ''")
+    last = F.col("at") + F.length("bases") - 1
+    met = lines.withColumn("piece", F.explode(F.sequence(F.floor(F.col("at") / width).cast("int"), F.floor(last / width).cast("int"))))
+    low, high = F.greatest(F.col("piece") * F.lit(width).cast("long"), F.col("at")), F.least((F.col("piece") + 1) * F.lit(width).cast("long"), last + 1)
+    part = F.substr("bases", (low - F.col("at") + 1).cast("int"), (high - low).cast("int"))
+    parts = met.groupBy("id", "piece").agg(F.array_sort(F.collect_list(F.struct(low.alias("at"), part.alias("bases")))).alias("parts"))
+    return parts.select("id", "piece", F.array_join(F.transform("parts", lambda x: x["bases"]), "").alias("bases"))
+
+
 def attributes(text: Column, decode: bool = False) -> Column:
     """Map of a feature's `key=value;...` text.
 

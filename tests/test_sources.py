@@ -1,10 +1,11 @@
 import gzip
 import json
+import random
 
 import pytest
 
 from locusweave import cli, config
-from locusweave.operators import tracks
+from locusweave.operators import sequence, tracks
 from locusweave.sources import readers, writers
 
 FASTA = "lost line\n>a first one\nACGT\nAC GT  \n\n>b\nTTTT\n>a again\nGG\n>empty\n"
@@ -108,6 +109,40 @@ def test_tracks(spark):
     assert tracks.svg({"n_a": 10, "m_b": 20}, [("n_a", 1, 2, "m_b", 3, 4)]).count("<path") == 3
 
 
+def test_contigs_in_pieces(spark, tmp_path):
+    """Contigs that cover many splits, odd lines, several files and gzip: pieces put together are the whole records."""
+    rng = random.Random(4)
+    bases = lambda n: "".join(rng.choices("ACGTN", k=n))
+    wrapped = lambda x, w, end: end.join(x[i : i + w] for i in range(0, len(x), w))
+    (tmp_path / "in").mkdir()
+    first = f"lost line\n>one note\n{wrapped(bases(40_000), 60, chr(10))}\n\n>two\r\n{wrapped(bases(7001), 80, chr(13) + chr(10))}\r\n>none\n>same\nAC\n"
+    (tmp_path / "in" / "a.fa").write_bytes(first.encode())
+    (tmp_path / "in" / "b.fa").write_text(f"no record\n>same\n {bases(500)} \n>three\n{bases(9000)}")
+    (tmp_path / "in" / "c.fa.gz").write_bytes(gzip.compress(f">four\n{wrapped(bases(3000), 70, chr(10))}\n".encode()))
+    path, setting = str(tmp_path / "in"), "spark.sql.files.maxPartitionBytes"
+    whole = dict(readers.fasta(spark, path).collect())
+    assert {k: len(v) for k, v in whole.items()} == {"one": 40_000, "two": 7001, "none": 0, "same": 500, "three": 9000, "four": 3000}
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "3000")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 10
+        assert dict(readers.fasta_lengths(spark, path).collect()) == {k: len(v) for k, v in whole.items()}
+        for width in (1000, 1 << 16):
+            found = {}
+            for r in readers.fasta_pieces(spark, path, width).orderBy("id", "piece").collect():
+                assert r.piece == len(found.setdefault(r.id, [])) and 0 < len(r.bases) <= width
+                found[r.id].append(r.bases)
+            assert {k: "".join(v) for k, v in found.items()} == {k: v for k, v in whole.items() if v}
+            assert all(len(x) == width for v in found.values() for x in v[:-1])
+    finally:
+        spark.conf.set(setting, before)
+    features = spark.createDataFrame([("one", "CDS", a, a + 299, "+-"[a % 2], {"Parent": f"p{a}"}, a) for a in range(1, 39_000, 777)], "seqid string, type string, start long, end long, strand string, attr map<string,string>, row_idx long")
+    by = lambda genome, **k: sorted(map(tuple, sequence.proteins(genome, features, **k).collect()))
+    assert by(readers.fasta_pieces(spark, path, 1000), width=1000) == by(readers.fasta(spark, path)) != []
+    (tmp_path / "empty.fa").write_text("")
+    assert readers.fasta_pieces(spark, str(tmp_path / "empty.fa")).count() == 0
+
+
 def test_a_plot_for_each_chromosome(spark):
     pairs = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "g1chr string, g2chr string")
     texts = {r.chr: r.value for r in tracks.configurations(pairs, ("n", "m"), ["k1", "k2"], "genes", "links").collect()}
@@ -122,8 +157,6 @@ def test_trees_of_an_analysis_are_read_back(spark, tmp_path):
     """Written in parts, a folder for each pair, and read again as the leaves below every node."""
     from .test_tree import genome, nodes_of
 
-    import random
-
     exons, rows = genome(random.Random(3), 40)
     nodes = nodes_of(spark, exons, rows, tile=7)[3].cache()
     writers.write_trees(nodes, f"file://{tmp_path}/trees")
@@ -173,8 +206,6 @@ def test_files_are_validated(spark, tmp_path):
 
 def test_command_line(spark, tmp_path, capsys):
     """Two small genomes with one gene order, from files to tracks."""
-    import random
-
     rng = random.Random(5)
     genes = ["ATG" + "".join(rng.choices("ACGT", k=120)).replace("TAA", "TCA").replace("TAG", "TCG").replace("TGA", "TCA") + "TAA" for _ in range(6)]
     raw = {"outdir": str(tmp_path / "out"), "cons_thresh": 0.1, "genomes": {}}
