@@ -305,7 +305,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, stream: Column, doma
     n = F.length(value)
     drawn = _mapped(value, stream)
     late = F.greatest(attempt - (longer - 1), F.lit(0))
-    digits = F.substr(_mapped(F.repeat(F.lit("0"), 200), F.reverse(stream)), F.lit(1), late)
+    digits = F.when(late > 0, F.substr(_mapped(F.repeat(F.lit("0"), 200), F.reverse(stream)), F.lit(1), late)).otherwise("")
     national = n - 10
     phone = F.when(national >= 0, F.concat(F.substr(value, F.lit(1), national), _pick("23456789", _byte(stream, 40)), F.substr(drawn, national + 2, F.lit(2)), _pick("23456789", _byte(stream, 41)), F.substr(drawn, national + 5))).otherwise(F.concat(F.substr(value, F.lit(1), F.lit(2)), F.substr(drawn, F.lit(3))))
     code = F.length(F.regexp_extract(F.substr(value, F.lit(2)), COUNTRY, 0)) + 1
@@ -323,7 +323,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, stream: Column, doma
     country = F.substr(value, F.lit(1), F.lit(2))
     bban = F.concat(_mapped(F.substr(value, F.lit(5)), stream), digits)
     iban = F.concat(country, F.lpad((98 - mod97(F.concat(bban, country, F.lit("00")))).cast("string"), 2, "0"), bban)
-    more = F.substr(_mapped(F.repeat(F.lit("a"), 200), F.reverse(stream)), F.lit(1), 4 * attempt)
+    more = F.when(attempt > 0, F.substr(_mapped(F.repeat(F.lit("a"), 200), F.reverse(stream)), F.lit(1), 4 * attempt)).otherwise("")
     domain = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: _pick(LOWER, _byte(domain_stream, i))), ""), F.lit(".example"))
     email = F.concat(_mapped(F.substring_index(value, "@", 1), stream), more, F.lit("@"), domain)
     secret = F.concat(F.when(value.rlike("^[0-9a-f]+$"), _mapped(value, stream, "abcdef")).otherwise(drawn), F.when(n < 12, more).otherwise(""))
@@ -382,10 +382,11 @@ def _untitled(pieces: Column) -> Column:
     A word that the text has in lower case as well, or that is an ordinary one, is
     no name without title.
     """
-    spelt = lambda x: F.zip_with(name_words(x["surface"]), x["keys"], lambda w, k: F.struct(w.alias("word"), x["kind"].alias("kind"), k.alias("key")))
-    capitals = lambda x: F.transform(F.filter(x, lambda n: F.length(n["word"]) > 2), lambda n: F.struct(F.upper(n["word"]).alias("word"), n["kind"].alias("kind"), n["key"].alias("key")))
-    words = lambda x: _let(spelt(x), lambda found: F.concat(found, capitals(found)))
-    named = F.array_distinct(F.flatten(F.transform(F.filter(pieces, lambda x: x["kind"] == "name"), words)))
+    # as one text each, as only those are made distinct by hashing
+    one = lambda word, kind, key: F.concat_ws("\x1f", word, kind, key)
+    spelt = lambda x: F.flatten(F.zip_with(name_words(x["surface"]), x["keys"], lambda w, k: F.array(one(w, x["kind"], k), one(F.when(F.length(w) > 2, F.upper(w)).otherwise(w), x["kind"], k))))
+    apart = lambda found: F.transform(F.array_distinct(F.flatten(found)), lambda s: _let(F.split(s, "\x1f"), lambda x: F.struct(x[0].alias("word"), x[1].alias("kind"), x[2].alias("key"))))
+    named = apart(F.transform(F.filter(pieces, lambda x: x["kind"] == "name"), spelt))
 
     def known(names: Column) -> Column:
         plain = F.flatten(F.transform(F.filter(pieces, lambda x: x["kind"].isNull()), lambda x: F.regexp_extract_all(x["surface"], F.lit(rf"{NOT_IN_WORD}\p{{Ll}}[\p{{Ll}}'’-]*{AFTER_NUMBER}"), F.lit(0))))
@@ -394,10 +395,11 @@ def _untitled(pieces: Column) -> Column:
         return F.when(F.size(names) > 0, _let(ordinary, lambda x: F.filter(names, lambda n: ~F.array_contains(x, F.lower(n["word"]))))).otherwise(names)
 
     def digits(x: Column) -> Column:
-        one = lambda word: F.struct(word.alias("word"), x["kind"].alias("kind"), x["keys"][0].alias("key"))
-        return _let(_digits(x["surface"]), lambda d: F.array(one(d), one(F.regexp_replace(d, "^1(?=[0-9]{10}$)", "")), one(F.concat(F.when((x["kind"] == "phone") & d.rlike("^[2-9][0-9]{9}$"), "1").otherwise(""), d))))
+        """A number's digits, and a North American one's with and without country code."""
+        forms = lambda d: F.array(d, F.regexp_replace(d, "^1(?=[0-9]{10}$)", ""), F.concat(F.when((x["kind"] == "phone") & d.rlike("^[2-9][0-9]{9}$"), "1").otherwise(""), d))
+        return F.transform(_let(_digits(x["surface"]), forms), lambda d: one(d, x["kind"], x["keys"][0]))
 
-    numbers = F.array_distinct(F.flatten(F.transform(F.filter(pieces, lambda x: x["kind"].isin("phone", "card", "ssn")), digits)))
+    numbers = apart(F.transform(F.filter(pieces, lambda x: x["kind"].isin("phone", "card", "ssn")), digits))
 
     def pattern(names: Column, begins: str) -> Column:
         longest = F.reverse(F.array_sort(F.array_distinct(F.transform(names, lambda n: n["word"]))))  # a word before its beginnings
