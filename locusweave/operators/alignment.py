@@ -1,14 +1,13 @@
-"""Protein alignment: like words on one diagonal find pairs of sequences, each pair is aligned locally.
+"""Protein alignment: like words on one diagonal find pairs of sequences, whose diagonals are filtered without gaps and extended with gaps within bands.
 
 This stands in for an external aligner, whose tables can be read instead
-(sources.readers.hits). Expectation values follow the usual formula with fixed
-parameters, so they are near to such tools', not equal.
+(sources.readers.hits).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache, reduce
 from itertools import product
 
@@ -17,122 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusweave.operators import extension, scoring
+from locusweave.operators.scoring import CODES, LETTERS, SCORES
 from locusweave.storage import written
 
-# Half-bit substitution scores, residues in the order of LETTERS, lower triangle by rows (the public BLOSUM62 matrix).
-LETTERS = "ARNDCQEGHILKMFPSTWYV"
-BLOSUM62 = """
-4
--1 5
--2 0 6
--2 -2 1 6
-0 -3 -3 -3 9
--1 1 0 0 -3 5
--1 0 0 2 -4 2 5
-0 -2 0 -1 -3 -2 -2 6
--2 0 1 -1 -3 0 0 -2 8
--1 -3 -3 -3 -1 -3 -3 -4 -3 4
--1 -2 -3 -4 -1 -2 -3 -4 -3 2 4
--1 2 0 -1 -3 1 1 -2 -1 -3 -2 5
--1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5
--2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6
--1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7
-1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4
-0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5
--3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11
--2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
-0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
-"""
-# Gap costs, and the parameters of scores with such gaps.
-GAP_OPEN, GAP_EXTEND, LAMBDA, KAPPA = 11, 1, 0.267, 0.041
-
-
-def scores() -> np.ndarray:
-    """The matrix over bytes; unknown letters score -1."""
-    out = np.full((256, 256), -1, np.int64)
-    for i, line in enumerate(BLOSUM62.split("\n")[1:-1]):
-        for j, x in enumerate(line.split()):
-            a, b = ord(LETTERS[i]), ord(LETTERS[j])
-            out[a, b] = out[b, a] = int(x)
-    return out
-
-
-SCORES = scores()
-
-
-#: A score that no alignment gets over.
-BARRED = -(10**6)
-
-
-def pay_of(query: str, subject: str) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of each two residues, and whether they are alike."""
-    a, b = (np.frombuffer(x.upper().encode("latin-1", "replace"), np.uint8) for x in (query, subject))
-    return SCORES[a[:, None], b[None]].reshape(len(a), len(b)), a[:, None] == b[None]
-
-
-def local(pay: np.ndarray, same: np.ndarray) -> dict[str, int]:
-    """The best local alignment with affine gaps: score, ends (from 1), length, identities, gaps opened. A row of cells is one step."""
-    n, m = pay.shape
-    best, down, right = (np.zeros((n + 1, m + 1), np.int64) for _ in range(3))
-    down[:], right[:] = BARRED, BARRED
-    first, along = GAP_OPEN + GAP_EXTEND, GAP_EXTEND * np.arange(m + 1)
-    for i in range(1, n + 1):
-        down[i, 1:] = np.maximum(best[i - 1, 1:] - first, down[i - 1, 1:] - GAP_EXTEND)
-        row = best[i]
-        row[1:] = np.maximum(np.maximum(best[i - 1, :-1] + pay[i - 1], down[i, 1:]), 0)
-        # a gap to the right begins at the best cell before it; one that begins in a gap is never better
-        right[i, 1:] = np.maximum.accumulate(row + along)[:-1] - first - along[:-1]
-        np.maximum(row[1:], right[i, 1:], out=row[1:])
-    i, j = np.unravel_index(int(best.argmax()), best.shape)
-    out = {"score": int(best[i, j]), "qend": int(i), "send": int(j), "length": 0, "same": 0, "gapopen": 0}
-    state = "m"
-    while best[i, j] > 0 or state != "m":
-        if state == "m":
-            if i and j and best[i, j] == best[i - 1, j - 1] + pay[i - 1, j - 1]:
-                out["same"] += int(same[i - 1, j - 1])
-                out["length"] += 1
-                i, j = i - 1, j - 1
-            else:
-                state = "d" if best[i, j] == down[i, j] else "r"
-                out["gapopen"] += 1
-        else:
-            out["length"] += 1
-            if state == "d":
-                state = "m" if down[i, j] == best[i - 1, j] - first else "d"
-                i -= 1
-            else:
-                state = "m" if right[i, j] == best[i, j - 1] - first else "r"
-                j -= 1
-    return out | {"qstart": int(i) + 1, "sstart": int(j) + 1}
-
-
-def locals_(query: str, subject: str, least: int) -> list[dict[str, int]]:
-    """Local alignments of `least` and more, best first; each bars the cells between its ends to those after it, so none crosses another."""
-    pay, same = pay_of(query, subject)
-    pay, found = pay.copy(), []
-    while True:
-        x = local(pay, same)
-        if x["score"] < max(1, least):
-            return found
-        found.append(x)
-        pay[x["qstart"] - 1 : x["qend"], x["sstart"] - 1 : x["send"]] = BARRED
-
-
 ALIGNED = "qseqid string, sseqid string, pident double, length long, mismatch long, gapopen long, qstart long, qend long, sstart long, send long, evalue double, bitscore double, slen long, qlen long"
 
 
-def seeds(queries: DataFrame, subjects: DataFrame, word: int = 4, least: int = 2) -> DataFrame:
-    """Pairs (qseqid, sseqid) of sequences (id, seq) that share at least `least` different words; words are joined, not pairs."""
-
-    def words(rows: DataFrame, name: str) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.length("seq") - word + 1)
-        cut = F.when(F.length("seq") >= word, F.array_distinct(F.transform(starts, lambda i: F.substr("seq", i, F.lit(word)))))
-        return rows.select(F.col("id").alias(name), F.explode(cut).alias("word"))
-
-    met = words(queries, "qseqid").join(words(subjects, "sseqid"), "word")
-    return met.groupBy("qseqid", "sseqid").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).drop("shared")
-
-
 #: Letters of a word that seeds an alignment.
 WORD = 3
 
@@ -140,9 +30,8 @@ WORD = 3
 @cache
 def word_neighbours(threshold: int) -> pd.DataFrame:
     """(word, near): words of WORD letters and those that score at least `threshold` with them."""
-    letters = np.frombuffer(LETTERS.encode(), np.uint8)
-    one = SCORES[letters[:, None], letters[None]].astype(np.int8)
-    n = len(letters)
+    one = SCORES[CODES[:, None], CODES[None]].astype(np.int8)
+    n = len(LETTERS)
     total = one
     for _ in range(WORD - 1):  # scores of words of one letter more
         total = (total[:, None, :, None] + one[None, :, None, :]).reshape(total.shape[0] * n, -1)
@@ -181,45 +70,39 @@ def diagonal_seeds(queries: DataFrame, subjects: DataFrame, threshold: int = 11,
     return met.where((F.size("at") > 1) & two).groupBy("qseqid", "sseqid").agg(F.collect_list("diagonal").alias("diagonals"))
 
 
-def ungapped(query: str, subject: str, diagonals: Iterable[int]) -> int:
-    """The best score of an alignment without gaps along some of the diagonals."""
-    a, b = (np.frombuffer(x.upper().encode("latin-1", "replace"), np.uint8) for x in (query, subject))
-    best = 0
-    for d in diagonals:
-        n = min(len(a) - max(d, 0), len(b) - max(-d, 0))
-        sums = np.cumsum(SCORES[a[max(d, 0) :][:n], b[max(-d, 0) :][:n]])
-        low = np.minimum.accumulate(np.concatenate([[0], sums[:-1]]))
-        best = max(best, int((sums - low).max()))
-    return best
-
-
-#: Score without gaps from which a pair is aligned with gaps.
+#: Score without gaps from which a diagonal is aligned with gaps.
 TRIGGER = 22
 
 
-def aligned(queries: DataFrame, subjects: DataFrame, threshold: int = 11, window: int = 40, evalue: float = 10.0, trigger: int = TRIGGER) -> DataFrame:
-    """Hits of queries against subjects (id, seq) in the columns of an alignment table: all alignments up to the expectation value of each pair with two like words near each other on one diagonal (see `diagonal_seeds`).
+def aligned(queries: DataFrame, subjects: DataFrame, threshold: int = 11, window: int = 40, evalue: float = 10.0, trigger: int = TRIGGER, band: int = extension.BAND) -> DataFrame:
+    """Hits of queries against subjects (id, seq) in the columns of an alignment table: alignments up to the expectation value of each pair with two like words near each other on one diagonal (see `diagonal_seeds`).
 
-    Pairs whose diagonals with such words score less than `trigger` without gaps
-    are not aligned with gaps, and what crosses a better alignment of its pair is none.
+    Of those diagonals, the ones that score `trigger` without gaps are aligned with
+    gaps, `band` diagonals to either side and more where the way comes near the edge.
+    What crosses a better alignment of its pair is none. Expectation values: see `scoring`.
     Sequences that are null, or shorter than a word, have no hits. Ids are unique.
     """
-    letters = subjects.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("letters"))
+    whole = subjects.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("letters"), F.count("seq").alias("sequences"))
     side = lambda df, x: df.select(F.col("id").alias(f"{x}seqid"), F.col("seq").alias(f"{x}seq"))
-    pairs = diagonal_seeds(queries, subjects, threshold, window).join(side(queries, "q"), "qseqid").join(side(subjects, "s"), "sseqid").join(F.broadcast(letters))
+    pairs = diagonal_seeds(queries, subjects, threshold, window).join(side(queries, "q"), "qseqid").join(side(subjects, "s"), "sseqid").join(F.broadcast(whole))
 
     def align(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
+            q, s = ([scoring.residues(x) for x in part[c]] for c in ("qseq", "sseq"))
+            near = [np.asarray(x, np.int64) for x in part["diagonals"]]
+            of = np.repeat(np.arange(len(part)), [len(x) for x in near])
+            flat = np.concatenate([np.zeros(0, np.int64), *near])
+            strong = extension.ungapped([q[p] for p in of], [s[p] for p in of], flat) >= trigger
+            scale = scoring.scales(*(np.array([scoring.composition(x) for x in side]).reshape(-1, len(scoring.LETTERS)) for side in (q, s)))
+            space = scoring.search_space(np.array([len(x) for x in q]), part["letters"].to_numpy(), part["sequences"].to_numpy())
+            least = [scoring.least_score(*x, evalue) for x in zip(space, scale, strict=True)]
+            starts = [x.tolist() for x in np.split(flat[strong], np.searchsorted(of[strong], np.arange(1, len(part))))]
             rows = []
-            for q, s, qseq, sseq, letters_, diagonals in part[["qseqid", "sseqid", "qseq", "sseq", "letters", "diagonals"]].itertuples(index=False):
-                if ungapped(qseq, sseq, diagonals) < trigger:
-                    continue
-                # the least score whose expectation is small enough
-                least = math.ceil((math.log(max(1.0, KAPPA * len(qseq) * letters_ / evalue))) / LAMBDA)
-                for x in locals_(qseq, sseq, least):
-                    bits = (LAMBDA * x["score"] - math.log(KAPPA)) / math.log(2)
-                    expected = len(qseq) * letters_ * 2.0**-bits
-                    rows.append((q, s, 100.0 * x["same"] / x["length"], x["length"], x["qend"] - x["qstart"] + 1 + x["send"] - x["sstart"] + 1 - x["length"] - x["same"], x["gapopen"], x["qstart"], x["qend"], x["sstart"], x["send"], expected, bits, len(sseq), len(qseq)))
+            for p, found in enumerate(extension.alignments(q, s, starts, least, band)):
+                for score, q1, q2, s1, s2, length, same, gapopen, _, _ in np.array(found).tolist():
+                    gaps = 2 * length - (q2 - q1 + 1) - (s2 - s1 + 1)
+                    expected = scoring.KAPPA * space[p] * math.exp(-scale[p] * score)
+                    rows.append((part["qseqid"].iat[p], part["sseqid"].iat[p], 100.0 * same / length, length, length - same - gaps, gapopen, q1, q2, s1, s2, expected, scoring.bits_of(score, scale[p]), len(s[p]), len(q[p])))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in ALIGNED.split(", ")])
 
     return pairs.mapInPandas(align, ALIGNED).where(F.col("evalue") <= evalue)

@@ -1,0 +1,210 @@
+import itertools
+import os
+import random
+
+import numpy as np
+import pytest
+
+from locusweave.operators import alignment, extension, scoring
+
+
+def whole(a, b, lo=None, hi=None, taken=()):
+    """The best alignment of two sequences within diagonals lo to hi (all of them), as a dict."""
+    lo, hi = 1 - len(b) if lo is None else lo, len(a) - 1 if hi is None else hi
+    out = extension.extend([scoring.residues(a)], [scoring.residues(b)], np.array([lo]), np.array([hi]), [list(taken)])
+    return dict(zip(extension.FIELDS, out[0].tolist(), strict=True))
+
+
+def naive(a, b, lo=-(10**9), hi=10**9):
+    """Best local score over all cells, gaps of any length, within diagonals."""
+    cost = lambda n: scoring.GAP_OPEN + n * scoring.GAP_EXTEND
+    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            if lo <= i - j <= hi:
+                down = (h[i - k][j] - cost(k) for k in range(1, i + 1) if i - k - j >= lo)
+                right = (h[i][j - k] - cost(k) for k in range(1, j + 1) if i - j + k <= hi)
+                h[i][j] = max(0, h[i - 1][j - 1] + scoring.SCORES[ord(a[i - 1]), ord(b[j - 1])], *down, *right)
+    return max(map(max, h))
+
+
+def score_of(a, b, x):
+    """Bounds for the score of an alignment with the ends, length, identities and gaps of x: its ways agree with them."""
+    gaps = 2 * x["length"] - (x["qend"] - x["qstart"] + 1) - (x["send"] - x["sstart"] + 1)
+    assert 1 <= x["qstart"] <= x["qend"] <= len(a) and 1 <= x["sstart"] <= x["send"] <= len(b)
+    assert gaps >= x["gapopen"] >= 0 and x["same"] <= x["length"] - gaps
+    return naive(a[x["qstart"] - 1 : x["qend"]], b[x["sstart"] - 1 : x["send"]])
+
+
+def test_scores_within_bands_equal_naive():
+    """Jobs of all sizes in one batch, and each alone, against all cells within their diagonals."""
+    rng = random.Random(3)
+    jobs = []
+    for _ in range(150):
+        a = "".join(rng.choices(alignment.LETTERS, k=rng.randint(1, 30)))
+        b = a[3:9] + "".join(rng.choices(alignment.LETTERS, k=rng.randint(0, 9))) + a[12:] or "A"
+        lo = rng.randint(1 - len(b), len(a) - 1)
+        jobs.append((a, b, *rng.choice([(lo, min(len(a) - 1, lo + rng.randint(0, 50))), (1 - len(b), len(a) - 1)])))
+    sides = [[scoring.residues(j[k]) for j in jobs] for k in (0, 1)]
+    out = extension.extend(*sides, np.array([j[2] for j in jobs]), np.array([j[3] for j in jobs]), [[] for _ in jobs])
+    for (a, b, lo, hi), row in zip(jobs, out.tolist(), strict=True):
+        x = dict(zip(extension.FIELDS, row, strict=True))
+        assert x == whole(a, b, lo, hi) and x["score"] == naive(a, b, lo, hi)
+        if x["score"]:
+            assert score_of(a, b, x) >= x["score"] and lo <= x["low"] <= x["high"] <= hi
+    x = whole("WWWW", "WWWW")
+    assert [x[k] for k in extension.FIELDS[:8]] == [44, 1, 4, 1, 4, 4, 4, 0]
+    assert whole("W", "G")["score"] == 0 and whole("", "W", 0, 0)["score"] == 0 and whole("w\0w", "W\0é")["score"] == 11
+
+
+def test_bands_widen_and_stay_narrow(monkeypatch):
+    """Gaps that lead away from the seed's diagonal by more than the band are followed; memory is that of the bands."""
+    rng = random.Random(8)
+    parts = ["".join(rng.choices(alignment.LETTERS, k=80)) for _ in range(8)]
+    a, b = "".join(parts), "".join(x + "".join(rng.choices(alignment.LETTERS, k=7)) for x in parts)
+    seeds = [[0]]
+    widths = []
+    batch = extension.extend_batch
+    monkeypatch.setattr(extension, "extend_batch", lambda q, s, width, *rest: widths.append(width.max()) or batch(q, s, width, *rest))
+    (found,) = extension.alignments([scoring.residues(a)], [scoring.residues(b)], seeds, [60], band=16)
+    assert found[0][0] == whole(a, b)["score"] and found[0][8] <= -49  # seven gaps of seven
+    widths.clear()
+    (found,) = extension.alignments([scoring.residues(a)], [scoring.residues(a)], seeds, [60], band=16)
+    assert found[0][0] == whole(a, a)["score"] and max(widths[:1]) == 33
+    diagonals = sorted(rng.sample(range(-500, 500), 60))
+    cover = extension.bands(diagonals, 16)
+    assert all(any(lo <= d - 16 and d + 16 <= hi for lo, hi in cover) for d in diagonals) and max(hi - lo for lo, hi in cover) <= 64
+
+
+def test_alignments_of_a_pair_take_their_boxes():
+    """With all diagonals as seeds, alignments come best first; each is the best with the boxes before it taken."""
+    rng = random.Random(2)
+    for _ in range(10):
+        a, b = ("".join(rng.choices("ACDEW", k=30)) for _ in "ab")
+        (found,) = extension.alignments([scoring.residues(a)], [scoring.residues(b)], [list(range(-29, 30))], [8], band=4)
+        taken = []
+        for row in found:
+            assert row[0] == whole(a, b, taken=taken)["score"]
+            taken.append(tuple(row[1:5].tolist()))
+        assert found and found[0][0] == naive(a, b) and whole(a, b, taken=taken)["score"] < 8
+    assert extension.alignments([], [], [], []) == [] and extension.alignments([scoring.residues("W")], [scoring.residues("W")], [[]], [1]) == [[]]
+
+
+def test_scale_of_a_composition():
+    """The usual composition has the published scale without gaps; one-sided ones less, within bounds."""
+    assert scoring.UNGAPPED_LAMBDA == pytest.approx(0.3176, abs=1e-4)
+    usual = np.array(scoring.USUAL) / sum(scoring.USUAL)
+    skewed = usual**2 / (usual**2).sum()
+    one = np.eye(20)[:1]
+    scale = scoring.scales(np.array([usual, skewed, one[0]]), np.array([usual, skewed, one[0]]))
+    assert scale[0] == pytest.approx(scoring.LAMBDA, abs=1e-6) and scale[2] == pytest.approx(scoring.LAMBDA / 2, abs=1e-6)
+    assert scale[2] < scale[1] < scale[0]
+    found = scoring.solved(skewed[None], skewed[None], 0.05, 1.0)
+    matrix = scoring.SCORES[scoring.CODES[:, None], scoring.CODES[None]]
+    assert sum(skewed[i] * skewed[j] * np.exp(found[0] * matrix[i, j]) for i in range(20) for j in range(20)) == pytest.approx(1, abs=1e-6)
+
+
+def test_search_space():
+    """The length taken off is the greatest whole one not above what its own space gives; small spaces lose nothing."""
+    for m, n, count in ((80, 4800, 60), (250, 10_000, 40), (400, 10**8, 3 * 10**5), (30, 10**8, 3 * 10**5)):
+        (space,) = scoring.search_space(np.array([m]), np.array([n]), np.array([count]))
+        fits = lambda off: off <= scoring.ALPHA / scoring.LAMBDA * np.log(scoring.KAPPA * (m - off) * (n - count * off)) + scoring.BETA  # noqa: E731, B023
+        off = max(x for x in range(m) if n > count * x and (x == 0 or (scoring.KAPPA * (m - x) * (n - count * x) >= max(m, n) and fits(x))))
+        assert space == (m - off) * (n - count * off) and off > 0
+    assert scoring.search_space(np.array([3, 0]), np.array([3, 0]), np.array([1, 0])).tolist() == [9.0, 1.0]
+
+
+@pytest.mark.parametrize("power, size, count", [(1, 250, 40), (2, 150, 50)])
+def test_chance_hits_are_as_many_as_stated(power, size, count):
+    """Random sequences of the usual and of a one-sided composition: the number of alignments up to an expectation value is near that value."""
+    rng = np.random.default_rng(5)
+    shares = np.array(scoring.USUAL, float) ** power
+    q, s = ([scoring.CODES[rng.choice(20, size, p=shares / shares.sum())] for _ in range(count)] for _ in "qs")
+    pairs = list(itertools.product(range(count), repeat=2))
+    best = extension.extend([q[i] for i, _ in pairs], [s[j] for _, j in pairs], np.full(len(pairs), 1 - size), np.full(len(pairs), size - 1), [[] for _ in pairs])[:, 0]
+    a, b = (np.array([scoring.composition(x) for x in side]) for side in (q, s))
+    scale = scoring.scales(a[[i for i, _ in pairs]], b[[j for _, j in pairs]])
+    space = scoring.search_space(np.array([size]), np.array([size * count]), np.array([count]))[0]
+    expected = scoring.KAPPA * space * np.exp(-scale * best)
+    for value in (1, 3):
+        assert 0.7 * count * value < (expected <= value).sum() < 1.3 * count * value
+    if power == 2:  # with one scale for all they would be three times as many
+        assert (scoring.KAPPA * space * np.exp(-scoring.LAMBDA * best) <= 1).sum() > 3 * count
+
+
+def test_several_alignments_of_a_pair(spark):
+    """Two conserved stretches in turned order are two hits, and none crosses another."""
+    one, two = "MKTAYIAKQRQISFVKSHFSRQ", "WCYHDPGNEWLMTRRKCHWAAD"
+    q = spark.createDataFrame([("q", one + "GSGSGSGSGS" + two)], "id string, seq string")
+    s = spark.createDataFrame([("s", two + "TTPPTTPPTT" + one), (None, None)], "id string, seq string")
+    found = sorted(alignment.aligned(q, s, evalue=1e-4).collect(), key=lambda r: r.qstart)
+    assert [(r.qstart, r.qend, r.sstart, r.send, r.pident) for r in found] == [(1, 22, 33, 54, 100.0), (33, 54, 1, 22, 100.0)]
+
+
+def test_aligned_pairs(spark):
+    q = spark.createDataFrame([("q", "MKTAYIAKQRQISFVKSHFSRQ"), ("short", "MK")], "id string, seq string")
+    s = spark.createDataFrame([("s", "MKTAYIAKQRISFVKSHFSRQ"), ("other", "GGGGGGGGGG")], "id string, seq string")
+    (row,) = alignment.aligned(q, s).collect()
+    assert (row.qseqid, row.sseqid, row.gapopen, row.qlen, row.slen, row.length) == ("q", "s", 1, 22, 21, 22) and row.evalue < 1e-5
+    none = spark.createDataFrame([(None, "MKTAYIAKQRISFVKSHFSRQ"), ("n", None), ("e", "")], "id string, seq string")
+    assert alignment.aligned(none.where("seq is null or seq = ''"), s).count() == 0 and alignment.aligned(q, none.limit(0)).count() == 0
+
+
+def test_like_words_on_a_diagonal_equal_plain_loops(spark):
+    """Seeds of random peptides, a word that many share spread over salts, against all pairs of places."""
+    rng = random.Random(6)
+    some = ["".join(rng.choices(alignment.LETTERS, k=rng.choice([2, 3, 12, 60]))) for _ in range(24)]
+    other = [x[:20] + "".join(rng.choices("AW", k=8)) + x[24:] for x in some] + ["WWWW" * 5, "acdefghik", None, ""]
+    score = lambda a, b: sum(alignment.SCORES[ord(x), ord(y)] for x, y in zip(a, b, strict=True))
+    want = {}
+    for i, a in enumerate(some):
+        for j, b in enumerate(other):
+            b = (b or "").upper()
+            places = {}
+            for x in range(len(a) - 2):
+                for y in range(len(b) - 2):
+                    if set(b[y : y + 3]) <= set(alignment.LETTERS) and score(a[x : x + 3], b[y : y + 3]) >= 11:
+                        places.setdefault(x - y, set()).add(x)
+            found = sorted(d for d, at in places.items() if any(3 <= v - u <= 40 for u in at for v in at))
+            if found:
+                want[i, j] = found
+    table = lambda rows: spark.createDataFrame(list(enumerate(rows)), "id long, seq string")
+    for crowd in (100_000, 2):
+        got = alignment.diagonal_seeds(table(some), table(other), crowd=crowd).collect()
+        assert {(r.qseqid, r.sseqid): sorted(r.diagonals) for r in got} == want
+    assert len(want) > 10
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_recall_of_seeds_on_a_table(spark):
+    """Of all pairs that a full alignment finds significant, nearly all are found by their seeds, with the same best score."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").limit(24).collect()
+    seqs = {str(r.item_id): "".join(c for c in r.text.upper() if c in alignment.LETTERS) for r in rows}
+    table = spark.createDataFrame(list(seqs.items()), "id string, seq string")
+    got = {}
+    for r in alignment.aligned(table, table, evalue=1e-3).collect():
+        got[r.qseqid, r.sseqid] = max(got.get((r.qseqid, r.sseqid), 0.0), r.bitscore)
+    total, want = sum(map(len, seqs.values())), {}
+    shares = {k: scoring.composition(scoring.residues(x))[None] for k, x in seqs.items()}
+    for a, x in seqs.items():
+        for b, y in seqs.items():
+            scale = scoring.scales(shares[a], shares[b])[0]
+            space = scoring.search_space(np.array([len(x)]), np.array([total]), np.array([len(seqs)]))[0]
+            score = whole(x, y)["score"]
+            if scoring.KAPPA * space * np.exp(-scale * score) <= 1e-3:
+                want[a, b] = scoring.bits_of(score, scale)
+    assert set(got) <= set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert len(got) >= 0.95 * len(want) and len(want) > len(seqs), (len(got), len(want))
+
+
+def test_best_score_without_gaps():
+    rng = random.Random(9)
+    jobs = [("W", "W", 5, 0), ("", "W", 0, 0)]
+    for _ in range(30):
+        a, b = ("".join(rng.choices("ACDW", k=rng.randint(1, 12))) for _ in "ab")
+        d = rng.randint(1 - len(b), len(a) - 1)
+        pairs = [(i, i - d) for i in range(len(a)) if 0 <= i - d < len(b)]
+        sums = [sum(alignment.SCORES[ord(a[i]), ord(b[j])] for i, j in pairs[x:y]) for x in range(len(pairs)) for y in range(x + 1, len(pairs) + 1)]
+        jobs.append((a, b, d, max([0, *sums])))
+    a, b = ([scoring.residues(j[k]) for j in jobs] for k in (0, 1))
+    assert extension.ungapped(a, b, [j[2] for j in jobs]).tolist() == [j[3] for j in jobs]

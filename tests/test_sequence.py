@@ -1,12 +1,4 @@
-import os
-import random
-
-import numpy as np
-import pytest
-
-from pyspark.sql import functions as F
-
-from locusweave.operators import alignment, intervals, sequence
+from locusweave.operators import intervals, sequence
 from locusweave.plans.queries import GENOME
 
 FEATURES = "seqid string, type string, start long, end long, strand string, attr map<string,string>, row_idx long"
@@ -62,109 +54,7 @@ def test_tandem(spark):
     assert {tuple(r) for r in intervals.same_strand(pairs, genes).collect()} == {("a", "b", True), ("a", "c", False), ("a", "d", True), ("c", "b", False)}
 
 
-def naive(a, b):
-    """Best local score over all cells, gaps of any length."""
-    cost = lambda n: alignment.GAP_OPEN + n * alignment.GAP_EXTEND
-    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            h[i][j] = max(0, h[i - 1][j - 1] + alignment.SCORES[ord(a[i - 1]), ord(b[j - 1])], *(h[i - k][j] - cost(k) for k in range(1, i + 1)), *(h[i][j - k] - cost(k) for k in range(1, j + 1)))
-    return max(map(max, h))
-
-
-def test_alignment_scores():
-    import random
-
-    rng = random.Random(3)
-    for _ in range(40):
-        a = "".join(rng.choices(alignment.LETTERS, k=rng.randint(1, 25)))
-        b = a[3:9] + "".join(rng.choices(alignment.LETTERS, k=rng.randint(0, 9))) + a[12:]
-        x = alignment.local(*alignment.pay_of(a, b))
-        assert x["score"] == naive(a, b)
-        if x["score"]:
-            assert x["same"] <= x["length"] and 1 <= x["qstart"] <= x["qend"] <= len(a) and 1 <= x["sstart"] <= x["send"] <= len(b)
-    assert alignment.local(*alignment.pay_of("WWWW", "WWWW")) == {"score": 44, "qstart": 1, "qend": 4, "sstart": 1, "send": 4, "length": 4, "same": 4, "gapopen": 0}
-
-
-def test_several_alignments_of_a_pair(spark):
-    """Two conserved stretches in turned order are two hits, and none crosses another."""
-    one, two = "MKTAYIAKQRQISFVKSHFSRQ", "WCYHDPGNEWLMTRRKCHWAAD"
-    q = spark.createDataFrame([("q", one + "GSGSGSGSGS" + two)], "id string, seq string")
-    s = spark.createDataFrame([("s", two + "TTPPTTPPTT" + one), (None, None)], "id string, seq string")
-    found = sorted(alignment.aligned(q, s, evalue=1e-4).collect(), key=lambda r: r.qstart)
-    assert [(r.qstart, r.qend, r.sstart, r.send, r.pident) for r in found] == [(1, 22, 33, 54, 100.0), (33, 54, 1, 22, 100.0)]
-    rng = random.Random(2)
-    for _ in range(10):
-        a, b = ("".join(rng.choices("ACDEW", k=30)) for _ in "ab")
-        parts = alignment.locals_(a, b, 8)
-        assert parts[0]["score"] == naive(a, b) and [x["score"] for x in parts] == sorted((x["score"] for x in parts), reverse=True)
-        cells = [{(i, j) for i in range(x["qstart"], x["qend"] + 1) for j in range(x["sstart"], x["send"] + 1)} for x in parts]
-        assert all(x["score"] >= 8 for x in parts) and len(cells) == len(parts)
-
-
 def test_genes_of_an_annotation(spark):
     rows = [("c", "mRNA", 5, 9, "+", {"ID": "a"}, 0), ("c", "MRNA", 6, 9, "-", {"ID": "a"}, 1), ("c", "CDS", 1, 2, "+", {"ID": "b"}, 2), ("d", "mrna", 1, 2, "+", {"Parent": "x"}, 3), ("d", "mrna", 3, 4, "+", {"ID": "e"}, 4)]
     df = spark.createDataFrame(rows, "seqid string, type string, start long, end long, strand string, attr map<string,string>, row_idx long")
     assert sorted(map(tuple, sequence.genes(df).collect())) == [("a", "c", 6, 9, "-"), ("e", "d", 3, 4, "+")]
-
-
-def test_aligned_pairs(spark):
-    q = spark.createDataFrame([("q", "MKTAYIAKQRQISFVKSHFSRQ"), ("short", "MK")], "id string, seq string")
-    s = spark.createDataFrame([("s", "MKTAYIAKQRISFVKSHFSRQ"), ("other", "GGGGGGGGGG")], "id string, seq string")
-    (row,) = alignment.aligned(q, s).collect()
-    assert (row.qseqid, row.sseqid, row.gapopen, row.qlen, row.slen, row.length) == ("q", "s", 1, 22, 21, 22) and row.evalue < 1e-6
-    assert alignment.seeds(q, s).count() == 1 and F is not None
-
-
-def test_like_words_on_a_diagonal_equal_plain_loops(spark):
-    """Seeds of random peptides, a word that many share spread over salts, against all pairs of places."""
-    rng = random.Random(6)
-    some = ["".join(rng.choices(alignment.LETTERS, k=rng.choice([2, 3, 12, 60]))) for _ in range(24)]
-    other = [x[:20] + "".join(rng.choices("AW", k=8)) + x[24:] for x in some] + ["WWWW" * 5, "acdefghik", None, ""]
-    score = lambda a, b: sum(alignment.SCORES[ord(x), ord(y)] for x, y in zip(a, b, strict=True))
-    want = {}
-    for i, a in enumerate(some):
-        for j, b in enumerate(other):
-            b = (b or "").upper()
-            places = {}
-            for x in range(len(a) - 2):
-                for y in range(len(b) - 2):
-                    if set(b[y : y + 3]) <= set(alignment.LETTERS) and score(a[x : x + 3], b[y : y + 3]) >= 11:
-                        places.setdefault(x - y, set()).add(x)
-            found = sorted(d for d, at in places.items() if any(3 <= v - u <= 40 for u in at for v in at))
-            if found:
-                want[i, j] = found
-    table = lambda rows: spark.createDataFrame(list(enumerate(rows)), "id long, seq string")
-    for crowd in (100_000, 2):
-        got = alignment.diagonal_seeds(table(some), table(other), crowd=crowd).collect()
-        assert {(r.qseqid, r.sseqid): sorted(r.diagonals) for r in got} == want
-    assert len(want) > 10
-
-
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
-def test_recall_of_seeds_on_a_table(spark):
-    """Of all pairs that a full alignment finds significant, nearly all are found by their seeds, with the same best score."""
-    rows = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").limit(24).collect()
-    seqs = {str(r.item_id): "".join(c for c in r.text.upper() if c in alignment.LETTERS) for r in rows}
-    table = spark.createDataFrame(list(seqs.items()), "id string, seq string")
-    got = {}
-    for r in alignment.aligned(table, table, evalue=1e-3).collect():
-        got[r.qseqid, r.sseqid] = max(got.get((r.qseqid, r.sseqid), 0.0), r.bitscore)
-    total, want = sum(map(len, seqs.values())), {}
-    for a, x in seqs.items():
-        for b, y in seqs.items():
-            bits = (alignment.LAMBDA * alignment.local(*alignment.pay_of(x, y))["score"] - np.log(alignment.KAPPA)) / np.log(2)
-            if len(x) * total * 2.0**-bits <= 1e-3:
-                want[a, b] = bits
-    assert set(got) <= set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
-    assert len(got) >= 0.95 * len(want) and len(want) > len(seqs), (len(got), len(want))
-
-
-def test_best_score_without_gaps():
-    rng = random.Random(9)
-    for _ in range(30):
-        a, b = ("".join(rng.choices("ACDW", k=rng.randint(1, 12))) for _ in "ab")
-        d = rng.randint(1 - len(b), len(a) - 1)
-        pairs = [(i, i - d) for i in range(len(a)) if 0 <= i - d < len(b)]
-        sums = [sum(alignment.SCORES[ord(a[i]), ord(b[j])] for i, j in pairs[x:y]) for x in range(len(pairs)) for y in range(x + 1, len(pairs) + 1)]
-        assert alignment.ungapped(a, b, [d]) == max([0, *sums])
