@@ -40,3 +40,29 @@ def test_query(spark, db, name):
         assert plain(map(tuple, rows)) == plain(want[columns].itertuples(index=False))
     else:
         assert rows
+
+
+@pytest.fixture(scope="module")
+def odd_tables(tmp_path_factory):
+    """Tables in which some blocks have one hit of one residue, so that their regions have no length, and others have equal hits."""
+    folder = tmp_path_factory.mktemp("odd")
+    odd = duckdb.connect()
+    odd.execute(f"COPY (SELECT * FROM '{DIR}/orders.parquet') TO '{folder}/orders.parquet' (FORMAT parquet)")
+    odd.execute(f"CREATE TABLE l AS SELECT * FROM '{DIR}/lineitem.parquet' WHERE l_orderkey < 600")
+    odd.execute("INSERT INTO l SELECT * FROM l WHERE l_orderkey < 300")
+    for line, quantity, supplier in ((2, 1, 2), (1, 10, 1)):
+        odd.execute(f"INSERT INTO l SELECT x.* REPLACE (600 + 90 * n AS l_orderkey, {line} AS l_linenumber, {quantity} AS l_quantity, {supplier} AS l_suppkey, 'A' AS l_returnflag) FROM (SELECT * FROM l LIMIT 1) x, range(10) r(n)")
+    odd.execute(f"COPY l TO '{folder}/lineitem.parquet' (FORMAT parquet)")
+    for t in ("orders", "lineitem"):
+        odd.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return str(folder), odd
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
+@pytest.mark.parametrize("name", ["pair_distances", "region_exons", "unaccounted_exons", "unaccounted_with_hit", "block_score", "block_conservation", "block_clt_z"])
+def test_regions_of_no_length_and_equal_hits(spark, odd_tables, name):
+    folder, odd = odd_tables
+    df = QUERIES[name](spark, folder)
+    columns = sorted(df.columns)
+    want = odd.execute(ORACLE_SQL[name]).df()
+    assert plain(map(tuple, df.select(*columns).collect())) == plain(want[columns].itertuples(index=False))
