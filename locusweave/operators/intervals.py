@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from locusweave.storage import running
 
 
-def overlapping(regions: DataFrame, features: DataFrame, keys: list[str], width: int = 1 << 14) -> DataFrame:
+def overlapping(regions: DataFrame, features: DataFrame, keys: list[str], width: int = 1 << 14, points: bool = False) -> DataFrame:
     """Pairs of regions (lo, hi) and features (start, end) of equal keys that overlap, both half-open.
 
     Both sides are dealt to bins of `width` positions by their keys, so a crowded
     key is spread over its bins; a pair is kept in the first bin that both touch.
-    Empty ranges overlap nothing. Other columns of both sides pass.
+    Empty ranges overlap nothing or, with points, what begins before and ends after
+    them. Other columns of both sides pass.
     """
+    below = "<=" if points else "<"
     first = lambda c: F.floor(F.col(c) / width).cast("long")
-    last = lambda c: F.floor((F.col(c) - 1) / width).cast("long")
-    a = regions.where("lo < hi").withColumn("bin", F.explode(F.sequence(first("lo"), last("hi"))))
-    b = features.where("start < end").withColumn("bin", F.explode(F.sequence(first("start"), last("end"))))
+    last = lambda begin, c: F.floor((F.greatest(F.col(begin) + 1, c) - 1) / width).cast("long")
+    a = regions.where(f"lo {below} hi").withColumn("bin", F.explode(F.sequence(first("lo"), last("lo", "hi"))))
+    b = features.where(f"start {below} end").withColumn("bin", F.explode(F.sequence(first("start"), last("start", "end"))))
     met = a.join(b, [*keys, "bin"]).where("start < hi AND end > lo")
     return met.where(F.col("bin") == F.greatest(first("lo"), first("start"))).drop("bin")
 
