@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import numpy as np
@@ -405,3 +406,50 @@ def test_permutations_draw_what_is_asked(spark):
     p = {tuple(r)[:4]: r.p for r in testing.permuted(nodes, pools, tests=200, stop=10**9).collect()}
     assert p[asked[0]] == 1 and p[asked[1]] == 0 and p[asked[4]] == 1
     assert p[asked[2]] == pytest.approx(0.25, abs=0.05) and p[asked[3]] == pytest.approx(0.5, abs=0.05)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_documented_walk_equals_repeated_descents(seed):
+    """Also of chains deeper than any number of rounds."""
+    rng = random.Random(seed)
+    table = forest(rng, [("a", "x")], 4000 if seed == 0 else 40, 0.02)
+    if seed == 0:  # a chain of which each node scores higher than the one above it
+        table["z"] = np.arange(len(table))[::-1].astype(float)
+        table["p"] = 1e-9
+    walk, now, before = testing.Walk(table), [len(table) - 1], None
+    while now != before:
+        before, now = now, sorted({x for node in now for x in walk.down(node, 0.05, 7, False, False)[0]})
+    assert testing.settled(table.sample(frac=1, random_state=seed), 0.05, 7).tolist() == now
+
+
+def test_shared_draws_have_the_law_of_each_triple(spark):
+    """Against the exact law by counting all draws; sums of one draw for several triples; values beyond those spelt out."""
+    values = {"a": [1.0, 2.0, 2.0, 4.0, 7.0], "u1": [0.5, 1.0, 3.0], "u2": [0.25, 0.25, 1.5, 2.0]}
+    keys = [(2, 1, 1), (3, 0, 2), (1, 2, 0), (5, 3, 4)]
+    asked = []
+    for key in keys:
+        every = [2 * sum(x) - sum(y) - sum(w) for x in itertools.combinations(values["a"], key[0]) for y in itertools.combinations(values["u1"], key[1]) for w in itertools.combinations(values["u2"], key[2])]
+        asked += [(*key, s, np.mean(np.array(every) >= s)) for s in sorted(set(every))[:: max(1, len(set(every)) // 5)]]
+    nodes = spark.createDataFrame([r[:4] for r in asked], "n_a long, n_u1 long, n_u2 long, score double")
+    found = [{tuple(r)[:4]: r.p for r in testing.permuted_together(nodes, pool_rows(spark, *values.values()), tests=tests, stop=10**9, cells=cells).collect()} for tests, cells in ((999, testing.CELLS), (999, 3000))]
+    for p in found:
+        for *key, exact in asked:
+            assert p[tuple(key)] == pytest.approx(exact, abs=5 * math.sqrt(0.25 / 20_000))
+    # one more than there are members: drawn from two copies
+    twice = spark.createDataFrame([(6, 0, 0, 31.9), (6, 0, 0, 64.1)], "n_a long, n_u1 long, n_u2 long, score double")
+    p = {r.score: r.p for r in testing.permuted_together(twice, pool_rows(spark, *values.values()), tests=99, stop=10**9).collect()}
+    assert 0 < p[31.9] < 1 and p[64.1] == 0
+    pool = testing.Pool(np.array([3, 5, 9]), np.array([2, 1, 4]))
+    spelt = pool.at(np.arange(7)).tolist()
+    pool.SPELT = 0
+    assert pool.at(np.arange(7)).tolist() == spelt == [3, 3, 5, 9, 9, 9, 9]
+
+
+def test_shared_draws_are_as_many_as_the_longest_triple_takes(spark, monkeypatch):
+    """The work doesn't grow with the number of triples."""
+    drawn = []
+    rows = testing.running_draws
+    monkeypatch.setattr(testing, "running_draws", lambda longest, *rest: drawn.append(longest) or rows(longest, *rest))
+    pools = {k: testing.Pool(np.arange(50), np.ones(50, np.int64)) for k in testing.POOLS}
+    testing.shared_counts([((n, n % 5, n % 3), np.array([0])) for n in range(20)], pools, 10, [1])
+    assert sum(drawn) == 19 + 4 + 2
