@@ -1,10 +1,14 @@
 """Merges of all runs of exons equal the naive method's."""
 
 import os
+import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from locusweave.operators import linkage, tree
 from locusweave.plans.queries import QUERIES, blocks
 
 from .test_tree import single_linkage
@@ -22,3 +26,20 @@ def test_all_blocks_are_linked(spark):
     want = {(*k, h): sum(d <= h for d in of) for k, of in heights.items() for h in (100, 300, 1000)}
     rows = QUERIES["block_linkage"](spark, DIR).collect()
     assert len(rows) == len(want) and {(r.block, r.g1chr, r.g2chr, r.height): r.merges for r in rows} == want
+
+
+def test_a_call_of_python_holds_many_small_tiles(spark, monkeypatch):
+    """Pairs of a few hits don't cost a call each, and have the trees that they have alone."""
+    rng = random.Random(3)
+    rows = [(f"b{pair}", "y", leaf, a := rng.randrange(4000), a + 20, b := rng.randrange(4000), b + 20) for pair in range(1500) for leaf in range(1 + pair % 4)]
+    leaves = spark.createDataFrame(rows, "g1chr string, g2chr string, leaf long, g1start long, g1end long, g2start long, g2end long")
+    calls, dealt = [], linkage._called
+    monkeypatch.setattr(linkage, "_called", lambda *x: calls.append(dealt(*x)) or calls[-1])
+    found = {}
+    for r in linkage.linkage(leaves).collect():
+        found.setdefault(r.g1chr, set()).add((r.i, r.j, r.height))
+    assert 0 < calls[0].agg(F.count("*")).count() <= 64
+    for pair in range(1500):
+        own = [r for r in rows if r[0] == f"b{pair}"]
+        i, j, h = tree.spanning_tree(np.array([r[3:] for r in own]))
+        assert found.get(f"b{pair}", set()) == set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), h.tolist(), strict=True))
