@@ -43,3 +43,17 @@ def test_a_call_of_python_holds_many_small_tiles(spark, monkeypatch):
         own = [r for r in rows if r[0] == f"b{pair}"]
         i, j, h = tree.spanning_tree(np.array([r[3:] for r in own]))
         assert found.get(f"b{pair}", set()) == set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), h.tolist(), strict=True))
+
+
+def test_few_tiles_meet_where_some_have_hits_far_away(spark, monkeypatch):
+    """Hits far from a diagonal are parts of their own: their tiles don't meet all others, and the tree is the same."""
+    rng = random.Random(5)
+    rows = [("x", "y", k, a := 100 * k, a + 20, b := (a + rng.randrange(50) if k % 50 else 1_000_000 + rng.randrange(5000)), b + 20) for k in range(4000)]
+    leaves = spark.createDataFrame(rows, "g1chr string, g2chr string, leaf long, g1start long, g1end long, g2start long, g2end long")
+    met, write = [], linkage.written
+    monkeypatch.setattr(linkage, "written", lambda df, name: write(df, name) if name != "met" else met.append(write(df, name)) or met[0])
+    found = linkage.linkage(leaves, 64).toPandas()
+    assert not found.duplicated(["i", "j"]).any()
+    i, j, h = tree.spanning_tree(np.array([r[3:] for r in rows]))
+    assert set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), h.tolist(), strict=True)) <= set(found[["i", "j", "height"]].itertuples(index=False, name=None))
+    assert met[0].count() / 2 < 5 * 4000 / 64
