@@ -453,3 +453,56 @@ def test_shared_draws_are_as_many_as_the_longest_triple_takes(spark, monkeypatch
     pools = {k: testing.Pool(np.arange(50), np.ones(50, np.int64)) for k in testing.POOLS}
     testing.shared_counts([((n, n % 5, n % 3), np.array([0])) for n in range(20)], pools, 10, [1])
     assert sum(drawn) == 19 + 4 + 2
+
+
+@pytest.mark.parametrize(("inverted", "scale"), [(False, 1), (True, 1), (True, 20_000)])
+def test_subtrees_of_tiles_give_the_nodes_of_whole_pairs(spark, inverted, scale):
+    """Exons and genes that subtrees share, hits off their exons, ranges that run backwards, and ranges too wide for a tile."""
+    exons, rows = genome(random.Random(11), n=160, inverted=inverted)
+    exons = [(*e[:4], e[4] * scale, e[5] * scale, e[6]) for e in exons]
+    rows = [(*r[:4], r[4] * scale, r[5] * scale, r[6], r[7] * scale, r[8] * scale, r[9]) for r in rows]
+    df, info = spark.createDataFrame(rows, HITS), spark.createDataFrame(exons, EXONS)
+    leaves, best = tree.numbered_leaves(df), hits.best_hits(df, "K")
+    found = [tree.scored_nodes(leaves, info, best, tile=9, few=few).orderBy("g1chr", "g2chr", "node_id").collect() for few in (0, 10**6)]
+    assert found[0] == found[1] and len(found[0]) > 200
+
+
+def test_few_subtrees_are_left_to_a_task_of_a_pair(spark, monkeypatch):
+    """Of a pair's 3,000 hits few subtrees meet in its top tree, and no call of Python has the pair's hits or exons."""
+    rng, exons, rows = random.Random(2), [], []
+    for k in range(3000):
+        at = 100 * k + rng.randrange(60)
+        exons += [(f"{g}e{k}", f"{g}p{k // 3}", f"genome_{g}", "c", at, at + 30, "+") for g in (1, 2)]
+        rows.append((f"1e{k}", f"2e{k}", rng.random(), "c", at, at + 20, "c", at + rng.randrange(9), at + 30, k))
+    tables, write = {}, tree.written
+    monkeypatch.setattr(tree, "written", lambda df, name: tables.setdefault(name, write(df, name)))
+    df, info = spark.createDataFrame(rows, HITS), spark.createDataFrame(exons, EXONS)
+    assert tree.scored_nodes(tree.numbered_leaves(df), info, hits.best_hits(df, "K"), tile=128, few=0).count() == 2 * 2999 - 1
+    assert tables["tops"].count() < 0.25 * 3000
+
+
+def test_closed_merges_are_nodes_of_the_whole_tree():
+    rng = random.Random(6)
+    for reach in (40, 10**9):
+        kept = 0
+        for _ in range(30):
+            places = [(a := rng.randrange(300), a + 3, b := rng.randrange(300), b + 2) for _ in range(40)]
+            every = sorted((distance(x, y), i, j) for (i, x), (j, y) in itertools.combinations(enumerate(places), 2))
+            parts, nodes = {k: {k} for k in range(40)}, set()
+            for _, i, j in every:
+                if parts[i] is not parts[j]:
+                    both = parts[i] | parts[j]
+                    nodes.add(frozenset(both))
+                    parts |= dict.fromkeys(both, both)
+            mine = [e for e in every if e[1] < 20 and e[2] < 20]
+            out = [min(e for e in every if (e[1] == k or e[2] == k) and e[2] >= 20) for k in range(20)]
+            merges, _, of = tree.closed([e[1] for e in mine], [e[2] for e in mine], mine, out, places[:20], reach)
+            now = {k: {k} for k in range(20)}
+            for k in merges:
+                both = now[mine[k][1]] | now[mine[k][2]]
+                now |= dict.fromkeys(both, both)
+                assert frozenset(both) in nodes
+                assert all(max(places[x][c + 1] for x in both) - min(places[x][c] for x in both) <= reach for c in (0, 2))
+            assert all(min(now[k]) == of[k] for k in range(20))
+            kept += len(merges)
+        assert kept > 0
