@@ -80,3 +80,15 @@ def test_normal(spark):
     assert got[:3] == [0.5, pytest.approx(0.0249979, rel=1e-4), 0.0] and (got[3] is None or got[3] != got[3]) and got[4] == 0.0
     df = spark.createDataFrame([(0.0,), (0.5,), (1.0,), (0.975,)], "p double")
     assert [r[0] for r in df.select(quantile("p")).collect()] == [float("-inf"), pytest.approx(0, abs=1e-12), float("inf"), pytest.approx(1.959964)]
+
+
+def test_surrogate_hits_get_their_exons_after_they_are_found_reciprocal(spark):
+    from locusweave.plans import surrogate
+
+    where = "/root/testdata/sf0.001"
+    for observed in (True, False):
+        got = surrogate.mutual(spark, where, observed)
+        found = hits.reciprocal(surrogate.hits_ba(spark, where), surrogate.hits_ab(spark, where), crossed=observed)
+        want = hits.genomic(hits.scored(found), surrogate.exons(spark, where), observed)
+        assert got.columns == want.columns and got.count()
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()

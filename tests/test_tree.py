@@ -506,3 +506,30 @@ def test_closed_merges_are_nodes_of_the_whole_tree():
             assert all(min(now[k]) == of[k] for k in range(20))
             kept += len(merges)
         assert kept > 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nodes_that_the_walk_may_come_to_are_enough(spark, seed):
+    table = forest(random.Random(200 + seed), [("a", "x"), ("b", "x"), ("b", "y")], 40, (0.004, 1e-5)[seed % 2])
+    df = spark.createDataFrame(table)
+    want, tests = naive_walk(table, 0.05, 1)
+    kept = testing.reachable(df, 0.05).toPandas()
+    assert len(kept) <= len(table) and not kept.duplicated(["g1chr", "g2chr", "node_id"]).any()
+    for most in (0, len(table)):
+        got = testing.significant(df, 0.05, most=most, whole=0).collect()
+        assert {(r.g1chr, r.g2chr, r.node_id) for r in got} == want and all(r.tests == tests for r in got)
+
+
+def test_the_walk_gets_no_nodes_below_those_that_are_always_significant(spark):
+    """A root that always is, and scores higher than its children, leaves itself and these of a large tree."""
+    n = 3000
+    child1, child2, _ = tree.merged(n, np.arange(n - 1), np.arange(1, n), np.array([x % 7 for x in range(n - 1)], np.int64))
+    low, high = tree.positions(child1, child2)
+    k = 2 * n - 1
+    table = pd.DataFrame({"g1chr": "a", "g2chr": "x", "node_id": range(k), "child1": child1, "child2": child2, "z": [*[1.0] * (k - 1), 9.0], "p": 1e-12, "eligible": True, "leaf_lo": low, "leaf_hi": high})
+    df = spark.createDataFrame(table)
+    kept = testing.reachable(df, 0.05).toPandas()
+    assert sorted(kept.node_id) == sorted([k - 1, int(child1[-1]), int(child2[-1])])
+    want, tests = naive_walk(table, 0.05, 1)
+    got = testing.significant(df, 0.05, whole=0).collect()
+    assert {(r.g1chr, r.g2chr, r.node_id) for r in got} == want and all(r.tests == tests for r in got)
