@@ -57,3 +57,12 @@ def test_few_tiles_meet_where_some_have_hits_far_away(spark, monkeypatch):
     i, j, h = tree.spanning_tree(np.array([r[3:] for r in rows]))
     assert set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), h.tolist(), strict=True)) <= set(found[["i", "j", "height"]].itertuples(index=False, name=None))
     assert met[0].count() / 2 < 5 * 4000 / 64
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 40, 301])
+def test_trees_side_by_side_are_those_of_each_tile(n):
+    rng = np.random.default_rng(n)
+    starts = rng.integers(0, 500, (5, n, 2))
+    places = np.stack([starts[..., 0], starts[..., 0] + rng.integers(-9, 60, (5, n)), starts[..., 1], starts[..., 1] + rng.integers(-9, 60, (5, n))], 2)
+    for tile, *found in zip(places, *linkage.spanning_trees(places), strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(linkage.spanning_tree(tile), found, strict=True))
