@@ -66,3 +66,14 @@ def test_regions_of_no_length_and_equal_hits(spark, odd_tables, name):
     columns = sorted(df.columns)
     want = odd.execute(ORACLE_SQL[name]).df()
     assert plain(map(tuple, df.select(*columns).collect())) == plain(want[columns].itertuples(index=False))
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
+@pytest.mark.parametrize("name", ["unaccounted_exons", "unaccounted_with_hit"])
+def test_exons_inside_regions_are_not_dealt_again(spark, name):
+    """Their number grows with the square of the tables, so no join or shuffle comes after the one that finds them."""
+    plan = QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan
+    lines = plan.splitlines()
+    met = next(k for k, x in enumerate(lines) if "bin" in x and "Join Inner" in x)
+    assert not any("Join" in x or "Aggregate" in x for x in lines[:met])

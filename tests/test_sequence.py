@@ -1,3 +1,7 @@
+import random
+
+from pyspark.sql import functions as F
+
 from locusweave.operators import intervals, sequence
 from locusweave.plans.queries import GENOME
 
@@ -47,6 +51,37 @@ def test_intervals(spark):
     assert dict(intervals.covered(features, "k").collect()) == {"s": 101, "t": 10}
 
 
+def ranges(rng, n, longest):
+    """Ranges of two keys, some of no length, some wide."""
+    return [(k, rng.choice("st"), (lo := rng.randrange(400)), lo + rng.choice([0, 1, 3, rng.randrange(longest)])) for k in range(n)]
+
+
+def test_wide_and_narrow_regions_meet_all_that_overlaps(spark):
+    """Bins of one position, so that most regions are wide."""
+    rng = random.Random(3)
+    regions, features = ranges(rng, 150, 900), ranges(rng, 150, 30)
+    a, b = spark.createDataFrame(regions, "region long, k string, lo long, hi long"), spark.createDataFrame(features, "name long, k string, start long, end long")
+    for points in (False, True):
+        want = sorted((r, n) for r, k, lo, hi in regions for n, key, start, end in features if k == key and start < hi and end > lo and (points or (lo < hi and start < end)))
+        assert sorted((r.region, r.name) for r in intervals.overlapping(a, b, ["k"], width=1, points=points).collect()) == want
+
+
+def test_a_region_over_very_many_bins_meets_few_features(spark):
+    regions = spark.createDataFrame([("r", "s", 0, 1 << 46)], "region string, k string, lo long, hi long")
+    features = spark.createDataFrame([("a", "s", 5, 9), ("b", "s", 1 << 45, (1 << 45) + 1), ("c", "s", 1 << 46, (1 << 46) + 1)], "name string, k string, start long, end long")
+    assert sorted(r.name for r in intervals.overlapping(regions, features, ["k"], width=1 << 22).collect()) == ["a", "b"]
+
+
+def test_sums_over_regions_are_those_of_what_overlaps(spark):
+    rng = random.Random(4)
+    regions, features = ranges(rng, 150, 300), ranges(rng, 300, 30)
+    a, b = spark.createDataFrame(regions, "region long, k string, lo long, hi long"), spark.createDataFrame(features, "name long, k string, start long, end long")
+    found = intervals.summed(a, b, ["k"], {"n": F.lit(1), "names": F.col("name")})
+    want = {(r, k, lo, hi): [n for n, key, start, end in features if k == key and start < hi and end > lo] for r, k, lo, hi in regions}
+    assert {tuple(r[:4]): r[4:] for r in found.collect()} == {r: (len(names), sum(names)) for r, names in want.items()}
+    assert any(lo == hi and want[r, k, lo, hi] for r, k, lo, hi in regions)
+
+
 def test_tandem(spark):
     genes = spark.createDataFrame([("a", "s", 0, 10, "+"), ("b", "s", 20, 30, "+"), ("c", "s", 40, 50, "-"), ("d", "t", 0, 9, "+")], "id string, seqid string, start long, end long, strand string")
     pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d"), ("c", "b")], "id1 string, id2 string")
