@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from locusweave.operators import intervals
 from locusweave.plans.queries import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -77,3 +78,15 @@ def test_exons_inside_regions_are_not_dealt_again(spark, name):
     lines = plan.splitlines()
     met = next(k for k, x in enumerate(lines) if "bin" in x and "Join Inner" in x)
     assert not any("Join" in x or "Aggregate" in x for x in lines[:met])
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
+@pytest.mark.parametrize("name", ["block_score", "block_conservation", "block_clt_z"])
+def test_scores_of_blocks_list_no_exons(spark, db, name, monkeypatch):
+    def listed(*_, **__):
+        raise AssertionError("exons inside regions are listed")
+
+    monkeypatch.setattr(intervals, "overlapping", listed)
+    df = QUERIES[name](spark, DIR)
+    columns = sorted(df.columns)
+    assert plain(map(tuple, df.select(*columns).collect())) == plain(db.execute(ORACLE_SQL[name]).df()[columns].itertuples(index=False))
