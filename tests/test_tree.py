@@ -445,6 +445,28 @@ def test_shared_draws_have_the_law_of_each_triple(spark):
     assert pool.at(np.arange(7)).tolist() == spelt == [3, 3, 5, 9, 9, 9, 9]
 
 
+def test_scores_are_held_in_pieces(spark, monkeypatch):
+    """However many scores there are, the driver sends out no more than it may hold at once; pieces, which cut triples, give the same p."""
+    pools = pool_rows(spark, np.arange(40.0), np.arange(30.0), np.arange(20.0))
+    asked = [(3, 1, 0, float(s)) for s in range(-30, 240)] + [(2, 1, 0, s / 2) for s in range(-60, 320)] + [(50, 0, 3, 1500.0), (1, 0, 0, 5.0)]
+    nodes = spark.createDataFrame(asked, "n_a long, n_u1 long, n_u2 long, score double")
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(sum(len(y[1]) for y in x if isinstance(y[1], np.ndarray)) if isinstance(x, list) else 0) or send(x))
+    found = []
+    for held in (100, 10**6):
+        sent.clear()
+        found.append({tuple(r)[:4]: r.p for r in testing.permuted_together(nodes, pools, tests=600, batch=100, held=held).collect()})
+        assert max(sent) <= held
+    assert found[0] == found[1] and set(found[0]) == set(asked) and len(set(found[0].values())) > 100
+
+
+@pytest.mark.parametrize("n", [1, 5, 400])
+def test_values_that_reach_scores(n):
+    rng = np.random.default_rng(n)
+    made, scores = rng.integers(-20, 20, 50), np.sort(rng.integers(-25, 25, n))
+    assert testing.reached(made, scores).tolist() == [(made >= s).sum() for s in scores]
+
+
 def test_shared_draws_are_as_many_as_the_longest_triple_takes(spark, monkeypatch):
     """The work doesn't grow with the number of triples."""
     drawn = []
